@@ -28,9 +28,10 @@ def words_of(text: Column) -> Column:
 def postings(docs: DataFrame, terms: DataFrame, around: int) -> DataFrame:
     """Positional postings of `terms(term, ...)`: doc_id, pos (from 0), the words before (nearest first) and after.
 
-    The explode and the join are one code-generated stage: only postings that match a term are ever built.
+    The explode and the join are one code-generated stage: only postings that match a term are ever built. The outer form
+    keeps the optimizer from adding a filter that would split every text a second time; the join drops its null rows.
     """
-    listed = docs.select("doc_id", words_of(F.col("text")).alias("w")).select("doc_id", "w", F.posexplode("w").alias("pos", "term"))
+    listed = docs.select("doc_id", words_of(F.col("text")).alias("w")).select("doc_id", "w", F.posexplode_outer("w").alias("pos", "term"))
     near = [
         F.reverse(F.slice("w", F.greatest(F.lit(1), F.col("pos") + 1 - around), F.least(F.col("pos"), F.lit(around)))).alias("before"),
         F.slice("w", F.col("pos") + 2, around).alias("after"),
