@@ -39,9 +39,12 @@ def line_chunks(lines: Column, window: int = WINDOW, spread: int = SPREAD) -> Co
 def chunks(docs: DataFrame, least: int = LEAST_LINES) -> DataFrame:
     """doc_id, row, start, n, body, h for each multi-line chunk."""
     lined = docs.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("row"), F.split("text", "\n", -1).alias("lines"))
-    cut = lined.select("doc_id", "row", "lines", F.explode_outer(F.filter(line_chunks(F.col("lines")), lambda x: x["n"] >= least)).alias("c"))
-    body = F.array_join(F.slice("lines", F.col("c.start") + 1, F.col("c.n")), "\n")
-    return cut.select("doc_id", "row", "c.start", "c.n", body.alias("body")).where("start IS NOT NULL").where(F.trim("body") != "").withColumn("h", F.xxhash64("body"))
+    def bodies(x):
+        return F.struct(x["start"].alias("start"), x["n"].alias("n"), F.array_join(F.slice("lines", x["start"] + 1, x["n"]), "\n").alias("body"))
+
+    cut = F.transform(F.filter(line_chunks(F.col("lines")), lambda x: x["n"] >= least), bodies)
+    out = lined.select("doc_id", "row", F.explode_outer(cut).alias("c")).where("c IS NOT NULL").select("doc_id", "row", "c.*")
+    return out.where(F.trim("body") != "").withColumn("h", F.xxhash64("body"))
 
 
 def repeated(docs: DataFrame) -> DataFrame:

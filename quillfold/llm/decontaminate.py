@@ -1,12 +1,11 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
 Every window of a benchmark item (`width` consecutive words, or the whole of a shorter item) is found by its rarest
-term. The index keeps, for such terms, the postings (term, document, position) together with the neighbouring
-`width - 1` words on either side, so intersecting the offset-adjusted lists of the window's other terms is a comparison
-inside the posting: no text moves and no pair of documents is formed.
+term. The index stores, for such terms, the postings (term, document, position) of all documents; each posting found is
+then intersected with the window's other terms at their offsets, by comparing the `width - 1` words on either side.
 
-Null or wordless texts have no postings and come back clean. Rows that share a doc_id share their hits; a null doc_id
-is an id like any other. Extra columns are ignored.
+Null or wordless texts have no postings and come back clean. Rows are told apart by doc_id and text, equal rows get equal
+results, and a null doc_id is an id like any other. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,23 +24,35 @@ def words_of(text: Column) -> Column:
     return c.tokens(c.lower_ascii(text), c.NON_WORD)
 
 
-def postings(docs: DataFrame, terms: DataFrame, around: int) -> DataFrame:
-    """Positional postings of `terms(term, ...)`: doc_id, pos (from 0), the words before (nearest first) and after.
+def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """Positional postings of `terms(term, ...)`: doc_id, rk (text hash), pos (from 0), and the columns of terms.
 
-    The explode and the join are one code-generated stage: only postings that match a term are ever built. The outer form
-    keeps the optimizer from adding a filter that would split every text a second time; the join drops its null rows.
+    Only ids leave the explode, and the outer form keeps the optimizer from adding a filter that would split every text
+    a second time; the join drops its null rows.
     """
-    listed = docs.select("doc_id", words_of(F.col("text")).alias("w")).select("doc_id", "w", F.posexplode_outer("w").alias("pos", "term"))
-    near = [
+    listed = docs.select("doc_id", F.xxhash64("text").alias("rk"), F.posexplode_outer(words_of(F.col("text"))).alias("pos", "term"))
+    return listed.join(c.small(terms, BROADCAST_ROWS), "term").select("doc_id", "rk", "pos", *terms.columns)
+
+
+def neighbourhoods(docs: DataFrame, found: DataFrame, around: int) -> DataFrame:
+    """The stored postings `found` with the `around` words before (nearest first) and after each. Texts are read again
+    for documents with postings only; the postings are broadcast if they are few."""
+    rest = [x for x in found.columns if x not in ("doc_id", "rk")]
+    per = found.groupBy("doc_id", "rk").agg(F.collect_list(F.struct(*rest)).alias("hits")).select(F.col("doc_id").alias("_id"), F.col("rk").alias("_rk"), "hits")
+    few = found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    rows = docs.select("doc_id", F.xxhash64("text").alias("rk"), "text")
+    met = rows.join(F.broadcast(per) if few else per, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("rk") == F.col("_rk")))
+    each = met.select("doc_id", "rk", words_of(F.col("text")).alias("w"), "hits").select("doc_id", "rk", "w", F.explode_outer("hits").alias("x")).select("doc_id", "rk", "w", "x.*")
+    return each.select(
+        "doc_id", "rk", *rest,
         F.reverse(F.slice("w", F.greatest(F.lit(1), F.col("pos") + 1 - around), F.least(F.col("pos"), F.lit(around)))).alias("before"),
         F.slice("w", F.col("pos") + 2, around).alias("after"),
-    ] if around else []
-    return listed.join(c.small(terms, BROADCAST_ROWS), "term").select("doc_id", "pos", *terms.columns, *near)
+    )
 
 
 def frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """term, postings: how often each of the given terms occurs in the documents."""
-    return postings(docs, terms, 0).groupBy("term").agg(F.count(F.lit(1)).alias("postings"))
+    return postings(docs, terms).groupBy("term").agg(F.count(F.lit(1)).alias("postings"))
 
 
 def item_windows(items: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -67,7 +78,7 @@ def anchors(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
     side = windows.where("start = 0").select("item_id", "item", "need")
     near = width - 1
     return rarest.join(side, rarest.item_id.eqNullSafe(side.item_id)).select(
-        rarest.item_id, "term", "need",
+        rarest.item_id, "term", "at", "need",
         F.reverse(F.slice("item", F.greatest(F.lit(1), F.col("at") + 1 - near), F.least(F.col("at"), F.lit(near)))).alias("item_before"),
         F.slice("item", F.col("at") + 2, near).alias("item_after"),
     )
@@ -82,10 +93,14 @@ def agreeing(left: str, right: str) -> Column:
 
 
 def phrase_matches(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, item_id, first, last: stretches of document words (from 0, inclusive) made of whole windows of the item."""
-    found = postings(docs, c.stored(anchors(docs, items, width), "anchors"), width - 1)
-    run = found.withColumn("l", agreeing("before", "item_before")).withColumn("r", agreeing("after", "item_after"))
-    return run.where("l + r + 1 >= need").select("doc_id", "item_id", (F.col("pos") - F.col("l")).alias("first"), (F.col("pos") + F.col("r")).alias("last"))
+    """doc_id, rk, item_id, first, last: stretches of document words (from 0, inclusive) made of whole windows of the item."""
+    probes = c.stored(anchors(docs, items, width), "anchors")
+    found = c.stored(postings(docs, probes.select("term", "item_id", "at")).drop("term"), "postings")
+    near = neighbourhoods(docs, found, width - 1)
+    side = probes.select(F.col("item_id").alias("_item"), F.col("at").alias("_at"), "need", "item_before", "item_after")
+    near = near.join(c.small(side, BROADCAST_ROWS), F.col("item_id").eqNullSafe(F.col("_item")) & (F.col("at") == F.col("_at")))
+    run = near.withColumn("l", agreeing("before", "item_before")).withColumn("r", agreeing("after", "item_after"))
+    return run.where("l + r + 1 >= need").select("doc_id", "rk", "item_id", (F.col("pos") - F.col("l")).alias("first"), (F.col("pos") + F.col("r")).alias("last")).distinct()
 
 
 def proximity_matches(docs: DataFrame, items: DataFrame, slop: int = 20) -> DataFrame:
@@ -96,7 +111,8 @@ def proximity_matches(docs: DataFrame, items: DataFrame, slop: int = 20) -> Data
     counts = frequencies(docs, offered.select("term").distinct())
     rarest = offered.join(counts, "term", "left").groupBy("item_id").agg(F.min(F.struct(F.coalesce("postings", F.lit(0)).alias("n"), "term")).alias("r")).where("r.n > 0")
     probe = rarest.join(worded, "item_id").select("item_id", F.col("r.term").alias("term"), "item")
-    near = postings(docs, probe, slop - 1)
+    found = c.stored(postings(docs, probe.select("term", "item_id")), "postings")
+    near = neighbourhoods(docs, found, slop - 1).join(probe.select("item_id", "item"), "item_id")
     # a span [pos - i, pos - i + slop - 1] for some i in 0..slop-1 must hold all terms
     spans = near.withColumn("i", F.explode(F.sequence(F.lit(0), F.least(F.lit(slop - 1), F.size("before")))))
     held = F.concat(F.slice("before", F.lit(1), F.col("i")), F.array("term"), F.slice("after", F.lit(1), F.lit(slop - 1) - F.col("i")))
@@ -107,16 +123,17 @@ def proximity_matches(docs: DataFrame, items: DataFrame, slop: int = 20) -> Data
     )
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, width: int = WIDTH, share: float = 0.05) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items (sorted ids as strings), contaminated, one row for each row of docs."""
+def decontaminate(docs: DataFrame, items: DataFrame, width: int = WIDTH, share: float = 0.05, keep_hash: bool = False) -> DataFrame:
+    """doc_id, n_words, n_hit, items (sorted ids as strings), contaminated, one row for each row of docs; with keep_hash
+    also rk, the hash of the text."""
     hits = phrase_matches(docs, items, width)
-    seen = hits.select("doc_id", "item_id", F.explode(F.sequence("first", "last")).alias("p")).groupBy("doc_id").agg(
+    seen = hits.select("doc_id", "rk", "item_id", F.explode(F.sequence("first", "last")).alias("p")).groupBy("doc_id", "rk").agg(
         F.size(F.collect_set("p")).cast("long").alias("n_hit"), F.array_sort(F.collect_set(F.coalesce(F.col("item_id").cast("string"), F.lit("")))).alias("items")
-    ).withColumnRenamed("doc_id", "hit_id")
-    sized = docs.select("doc_id", F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
+    ).withColumnRenamed("doc_id", "hit_id").withColumnRenamed("rk", "hit_rk")
+    sized = docs.select("doc_id", F.xxhash64("text").alias("rk"), F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
     none = F.array().cast("array<string>")
-    out = sized.join(seen, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left").select(
-        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", none).alias("items")
+    out = sized.join(seen, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("rk") == F.col("hit_rk")), "left").select(
+        "doc_id", *(["rk"] if keep_hash else []), "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", none).alias("items")
     )
     scale = round(1 / share)
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (scale * F.col("n_hit") >= F.col("n_words")))

@@ -165,7 +165,8 @@ def hash64(data: bytes) -> int:
 
 
 def light_runs(groups: DataFrame, ranges: int) -> DataFrame:
-    """run, gid, n: distinct sets of two or more groups that share a light prefix token."""
+    """run, gid, n, pos: distinct sets of two or more groups that share a light prefix token, with the token's place in
+    each prefix. Of several tokens with equal sets the first in order counts: it has the least places."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,20 +175,22 @@ def light_runs(groups: DataFrame, ranges: int) -> DataFrame:
             times = np.diff(column.offsets.to_numpy())
             gid = np.repeat(batch.column("gid").to_numpy(zero_copy_only=False), times)
             n = np.repeat(batch.column("n").to_numpy(zero_copy_only=False), times).astype(np.uint32)
+            pos = (np.arange(len(token)) - np.repeat(column.offsets.to_numpy()[:-1], times)).astype(np.uint32)
             order = np.argsort(token)
-            token, gid, n = token[order], gid[order], n[order]
+            token, gid, n, pos = token[order], gid[order], n[order], pos[order]
             cut = by_range(token >> np.uint64(32), ranges)
-            rows = [(r, int(b - a), pack(np.diff(token[a:b], prepend=np.uint64(0))), pack(gid[a:b]), pack(n[a:b])) for r, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
+            rows = [(r, int(b - a), pack(np.diff(token[a:b], prepend=np.uint64(0))), pack(gid[a:b]), pack(n[a:b]), pack(pos[a:b])) for r, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["r", "k", "token", "gid", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["r", "k", "token", "gid", "n", "pos"])
 
     def meet(rows: pa.Table) -> pa.Table:
         parts = rows.to_pylist()
         token = np.concatenate([np.cumsum(unpack(p["token"], p["k"], np.uint64), dtype=np.uint64) for p in parts])
         gid = np.concatenate([unpack(p["gid"], p["k"], np.int64) for p in parts])
         n = np.concatenate([unpack(p["n"], p["k"], np.uint32) for p in parts])
-        order = np.lexsort((gid, token))
-        token, gid, n = token[order], gid[order], n[order]
+        pos = np.concatenate([unpack(p["pos"], p["k"], np.uint32) for p in parts])
+        order = np.argsort(token, kind="stable")
+        token, gid, n, pos = token[order], gid[order], n[order], pos[order]
         starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         length = np.diff(np.append(starts, len(token)))
         # a run is named by the sum of its members' mixed hashes, so equal runs of other tokens bear the same name
@@ -195,14 +198,16 @@ def light_runs(groups: DataFrame, ranges: int) -> DataFrame:
         several = np.flatnonzero(length > 1)
         several = several[np.unique(name[several], return_index=True)[1]]
         at = np.repeat(starts[several] - np.concatenate([[0], np.cumsum(length[several])[:-1]]), length[several]) + np.arange(length[several].sum())
-        return pa.table({"run": pa.array(np.repeat(name[several], length[several]).view(np.int64)), "gid": pa.array(gid[at]), "n": pa.array(n[at].astype(np.int64))})
+        return pa.table({"run": pa.array(np.repeat(name[several], length[several]).view(np.int64)), "gid": pa.array(gid[at]), "n": pa.array(n[at].astype(np.int64)), "pos": pa.array(pos[at].astype(np.int64))})
 
-    sent = groups.select("gid", "n", "light").mapInArrow(send, "r int, k int, token binary, gid binary, n binary")
-    return sent.groupBy("r").applyInArrow(meet, "run long, gid long, n long").distinct()
+    sent = groups.select("gid", "n", "light").mapInArrow(send, "r int, k int, token binary, gid binary, n binary, pos binary")
+    met = sent.groupBy("r").applyInArrow(meet, "run long, gid long, n long, pos long")
+    return met.groupBy("run", "gid").agg(F.first("n").alias("n"), F.min("pos").alias("pos"))
 
 
-def near_sizes(a: str, b: str, percent: int) -> str:
-    return f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})"
+def may_link(n: str, m: str, i: str, j: str, percent: int) -> str:
+    """Whether sets of sizes n and m whose first common token has places i and j can still reach the similarity."""
+    return f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m}) AND {100 + percent} * (1 + least({n} - 1 - {i}, {m} - 1 - {j})) >= {percent} * ({n} + {m})"
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -257,17 +262,17 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, heaviest: int = HEA
     groups = heads.where("n > 0").select("gid", "n", "light", "heavy").dropDuplicates(["gid"])
     groups = c.stored(groups, "jaccard-groups")
     runs = c.stored(light_runs(groups, ranges), "jaccard-runs")
-    heavy = groups.select(F.explode("heavy").alias("run"), "gid", "n")
+    heavy = groups.select(F.posexplode_outer("heavy").alias("i", "run"), "gid", "n", F.size("light").alias("k")).where("run IS NOT NULL").selectExpr("run", "gid", "n", "CAST(k + i AS long) AS pos")
     several = heavy.groupBy("run").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("run")
     heavy = c.stored(heavy.join(several, "run"), "jaccard-heavy")
 
     # round 1: stars in runs and groups, and all pairs of short runs
     every = runs.unionByName(heavy)
-    centre = every.groupBy("run").agg(F.min(F.struct("gid", "n")).alias("m"), F.count(F.lit(1)).alias("k"))
-    star = every.join(centre, "run").where("gid <> m.gid").select(F.col("m.gid").alias("g"), F.col("gid").alias("h"), F.col("m.n").alias("gn"), F.col("n").alias("hn"))
+    centre = every.groupBy("run").agg(F.min(F.struct("gid", "n", "pos")).alias("m"), F.count(F.lit(1)).alias("k"))
+    star = every.join(centre, "run").where("gid <> m.gid").select(F.col("m.gid").alias("g"), F.col("gid").alias("h"), F.col("m.n").alias("gn"), F.col("n").alias("hn"), F.col("m.pos").alias("gp"), F.col("pos").alias("hp"))
     short = runs.join(centre.where(f"k <= {SHORT_RUN}").select("run"), "run")
-    short = short.alias("x").join(short.alias("y"), F.expr("x.run = y.run AND x.gid < y.gid")).selectExpr("x.gid AS g", "y.gid AS h", "x.n AS gn", "y.n AS hn")
-    met = star.unionByName(short).where(near_sizes("gn", "hn", percent)).select("g", "h").distinct()
+    short = short.alias("x").join(short.alias("y"), F.expr("x.run = y.run AND x.gid < y.gid")).selectExpr("x.gid AS g", "y.gid AS h", "x.n AS gn", "y.n AS hn", "x.pos AS gp", "y.pos AS hp")
+    met = star.unionByName(short).where(may_link("gn", "hn", "gp", "hp", percent)).select("g", "h").distinct()
     across = met.join(lead.select(F.col("gid").alias("g"), F.col("lead").alias("a")), "g").join(lead.select(F.col("gid").alias("h"), F.col("lead").alias("b")), "h").select("a", "b")
     within = classes.join(lead, "gid").where("cid <> lead").select(F.col("lead").alias("a"), F.col("cid").alias("b"))
     first = c.stored(across.unionByName(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "jaccard-pairs")
@@ -277,10 +282,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, heaviest: int = HEA
     # round 2: pairs that share a run or a group and lie in different components
     placed = classes.select("cid", "gid", "n").join(joined.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "gid", "n", F.coalesce("root", "cid").alias("root"))
     placed = c.stored(placed, "jaccard-placed")
-    member = every.select("run", "gid").unionByName(placed.select(F.col("gid").alias("run"), "gid")).join(placed, "gid").select("run", "cid", "n", "root")
+    own = placed.select(F.col("gid").alias("run"), "gid", F.lit(0).cast("long").alias("pos")).distinct()
+    member = every.select("run", "gid", "pos").unionByName(own).join(placed, "gid").select("run", "cid", "n", "pos", "root")
     open_ = member.groupBy("run").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("run")
     member = c.stored(member.join(open_, "run"), "jaccard-open")
-    again = member.alias("x").join(member.alias("y"), F.expr("x.run = y.run AND x.root < y.root AND " + near_sizes("x.n", "y.n", percent)))
+    again = member.alias("x").join(member.alias("y"), F.expr("x.run = y.run AND x.root < y.root AND " + may_link("x.n", "y.n", "x.pos", "y.pos", percent)))
     again = again.selectExpr("least(x.cid, y.cid) AS a", "greatest(x.cid, y.cid) AS b").distinct().join(first, ["a", "b"], "left_anti")
     again = c.stored(again, "jaccard-pairs")
     more = c.stored(verified(docs, classes, again, percent), "jaccard-links")

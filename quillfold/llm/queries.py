@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunks, decontaminate, jaccard, language, mixing, pii, rules, sharding, toxicity
+from . import chunks, decontaminate, jaccard, language, mixing, ngram, pii, rules, sharding, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_lm_scoring": ngram.op1_lm_scoring,
         "op2_decontaminate": decontaminate.op2_decontaminate,
         "op3_mixing": mixing.op3_mixing,
         "op4_sharding": sharding.op4_sharding,
