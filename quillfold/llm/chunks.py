@@ -1,7 +1,7 @@
 """Removal of repeated multi-line chunks with content-defined boundaries.
 
-A rolling hash over the hashes of `window` consecutive lines ends a chunk where it falls into one of `spread` residues,
-so boundaries depend on nearby lines only and come back after an insertion. Chunks of two or more lines that occur more
+A rolling hash over the hashes of `window` consecutive lines ends a chunk where it is lower than its neighbours, so
+boundaries depend on nearby lines only, come back after an insertion, and lie about three lines apart. Chunks of two or more lines that occur more
 than once in the corpus are compared byte by byte; the first occurrence (by doc_id, then line) stays.
 
 Only hashes of chunks are counted over the corpus; chunk bodies are built for repeated hashes alone. Equal bodies are
@@ -16,24 +16,26 @@ from pyspark.sql import functions as F
 
 from . import common as c
 
-WINDOW, SPREAD, LEAST_LINES = 2, 3, 2
+WINDOW, LEAST_LINES = 2, 2
 BROADCAST_ROWS = 1_000_000
 
 
-def line_chunks(lines: Column, window: int = WINDOW, spread: int = SPREAD) -> Column:
+def line_chunks(lines: Column, window: int = WINDOW) -> Column:
     """array<struct<start, n>> of an array of lines, start from 0."""
-    def ends(h):
-        last = F.size(h) - 1
-        def ends_at(_, i):
-            rolled = F.xxhash64(F.slice(h, F.greatest(F.lit(1), i + 2 - window), F.least(F.lit(window), i + 1)))
-            return F.when((i == last) | (F.pmod(rolled, F.lit(spread)) == 0), i)
-        return F.filter(F.transform(h, ends_at), lambda i: i.isNotNull())
+    def rolled(h):
+        return F.transform(h, lambda _, i: F.xxhash64(F.slice(h, F.greatest(F.lit(1), i + 2 - window), F.least(F.lit(window), i + 1))))
+
+    def ends(r):
+        def low(x, i):
+            before, after = F.get(r, i - 1), F.get(r, i + 1)
+            return F.when((i == F.size(r) - 1) | ((x < before) & (x <= after)), i)
+        return F.filter(F.transform(r, low), lambda i: i.isNotNull())
 
     def cut(e):
         return F.transform(e, lambda x, j: F.struct((F.coalesce(F.get(e, j - 1), F.lit(-1)) + 1).alias("start"), (x - F.coalesce(F.get(e, j - 1), F.lit(-1))).alias("n")))
 
     hashes = F.transform(lines, lambda x: F.xxhash64(x))
-    return c.let(c.let(hashes, ends), cut)
+    return c.let(c.let(c.let(hashes, rolled), ends), cut)
 
 
 def chunks(docs: DataFrame, least: int = LEAST_LINES) -> DataFrame:

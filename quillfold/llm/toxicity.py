@@ -69,14 +69,14 @@ def features(text: str, lexicon: Lexicon) -> list[float]:
     known = distinct & lexicon.words.keys()
     stemmed = {w for w in distinct if len(w) > 4 and (w[:4] in lexicon.stems or w[:5] in lexicon.stems or w[:6] in lexicon.stems)}
     if known or stemmed:
+        worth = {w: max(lexicon.words.get(w, 0.0), *(lexicon.stems.get(w[:k], 0.0) for k in STEMS)) for w in known | stemmed}
         for i, w in enumerate(words):
-            if w in known:
+            if w in worth:
                 hits += 1
-                weight += lexicon.words[w]
-                top = max(top, lexicon.words[w])
+                weight += worth[w]
+                top = max(top, worth[w])
                 near += any(x in YOU for x in words[max(0, i - NEAR) : i + NEAR + 1])
-            if w in stemmed:
-                stem_hits += 1
+                stem_hits += w in stemmed
     for m in ODD.finditer(lowered):
         plain = m[0].translate(LEET)
         letters = "".join(ch for ch in plain if ch.isalpha())
