@@ -18,10 +18,21 @@ SPACES = r"[\x20\x09-\x0D]+"
 NON_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
+#: Rows of an Arrow batch. Texts may be long, so batches are kept small; a session that sets its own value keeps it.
+BATCH_ROWS = 500
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    key, usual = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+    if spark.conf.get(key, usual) == usual:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z to a-z and nothing else. Pure ASCII texts take the fast built-in."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
@@ -58,10 +69,13 @@ def scratch(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark)}/quillfold-{kind}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, kind: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read again: lineage ends and any executor may be lost."""
+def stored(df: DataFrame, kind: str, paths: list[str] | None = None) -> DataFrame:
+    """df written as Parquet in the shared folder and read again: lineage ends and any executor may be lost. The path is
+    added to `paths`, for clear() once nothing reads it any more."""
     path = scratch(df.sparkSession, kind)
     df.write.parquet(path)
+    if paths is not None:
+        paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
