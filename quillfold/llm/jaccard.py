@@ -31,7 +31,7 @@ SHINGLE, PERCENT = 5, 75
 LIGHT, HEAVIEST = 24, 500_000
 SHORT_RUN = 8
 BROADCAST_ROWS = 500_000
-FLUSH = 8_000_000
+FLUSH = 4_000_000
 _STEPS = np.random.default_rng(20).integers(1, 2**63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -82,7 +82,7 @@ def by_range(top: np.ndarray, ranges: int) -> np.ndarray:
     return np.searchsorted(top, (np.arange(ranges + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(ranges))
 
 
-def frequency_table(docs: DataFrame, ranges: int, light: int = LIGHT, heaviest: int = HEAVIEST) -> tuple[np.ndarray, np.ndarray]:
+def frequency_table(docs: DataFrame, ranges: int, light: int = LIGHT, heaviest: int = HEAVIEST, paths: list[str] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The upper halves of the most frequent shingles, sorted, and their class (1 + log2 of their documents).
 
     Each task counts its own shingles and sends them by range, packed; a range is counted up in one task. Only ranges'
@@ -120,7 +120,7 @@ def frequency_table(docs: DataFrame, ranges: int, light: int = LIGHT, heaviest:
         return pa.table({"top": pa.array(top[first][heavy].astype(np.int64)), "docs": pa.array(total[heavy])})
 
     counted = hashed_words(docs).mapInArrow(count, "r int, n int, top binary, times binary").groupBy("r").applyInArrow(add, "top long, docs long")
-    rows = c.stored(counted, "jaccard-frequent").orderBy(F.desc("docs"), "top").limit(heaviest).toArrow()
+    rows = c.stored(counted, "jaccard-frequent", paths).orderBy(F.desc("docs"), "top").limit(heaviest).toArrow()
     top, times = rows.column("top").to_numpy().astype(np.uint32), rows.column("docs").to_numpy()
     order = np.argsort(top)
     return top[order], (1 + np.log2(np.maximum(times[order], 1))).astype(np.uint8)
@@ -210,23 +210,23 @@ def may_link(n: str, m: str, i: str, j: str, percent: int) -> str:
     return f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m}) AND {100 + percent} * (1 + least({n} - 1 - {i}, {m} - 1 - {j})) >= {percent} * ({n} + {m})"
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, paths: list[str] | None = None) -> DataFrame:
     """node, root (the smallest node of its component) for every node of edges(a, b).
 
     Large and small stars in turn: each round links all larger neighbours, then all smaller ones, to the least of them,
     which halves distances; rounds end when no edge changes.
     """
     both = lambda e: e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    e = c.stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    e = c.stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links", paths)
     mark = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     while mark[0]:
         near = both(e)
         least = near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = near.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = c.stored(large, "links")
+        large = c.stored(large, "links", paths)
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(least.select("a", F.col("m").alias("b")))
-        e = c.stored(small.distinct(), "links")
+        e = c.stored(small.distinct(), "links", paths)
         last, mark = mark, e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if last == mark:
             break
@@ -234,10 +234,10 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
-def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int, paths: list[str] | None = None) -> DataFrame:
     """Of the class pairs (a, b), those whose sets reach the similarity. Sets are built for the classes named only."""
     named = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
-    reps = c.stored(named.join(classes, "cid").select("cid", F.col("rep.doc_id").alias("rep_id"), F.col("rep.rk").alias("rep_rk")), "jaccard-reps")
+    reps = c.stored(named.join(classes, "cid").select("cid", F.col("rep.doc_id").alias("rep_id"), F.col("rep.rk").alias("rep_rk")), "jaccard-reps", paths)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("rk"))
     chosen = rows.join(c.small(reps, BROADCAST_ROWS), (F.col("rk") == F.col("rep_rk")) & F.col("doc_id").eqNullSafe(F.col("rep_id")))
 
@@ -246,7 +246,7 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int
             s = [x.view(np.int64) for x in sets_of(batch.column("w"))]
             yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.array(s, pa.list_(pa.int64()))], names=["cid", "s"])
 
-    built = c.stored(hashed_words(chosen, "cid").mapInArrow(sets, "cid long, s array<long>").dropDuplicates(["cid"]), "jaccard-sets")
+    built = c.stored(hashed_words(chosen, "cid").mapInArrow(sets, "cid long, s array<long>").dropDuplicates(["cid"]), "jaccard-sets", paths)
     left, right = built.select(F.col("cid").alias("a"), F.col("s").alias("sa")), built.select(F.col("cid").alias("b"), F.col("s").alias("sb"))
     met = pairs.join(right, "b").join(left, "a").select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("both"))
     return met.where(f"100 * both >= {percent} * (na + nb - both)").select("a", "b")
@@ -254,17 +254,23 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, heaviest: int = HEAVIEST, light: int = LIGHT) -> DataFrame:
     """doc_id, rk (hash of the text), n_shingles, component_id: one row for each row of docs."""
+    paths: list[str] = []
+
+    def stored(df: DataFrame, kind: str) -> DataFrame:
+        return c.stored(df, kind, paths)
+
+    c.small_batches(docs.sparkSession)
     ranges = min(4096, max(4, docs.select("doc_id").rdd.getNumPartitions()))
-    heads = c.stored(prefixes(docs, frequency_table(docs, ranges, light, heaviest), percent), "jaccard-prefixes")
+    heads = stored(prefixes(docs, frequency_table(docs, ranges, light, heaviest, paths), percent), "jaccard-prefixes")
     classes = heads.where("n > 0").groupBy("cid").agg(F.first("gid").alias("gid"), F.first("n").alias("n"), F.min(F.struct("doc_id", "rk")).alias("rep"), F.min("doc_id").alias("least"))
-    classes = c.stored(classes, "jaccard-classes")
-    lead = c.stored(classes.groupBy("gid").agg(F.min("cid").alias("lead")), "jaccard-leads")
+    classes = stored(classes, "jaccard-classes")
+    lead = stored(classes.groupBy("gid").agg(F.min("cid").alias("lead")), "jaccard-leads")
     groups = heads.where("n > 0").select("gid", "n", "light", "heavy").dropDuplicates(["gid"])
-    groups = c.stored(groups, "jaccard-groups")
-    runs = c.stored(light_runs(groups, ranges), "jaccard-runs")
+    groups = stored(groups, "jaccard-groups")
+    runs = stored(light_runs(groups, ranges), "jaccard-runs")
     heavy = groups.select(F.posexplode_outer("heavy").alias("i", "run"), "gid", "n", F.size("light").alias("k")).where("run IS NOT NULL").selectExpr("run", "gid", "n", "CAST(k + i AS long) AS pos")
     several = heavy.groupBy("run").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("run")
-    heavy = c.stored(heavy.join(several, "run"), "jaccard-heavy")
+    heavy = stored(heavy.join(several, "run"), "jaccard-heavy")
 
     # round 1: stars in runs and groups, and all pairs of short runs
     every = runs.unionByName(heavy)
@@ -275,29 +281,33 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, heaviest: int = HEA
     met = star.unionByName(short).where(may_link("gn", "hn", "gp", "hp", percent)).select("g", "h").distinct()
     across = met.join(lead.select(F.col("gid").alias("g"), F.col("lead").alias("a")), "g").join(lead.select(F.col("gid").alias("h"), F.col("lead").alias("b")), "h").select("a", "b")
     within = classes.join(lead, "gid").where("cid <> lead").select(F.col("lead").alias("a"), F.col("cid").alias("b"))
-    first = c.stored(across.unionByName(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "jaccard-pairs")
-    links = c.stored(verified(docs, classes, first, percent), "jaccard-links")
-    joined = c.stored(components(links), "jaccard-roots")
+    first = stored(across.unionByName(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "jaccard-pairs")
+    links = stored(verified(docs, classes, first, percent, paths), "jaccard-links")
+    joined = stored(components(links, paths), "jaccard-roots")
 
     # round 2: pairs that share a run or a group and lie in different components
     placed = classes.select("cid", "gid", "n").join(joined.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "gid", "n", F.coalesce("root", "cid").alias("root"))
-    placed = c.stored(placed, "jaccard-placed")
+    placed = stored(placed, "jaccard-placed")
     own = placed.select(F.col("gid").alias("run"), "gid", F.lit(0).cast("long").alias("pos")).distinct()
     member = every.select("run", "gid", "pos").unionByName(own).join(placed, "gid").select("run", "cid", "n", "pos", "root")
     open_ = member.groupBy("run").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("run")
-    member = c.stored(member.join(open_, "run"), "jaccard-open")
+    member = stored(member.join(open_, "run"), "jaccard-open")
     again = member.alias("x").join(member.alias("y"), F.expr("x.run = y.run AND x.root < y.root AND " + may_link("x.n", "y.n", "x.pos", "y.pos", percent)))
     again = again.selectExpr("least(x.cid, y.cid) AS a", "greatest(x.cid, y.cid) AS b").distinct().join(first, ["a", "b"], "left_anti")
-    again = c.stored(again, "jaccard-pairs")
-    more = c.stored(verified(docs, classes, again, percent), "jaccard-links")
+    again = stored(again, "jaccard-pairs")
+    more = stored(verified(docs, classes, again, percent, paths), "jaccard-links")
     if more.take(1):
-        joined = components(joined.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+        joined = components(joined.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), paths)
 
     roots = classes.select("cid", "least").join(joined.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "least", F.coalesce("root", "cid").alias("root"))
     names = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    label = c.stored(roots.join(names, "root").select("cid", "component_id"), "jaccard-names")
+    label = stored(roots.join(names, "root").select("cid", "component_id"), "jaccard-names")
     out = heads.select("doc_id", "rk", "n", "cid").join(c.small(label, BROADCAST_ROWS), "cid", "left")
-    return out.select("doc_id", "rk", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = out.select("doc_id", "rk", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = c.stored(out, "jaccard-components")
+    for path in paths:
+        c.clear(docs.sparkSession, path)
+    return out
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
