@@ -6,8 +6,9 @@ similarity share a prefix token and have sizes within the ratio. Rows with equal
 prefix and size are one group. Groups that share a prefix token form a run; equal runs are kept once.
 
 Links are only needed between classes that are not yet connected. A first round verifies, in each run and each group,
-pairs with the smallest member (and all pairs of short runs) and joins up components; a second round verifies every
-remaining pair of a run or group whose ends lie in different components. So a large family of near copies costs a star,
+pairs with the smallest member (and all pairs of short runs) and joins up components; further rounds do so from a few
+members of a run's largest component; the last verifies every remaining pair of a run or group whose ends lie in
+different components. So a large family of near copies costs a star,
 no link between components is lost, and no run of a frequent token is held in one task: those are plain joins.
 
 Null, empty and wordless texts have empty sets and link with nothing. Rows are told apart by (doc_id, text), and a
@@ -29,7 +30,7 @@ from . import common as c
 SHINGLE, PERCENT = 5, 75
 #: Shingles with more documents than LIGHT may enter the frequency table, which keeps the HEAVIEST of them.
 LIGHT, HEAVIEST = 24, 500_000
-SHORT_RUN = 8
+SHORT_RUN, CENTRES, STARS = 8, 4, (4, 16)
 BROADCAST_ROWS = 500_000
 FLUSH = 4_000_000
 _STEPS = np.random.default_rng(20).integers(1, 2**63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -275,7 +276,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, heaviest: int = HEA
     # round 1: stars in runs and groups, and all pairs of short runs
     every = runs.unionByName(heavy)
     centre = every.groupBy("run").agg(F.min(F.struct("gid", "n", "pos")).alias("m"), F.count(F.lit(1)).alias("k"))
-    star = every.join(centre, "run").where("gid <> m.gid").select(F.col("m.gid").alias("g"), F.col("gid").alias("h"), F.col("m.n").alias("gn"), F.col("n").alias("hn"), F.col("m.pos").alias("gp"), F.col("pos").alias("hp"))
+    # besides the smallest, a member that leads one of a few other orders: a family whose smallest member is far out meets elsewhere
+    order = F.xxhash64("gid", F.pmod("run", F.lit(CENTRES)))
+    other = every.groupBy("run").agg(F.min(F.struct(order.alias("o"), "gid", "n", "pos")).alias("m"), F.count(F.lit(1)).alias("k")).where(f"k > {SHORT_RUN}")
+    centres = centre.select("run", F.struct("m.gid", "m.n", "m.pos").alias("m")).unionByName(other.select("run", F.struct("m.gid", "m.n", "m.pos").alias("m")))
+    star = every.join(centres, "run").where("gid <> m.gid").select(F.col("m.gid").alias("g"), F.col("gid").alias("h"), F.col("m.n").alias("gn"), F.col("n").alias("hn"), F.col("m.pos").alias("gp"), F.col("pos").alias("hp"))
     short = runs.join(centre.where(f"k <= {SHORT_RUN}").select("run"), "run")
     short = short.alias("x").join(short.alias("y"), F.expr("x.run = y.run AND x.gid < y.gid")).selectExpr("x.gid AS g", "y.gid AS h", "x.n AS gn", "y.n AS hn", "x.pos AS gp", "y.pos AS hp")
     met = star.unionByName(short).where(may_link("gn", "hn", "gp", "hp", percent)).select("g", "h").distinct()
@@ -285,19 +290,42 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, heaviest: int = HEA
     links = stored(verified(docs, classes, first, percent, paths), "jaccard-links")
     joined = stored(components(links, paths), "jaccard-roots")
 
-    # round 2: pairs that share a run or a group and lie in different components
-    placed = classes.select("cid", "gid", "n").join(joined.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "gid", "n", F.coalesce("root", "cid").alias("root"))
-    placed = stored(placed, "jaccard-placed")
-    own = placed.select(F.col("gid").alias("run"), "gid", F.lit(0).cast("long").alias("pos")).distinct()
-    member = every.select("run", "gid", "pos").unionByName(own).join(placed, "gid").select("run", "cid", "n", "pos", "root")
-    open_ = member.groupBy("run").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("run")
-    member = stored(member.join(open_, "run"), "jaccard-open")
+    # what is still open in long runs: stars from a few members of the run's largest component, then from more
+    own = classes.select(F.col("gid").alias("run"), "gid", F.lit(0).cast("long").alias("pos")).distinct()
+    shared = every.select("run", "gid", "pos").unionByName(own).join(classes.select("cid", "gid", "n"), "gid").select("run", "cid", "n", "pos")
+    shared = stored(shared, "jaccard-members")
+    tested = first
+
+    def unjoined(joined: DataFrame) -> DataFrame:
+        """The members, with their roots, of runs that lie in several components."""
+        member = shared.join(joined.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+        several = member.groupBy("run").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("run")
+        return stored(member.join(several, "run"), "jaccard-open")
+
+    def link(pairs: DataFrame, joined: DataFrame) -> DataFrame:
+        """Components after verifying the pairs that were not tested before."""
+        nonlocal tested
+        fresh = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"), "jaccard-pairs")
+        tested = tested.unionByName(fresh)
+        found = stored(verified(docs, classes, fresh, percent, paths), "jaccard-links")
+        if not found.take(1):
+            return joined
+        return stored(components(joined.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found), paths), "jaccard-roots")
+
+    for several in STARS:
+        member = unjoined(joined)
+        count = member.groupBy("run", "root").agg(F.count(F.lit(1)).alias("k"))
+        large = count.groupBy("run").agg(F.max(F.struct("k", "root")).alias("m"), F.sum("k").alias("all")).where(f"all > {SHORT_RUN}").selectExpr("run", "m.root AS root")
+        leads = [F.min(F.struct(F.xxhash64("cid", F.lit(k)).alias("o"), "cid", "n", "pos")) for k in range(several)]
+        centre = member.join(large, ["run", "root"]).groupBy("run", "root").agg(F.array_distinct(F.transform(F.array(*leads), lambda x: F.struct(x["cid"].alias("cid"), x["n"].alias("n"), x["pos"].alias("pos")))).alias("m"))
+        centre = centre.select("run", F.col("root").alias("r"), F.explode("m").alias("m"))
+        star = member.join(centre, "run").where("root <> r AND " + may_link("n", "m.n", "pos", "m.pos", percent))
+        joined = link(star.select(F.col("cid").alias("a"), F.col("m.cid").alias("b")), joined)
+
+    # last: every pair of a run whose ends still lie in different components
+    member = unjoined(joined)
     again = member.alias("x").join(member.alias("y"), F.expr("x.run = y.run AND x.root < y.root AND " + may_link("x.n", "y.n", "x.pos", "y.pos", percent)))
-    again = again.selectExpr("least(x.cid, y.cid) AS a", "greatest(x.cid, y.cid) AS b").distinct().join(first, ["a", "b"], "left_anti")
-    again = stored(again, "jaccard-pairs")
-    more = stored(verified(docs, classes, again, percent, paths), "jaccard-links")
-    if more.take(1):
-        joined = components(joined.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), paths)
+    joined = link(again.selectExpr("x.cid AS a", "y.cid AS b"), joined)
 
     roots = classes.select("cid", "least").join(joined.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "least", F.coalesce("root", "cid").alias("root"))
     names = roots.groupBy("root").agg(F.min("least").alias("component_id"))
