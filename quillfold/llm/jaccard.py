@@ -250,7 +250,8 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int
     built = c.stored(hashed_words(chosen, "cid").mapInArrow(sets, "cid long, s array<long>").dropDuplicates(["cid"]), "jaccard-sets", paths)
     left, right = built.select(F.col("cid").alias("a"), F.col("s").alias("sa")), built.select(F.col("cid").alias("b"), F.col("s").alias("sb"))
     met = pairs.join(right, "b").join(left, "a").select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("both"))
-    return met.where(f"100 * both >= {percent} * (na + nb - both)").select("a", "b")
+    # few links remain of many sets compared: without this every task of the comparison writes a file of a row or two
+    return met.where(f"100 * both >= {percent} * (na + nb - both)").select("a", "b").hint("rebalance")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, heaviest: int = HEAVIEST, light: int = LIGHT) -> DataFrame:
