@@ -5,7 +5,8 @@ Objects are found by walking the file from head to tail, not by its cross-refere
 read too; of several definitions of one number the last counts. Object streams are opened. Whatever can't be read becomes an
 `error`, of the document or of the object, and never ends the job.
 
-Decoded streams are bounded by `MOST_DECODED`. Encrypted files are marked; their strings and streams are not decrypted, so
+A batch holds its files whole: for large files lower spark.sql.execution.arrow.maxRecordsPerBatch. Decoded streams are bounded
+by `MOST_DECODED`. Encrypted files are marked; their strings and streams are not decrypted, so
 the objects inside their object streams are missing and reported by an error.
 """
 
@@ -24,8 +25,6 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
 MOST_DECODED = 256 * 2**20
-#: Files of a batch: a batch holds them whole.
-BATCH_FILES = 8
 GAP = re.compile(rb"(?:[\x00\t\n\x0c\r ]|%[^\r\n]*)*")
 WORD = re.compile(rb"[^\x00\t\n\x0c\r ()<>\[\]{}/%]*")
 NUMBER = re.compile(rb"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)$")
@@ -394,9 +393,6 @@ def table(raw: DataFrame, schema: str, rows: Callable[[Pdf], Iterator[tuple]] |
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array([path] * len(out), pa.string()), *(pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), list(kind)[1:], strict=True))], schema=kind)
 
-    key, usual = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
-    if raw.sparkSession.conf.get(key, usual) in (usual, "500"):
-        raw.sparkSession.conf.set(key, str(BATCH_FILES))
     return raw.select("path", "length", "content").mapInArrow(run, schema)
 
 
