@@ -1,10 +1,13 @@
-"""Removal of repeated multi-line chunks with content-defined boundaries.
+"""Removal of repeated passages of lines, whose boundaries the content defines.
 
-A rolling hash over the hashes of `window` consecutive lines ends a chunk where it is lower than its neighbours, so
-boundaries depend on nearby lines only, come back after an insertion, and lie about three lines apart. Chunks of two or more lines that occur more
-than once in the corpus are compared byte by byte; the first occurrence (by doc_id, then line) stays.
+Windows roll over the lines of a text: every two neighbouring lines, and every single line of more than LONG_WORDS words.
+A window that occurs more than once in the corpus is compared byte by byte, and the lines of all its occurrences but the
+first (by doc_id, then line) go. A removed chunk is thus the union of overlapping windows: it begins and ends where the
+lines stop being repeated, whatever stands around it. A line only goes for an earlier copy of its window, so the earliest
+copy of every line stays; and a window that overlaps its own first occurrence leaves that whole. A short line whose
+neighbours do not repeat with it stays, and so do blank windows.
 
-Only hashes of chunks are counted over the corpus; chunk bodies are built for repeated hashes alone. Equal bodies are
+Only hashes of windows are counted over the corpus; bodies are built for repeated hashes alone. Equal bodies are
 grouped by partial aggregates, and no pairs are formed. Null text has no lines and stays null; rows that share a doc_id
 are told apart by their text's hash, and wholly equal rows count as one occurrence each only across different ids.
 """
@@ -16,56 +19,87 @@ from pyspark.sql import functions as F
 
 from . import common as c
 
-WINDOW, LEAST_LINES = 2, 2
+LONG_WORDS = 50
+#: A line of more than LONG_WORDS words has at least so many bytes.
+LONG_BYTES = 2 * LONG_WORDS + 1
 BROADCAST_ROWS = 1_000_000
 
 
-def line_chunks(lines: Column, window: int = WINDOW) -> Column:
-    """array<struct<start, n>> of an array of lines, start from 0."""
-    def rolled(h):
-        return F.transform(h, lambda _, i: F.xxhash64(F.slice(h, F.greatest(F.lit(1), i + 2 - window), F.least(F.lit(window), i + 1))))
+def small(stored: DataFrame) -> DataFrame:
+    """A stored table marked for broadcast if it has few rows. They are counted where they are: no row reaches the driver."""
+    return F.broadcast(stored) if stored.count() <= BROADCAST_ROWS else stored
 
-    def ends(r):
-        def low(x, i):
-            before, after = F.get(r, i - 1), F.get(r, i + 1)
-            return F.when((i == F.size(r) - 1) | ((x < before) & (x <= after)), i)
-        return F.filter(F.transform(r, low), lambda i: i.isNotNull())
 
-    def cut(e):
-        return F.transform(e, lambda x, j: F.struct((F.coalesce(F.get(e, j - 1), F.lit(-1)) + 1).alias("start"), (x - F.coalesce(F.get(e, j - 1), F.lit(-1))).alias("n")))
+def lined(docs: DataFrame) -> DataFrame:
+    return docs.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("row"), F.split("text", "\n", -1).alias("lines"))
 
-    hashes = F.transform(lines, lambda x: F.xxhash64(x))
-    return c.let(c.let(c.let(hashes, rolled), ends), cut)
 
+def line_windows(lines: Column) -> Column:
+    """array<struct<start, n, h>> of an array of lines, start from 0: pairs, and lines long enough to count alone."""
+    def window(i, n, h):
+        return F.struct(i.alias("start"), F.lit(n).alias("n"), h.alias("h"))
 
-def chunks(docs: DataFrame, least: int = LEAST_LINES) -> DataFrame:
-    """doc_id, row, start, n, body, h for each multi-line chunk."""
-    lined = docs.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("row"), F.split("text", "\n", -1).alias("lines"))
-    def bodies(x):
-        return F.struct(x["start"].alias("start"), x["n"].alias("n"), F.array_join(F.slice("lines", x["start"] + 1, x["n"]), "\n").alias("body"))
+    def pairs(hashes):
+        return F.transform(F.slice(hashes, F.lit(1), F.size(hashes) - 1), lambda x, i: window(i, 2, F.xxhash64(x, F.get(hashes, i + 1))))
 
-    cut = F.transform(F.filter(line_chunks(F.col("lines")), lambda x: x["n"] >= least), bodies)
-    out = lined.select("doc_id", "row", F.explode_outer(cut).alias("c")).where("c IS NOT NULL").select("doc_id", "row", "c.*")
-    return out.where(F.trim("body") != "").withColumn("h", F.xxhash64("body"))
+    alone = F.transform(lines, lambda x, i: F.when(F.octet_length(x) >= LONG_BYTES, window(i, 1, F.xxhash64(x))))
+    return F.concat(c.let(F.transform(lines, lambda x: F.xxhash64(x)), pairs), F.filter(alone, lambda x: x.isNotNull()))
+
+
+def windows(docs: DataFrame) -> DataFrame:
+    """doc_id, row, start, n, h for each window."""
+    out = lined(docs).select("doc_id", "row", F.explode_outer(line_windows(F.col("lines"))).alias("x"))
+    return out.where("x IS NOT NULL").select("doc_id", "row", "x.*")
+
+
+def bodies(docs: DataFrame, hits: DataFrame) -> DataFrame:
+    """doc_id, row, start, n, h, body of the stored windows hits(doc_id, row, at), at being 2 * start + n - 1, less blank
+    windows and single lines of too few words. Only these small numbers go into a broadcast."""
+    few = hits.count() <= BROADCAST_ROWS
+    per = hits.groupBy("doc_id", "row").agg(F.collect_set("at").alias("hits")).select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "hits")
+    met = lined(docs).join(F.broadcast(per) if few else per, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row")))
+    def body(x):
+        start, n = F.shiftright(x, 1), x % 2 + 1
+        return F.struct(start.alias("start"), n.alias("n"), F.array_join(F.slice("lines", start + 1, n), "\n").alias("body"))
+
+    out = met.select("doc_id", "row", F.explode_outer(F.transform("hits", body)).alias("x")).select("doc_id", "row", "x.*").withColumn("h", F.xxhash64("body"))
+    return out.where(F.when(F.col("n") == 1, F.size(c.tokens(F.col("body"))) > LONG_WORDS).otherwise(F.col("body").rlike(r"[^\x20\x09-\x0D]")))
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """doc_id, row, start, n of every occurrence but the first of a repeated chunk."""
-    again = chunks(docs).groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("h")
+    """doc_id, row, line (from 0) of the lines in every occurrence but the first of a repeated window."""
+    again = windows(docs).groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("h")
     again = c.stored(again, "chunk-hashes")
-    found = c.stored(chunks(docs).join(c.small(again, BROADCAST_ROWS), "h"), "chunk-bodies")
-    first = found.groupBy("h", "body").agg(F.min(F.struct("doc_id", "row", "start")).alias("first"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    kept = found.join(first, ["h", "body"])
-    return kept.where(~F.struct("doc_id", "row", "start").eqNullSafe(F.col("first"))).select("doc_id", "row", "start", "n").distinct()
+    hits = c.stored(windows(docs).join(small(again), "h").select("doc_id", "row", (2 * F.col("start") + F.col("n") - 1).alias("at")), "chunk-windows")
+    found = c.stored(bodies(docs, hits), "chunk-bodies")
+    # bodies are compared by grouping; only those whose hash stands for several need be joined by their bytes again
+    place = F.struct("doc_id", "row", "start")
+    first = lambda df: df.groupBy("h", "body").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("m"))
+    by_hash = c.stored(first(found).groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.max("m").alias("m"), F.min("first").alias("first")), "chunk-first")
+    met = found.drop("body").join(small(by_hash.where("k = 1 AND m > 1").select("h", "first")), "h")
+    mixed = by_hash.where("k > 1").select("h")
+    if mixed.take(1):
+        apart = found.join(mixed, "h")
+        met = met.unionByName(apart.join(first(apart).where("m > 1").drop("m"), ["h", "body"]).drop("body"))
+    later = met.where(~place.eqNullSafe(F.col("first"))).withColumn("line", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)))
+    own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("row") == F.col("first.row")) & (F.col("line") < F.col("first.start") + F.col("n"))
+    return later.where(~own).select("doc_id", "row", "line")
+
+
+def stretches(at: str) -> Column:
+    """array<struct<start, n>> of the sorted array of line numbers in the column `at`."""
+    starts = F.filter(at, lambda x, i: F.coalesce(F.get(at, i - 1) < x - 1, F.lit(True)))
+    ends = F.filter(at, lambda x, i: F.coalesce(F.get(at, i + 1) > x + 1, F.lit(True)))
+    return F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("start"), (b - a + 1).alias("n")))
 
 
 def drop_repeated(docs: DataFrame) -> DataFrame:
-    """docs with text less its repeated chunks, n_lines (before) and n_removed (lines)."""
+    """docs with text less its repeated passages, n_lines (before) and n_removed (lines)."""
     gone = c.stored(repeated(docs), "chunk-gone")
-    few = len(gone.limit(BROADCAST_ROWS + 1).take(BROADCAST_ROWS + 1)) <= BROADCAST_ROWS
-    per = gone.groupBy("doc_id", "row").agg(F.array_sort(F.collect_list(F.struct("start", "n"))).alias("gone")).select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "gone")
-    lined = docs.withColumn("_lines", F.split("text", "\n", -1)).withColumn("_h", F.xxhash64("text"))
-    out = lined.join(F.broadcast(per) if few else per, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_row")), "left")
+    few = gone.count() <= BROADCAST_ROWS
+    per = gone.groupBy("doc_id", "row").agg(F.array_sort(F.collect_set("line")).alias("at")).select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), stretches("at").alias("gone"))
+    split = docs.withColumn("_lines", F.split("text", "\n", -1)).withColumn("_h", F.xxhash64("text"))
+    out = split.join(F.broadcast(per) if few else per, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_row")), "left")
     # the kept stretches lie between the removed ones
     gap = F.concat(F.col("gone"), F.array(F.struct(F.size("_lines").alias("start"), F.lit(0).alias("n"))))
     def stretch(x, j):
