@@ -23,15 +23,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document that names its component stays; of rows equal in id and text, or of equal ids, the least text hash stays."""
-    found = jaccard.near_duplicates(docs.select("doc_id", "text"))
-    # a component's survivor: its smallest id, and for that id its smallest text hash
-    best = found.where("n_shingles > 0 AND doc_id <=> component_id").groupBy("doc_id").agg(F.min("rk").alias("rk"))
-    bare = found.where("n_shingles = 0").select("doc_id", "rk").distinct()
-    stay = common.stored(best.unionByName(bare).distinct(), "pipeline-stay").select(F.col("doc_id").alias("_id"), F.col("rk").alias("_rk"))
+    """One row of each component: of its smallest id (null last), then its least text hash, then the least other columns.
+    Wordless texts link with nothing and all stay."""
+    found = jaccard.near_duplicates(docs.select("doc_id", "text"), keep_root=True)
+    times = found.where("n_shingles > 0").groupBy("root", "doc_id", "rk").agg(F.count(F.lit(1)).alias("times"))
+    best = times.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rk", "times")).alias("x")).select("x.doc_id", "x.rk", "x.times")
+    bare = found.where("n_shingles = 0").select("doc_id", "rk", F.lit(1).cast("long").alias("times")).distinct()
+    stay = common.stored(best.unionByName(bare).groupBy("doc_id", "rk").agg(F.max("times").alias("times")), "pipeline-stay").select(F.col("doc_id").alias("_id"), F.col("rk").alias("_rk"), "times")
     keyed = docs.withColumn("_h", F.xxhash64("text"))
-    met = keyed.join(common.small(stay, 2_000_000), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_rk")), "left_semi")
-    return met.drop("_h")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_rk"))
+    again = stay.where("times > 1")
+    if not again.take(1):
+        return keyed.join(common.small(stay, 2_000_000), same, "left_semi").drop("_h")
+    met = keyed.join(common.small(stay.where("times = 1"), 2_000_000), same, "left_semi").drop("_h")
+    # survivors that occur in several rows: one row of each
+    one = keyed.join(common.small(again, 2_000_000), same, "left_semi").groupBy("doc_id", "_h").agg(F.min(F.struct(*docs.columns)).alias("x")).select("x.*")
+    return met.unionByName(one)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -254,8 +254,9 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int
     return met.where(f"100 * both >= {percent} * (na + nb - both)").select("a", "b").hint("rebalance")
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, heaviest: int = HEAVIEST, light: int = LIGHT) -> DataFrame:
-    """doc_id, rk (hash of the text), n_shingles, component_id: one row for each row of docs."""
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, heaviest: int = HEAVIEST, light: int = LIGHT, keep_root: bool = False) -> DataFrame:
+    """doc_id, rk (hash of the text), n_shingles, component_id: one row for each row of docs. With keep_root also root,
+    which tells components apart even where they bear the same id; null for wordless texts, which link with nothing."""
     paths: list[str] = []
 
     def stored(df: DataFrame, kind: str) -> DataFrame:
@@ -330,9 +331,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, heaviest: int = HEA
 
     roots = classes.select("cid", "least").join(joined.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "least", F.coalesce("root", "cid").alias("root"))
     names = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    label = stored(roots.join(names, "root").select("cid", "component_id"), "jaccard-names")
+    root = ["root"] if keep_root else []
+    label = stored(roots.join(names, "root").select("cid", "component_id", *root), "jaccard-names")
     out = heads.select("doc_id", "rk", "n", "cid").join(c.small(label, BROADCAST_ROWS), "cid", "left")
-    out = out.select("doc_id", "rk", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = out.select("doc_id", "rk", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), *root)
     out = c.stored(out, "jaccard-components")
     for path in paths:
         c.clear(docs.sparkSession, path)
