@@ -55,30 +55,35 @@ def frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return postings(docs, terms).groupBy("term").agg(F.count(F.lit(1)).alias("postings"))
 
 
+def worded(items: DataFrame) -> DataFrame:
+    """item_id, item_rk (text hash), item words: items are told apart by id and text, as documents are; equal rows are one."""
+    rows = items.select("item_id", "text").distinct()
+    return rows.select("item_id", F.xxhash64("text").alias("item_rk"), words_of(F.col("text")).alias("item")).where(F.size("item") > 0)
+
+
 def item_windows(items: DataFrame, width: int = WIDTH) -> DataFrame:
-    """item_id, item words, need (length of its windows), start: one row a window."""
-    worded = items.select("item_id", words_of(F.col("text")).alias("item")).where(F.size("item") > 0)
-    sized = worded.withColumn("need", F.least(F.lit(width), F.size("item")))
+    """item_id, item_rk, item words, need (length of its windows), start: one row a window."""
+    sized = worded(items).withColumn("need", F.least(F.lit(width), F.size("item")))
     return sized.withColumn("start", F.explode(F.sequence(F.lit(0), F.size("item") - F.col("need"))))
 
 
 def anchors(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
     """The item positions whose term is the rarest of at least one window. Windows with an absent term can't occur."""
     windows = item_windows(items, width)
-    offered = windows.select("item_id", "start", F.posexplode(F.slice("item", F.col("start") + 1, F.col("need"))).alias("offset", "term"))
+    offered = windows.select("item_id", "item_rk", "start", F.posexplode(F.slice("item", F.col("start") + 1, F.col("need"))).alias("offset", "term"))
     counts = frequencies(docs, offered.select("term").distinct())
     rarest = (
         offered.join(counts, "term", "left")
-        .groupBy("item_id", "start")
+        .groupBy("item_id", "item_rk", "start")
         .agg(F.min(F.struct(F.coalesce("postings", F.lit(0)).alias("n"), "term", (F.col("start") + F.col("offset")).alias("at"))).alias("r"))
         .where("r.n > 0")
-        .select("item_id", F.col("r.term").alias("term"), F.col("r.at").alias("at"))
+        .select("item_id", "item_rk", F.col("r.term").alias("term"), F.col("r.at").alias("at"))
         .distinct()
     )
-    side = windows.where("start = 0").select("item_id", "item", "need")
+    side = windows.where("start = 0").select("item_id", "item_rk", "item", "need")
     near = width - 1
-    return rarest.join(side, rarest.item_id.eqNullSafe(side.item_id)).select(
-        rarest.item_id, "term", "at", "need",
+    return rarest.join(side, rarest.item_id.eqNullSafe(side.item_id) & (rarest.item_rk == side.item_rk)).select(
+        rarest.item_id, rarest.item_rk, "term", "at", "need",
         F.reverse(F.slice("item", F.greatest(F.lit(1), F.col("at") + 1 - near), F.least(F.col("at"), F.lit(near)))).alias("item_before"),
         F.slice("item", F.col("at") + 2, near).alias("item_after"),
     )
@@ -95,10 +100,10 @@ def agreeing(left: str, right: str) -> Column:
 def phrase_matches(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, rk, item_id, first, last: stretches of document words (from 0, inclusive) made of whole windows of the item."""
     probes = c.stored(anchors(docs, items, width), "anchors")
-    found = c.stored(postings(docs, probes.select("term", "item_id", "at")).drop("term"), "postings")
+    found = c.stored(postings(docs, probes.select("term", "item_id", "item_rk", "at")).drop("term"), "postings")
     near = neighbourhoods(docs, found, width - 1)
-    side = probes.select(F.col("item_id").alias("_item"), F.col("at").alias("_at"), "need", "item_before", "item_after")
-    near = near.join(c.small(side, BROADCAST_ROWS), F.col("item_id").eqNullSafe(F.col("_item")) & (F.col("at") == F.col("_at")))
+    side = probes.select(F.col("item_id").alias("_item"), F.col("item_rk").alias("_item_rk"), F.col("at").alias("_at"), "need", "item_before", "item_after")
+    near = near.join(c.small(side, BROADCAST_ROWS), F.col("item_id").eqNullSafe(F.col("_item")) & (F.col("item_rk") == F.col("_item_rk")) & (F.col("at") == F.col("_at")))
     run = near.withColumn("l", agreeing("before", "item_before")).withColumn("r", agreeing("after", "item_after"))
     return run.where("l + r + 1 >= need").select("doc_id", "rk", "item_id", (F.col("pos") - F.col("l")).alias("first"), (F.col("pos") + F.col("r")).alias("last")).distinct()
 
@@ -106,13 +111,14 @@ def phrase_matches(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> Dat
 def proximity_matches(docs: DataFrame, items: DataFrame, slop: int = 20) -> DataFrame:
     """doc_id, item_id, first, last: spans of at most `slop` words around an occurrence of the item's rarest term that
     hold every distinct term of the item, in any order. For short items; the span found is the neighbourhood that matched."""
-    worded = items.select("item_id", F.array_distinct(words_of(F.col("text"))).alias("item")).where(F.size("item") > 0)
-    offered = worded.select("item_id", F.explode("item").alias("term"))
+    named = worded(items).withColumn("item", F.array_distinct("item"))
+    offered = named.select("item_id", "item_rk", F.explode("item").alias("term"))
     counts = frequencies(docs, offered.select("term").distinct())
-    rarest = offered.join(counts, "term", "left").groupBy("item_id").agg(F.min(F.struct(F.coalesce("postings", F.lit(0)).alias("n"), "term")).alias("r")).where("r.n > 0")
-    probe = rarest.join(worded, "item_id").select("item_id", F.col("r.term").alias("term"), "item")
-    found = c.stored(postings(docs, probe.select("term", "item_id")), "postings")
-    near = neighbourhoods(docs, found, slop - 1).join(probe.select("item_id", "item"), "item_id")
+    rarest = offered.join(counts, "term", "left").groupBy("item_id", "item_rk").agg(F.min(F.struct(F.coalesce("postings", F.lit(0)).alias("n"), "term")).alias("r")).where("r.n > 0")
+    side = named.select(F.col("item_id").alias("_item"), F.col("item_rk").alias("_item_rk"), "item")
+    same = F.col("item_id").eqNullSafe(F.col("_item")) & (F.col("item_rk") == F.col("_item_rk"))
+    found = c.stored(postings(docs, rarest.select(F.col("r.term").alias("term"), "item_id", "item_rk")), "postings")
+    near = neighbourhoods(docs, found, slop - 1).join(side, same)
     # a span [pos - i, pos - i + slop - 1] for some i in 0..slop-1 must hold all terms
     spans = near.withColumn("i", F.explode(F.sequence(F.lit(0), F.least(F.lit(slop - 1), F.size("before")))))
     held = F.concat(F.slice("before", F.lit(1), F.col("i")), F.array("term"), F.slice("after", F.lit(1), F.lit(slop - 1) - F.col("i")))
