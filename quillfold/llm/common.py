@@ -20,6 +20,12 @@ NON_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 #: Rows of an Arrow batch. Texts may be long, so batches are kept small; a session that sets its own value keeps it.
 BATCH_ROWS = 500
+#: Most rows of ids and hashes that are broadcast: at about 60 bytes each, 30 MB. Beyond it matching() and unmatched()
+#: take a filter of bounded size and shuffle what passes it.
+BROADCAST_ROWS = 500_000
+#: Most 64-bit words of that filter: 4 MB, for 3 million keys at a false rate of a few in a hundred.
+FILTER_WORDS = 1 << 19
+PROBES = 3
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -50,11 +56,14 @@ def let(value: Column, body) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Set only where the session has none, as in tests."""
+    """The folder that driver and executors share. It is set here only where the session has none and runs on one
+    machine, as in tests; a cluster without one is an error, since a local folder would lose what others wrote."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         current = spark.sparkContext.getCheckpointDir()
         if current is None:
+            if not spark.sparkContext.master.startswith("local["):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             where = "/tmp/quillfold-checkpoints"
             spark.sparkContext.setCheckpointDir(where)
         else:
@@ -69,14 +78,33 @@ def scratch(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark)}/quillfold-{kind}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, kind: str, paths: list[str] | None = None) -> DataFrame:
-    """df written as Parquet in the shared folder and read again: lineage ends and any executor may be lost. The path is
-    added to `paths`, for clear() once nothing reads it any more."""
-    path = scratch(df.sparkSession, kind)
-    df.write.parquet(path)
-    if paths is not None:
-        paths.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+class Scratch:
+    """Tables written to the shared folder. Each is dropped when its last reader has run, the rest by close()."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def __call__(self, df: DataFrame, kind: str) -> DataFrame:
+        """df written as Parquet and read again: lineage ends and any executor may be lost."""
+        path = scratch(self.spark, kind)
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (out, path)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for t in tables:
+            _, path = self.paths.pop(id(t), (None, None))
+            if path:
+                clear(self.spark, path)
+
+    def close(self) -> None:
+        self.drop(*[t for t, _ in self.paths.values()])
+
+
+def stored(df: DataFrame, kind: str) -> DataFrame:
+    """df written as Parquet in the shared folder and read again, for results that outlive their operator."""
+    return Scratch(df.sparkSession)(df, kind)
 
 
 def clear(spark: SparkSession, path: str) -> None:
@@ -86,6 +114,52 @@ def clear(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def small(df: DataFrame, most_rows: int) -> DataFrame:
-    """df marked for broadcast if it has at most most_rows rows, else as it is (Spark then shuffles)."""
-    return F.broadcast(df) if len(df.limit(most_rows + 1).select(F.lit(1)).take(most_rows + 1)) <= most_rows else df
+def small(stored: DataFrame, most_rows: int) -> DataFrame:
+    """A stored table marked for broadcast if it has at most most_rows rows, else as it is (Spark then shuffles). Rows are
+    counted where they are; none reaches the driver."""
+    return F.broadcast(stored) if stored.limit(most_rows + 1).count() <= most_rows else stored
+
+
+def may_be_in(keys: DataFrame, key: str, value: Column) -> Column:
+    """Whether value may be among keys' column `key` (long): a Bloom filter of bounded size, as one array of words that
+    comes into the plan by a scalar subquery. Never false for a key; often true for others once keys outnumber its bits."""
+    spark = keys.sparkSession
+    n = keys.count()
+    words = 64
+    while words < FILTER_WORDS and words * 64 < 12 * n:
+        words *= 2
+
+    def bits(x: Column) -> list[Column]:
+        return [F.pmod(F.xxhash64(x, F.lit(k)), F.lit(words * 64)) for k in range(PROBES)]
+
+    set_ = keys.select(F.explode(F.array(*bits(F.col(key)))).alias("bit")).select(F.shiftright("bit", 6).alias("i"), F.expr("shiftleft(1L, CAST(bit & 63 AS int))").alias("w"))
+    set_ = set_.groupBy("i").agg(F.bit_or("w").alias("w"))
+    every = spark.range(words).withColumnRenamed("id", "i").join(set_, "i", "left")
+    dense = every.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", F.coalesce("w", F.lit(0).cast("long")).alias("w")))), lambda x: x["w"]).alias("words"))
+    table = dense.scalar()
+    hit = F.lit(True)
+    for b in bits(value):
+        hit = hit & (F.call_function("bit_get", F.element_at(table, (F.shiftright(b, 6) + 1).cast("int")), (b % 64).cast("int")) == 1)
+    return hit
+
+
+def paired(docs: DataFrame, keys: DataFrame) -> Column:
+    return docs["doc_id"].eqNullSafe(keys["_id"]) & (docs["rk"] == keys["_rk"])
+
+
+def matching(docs: DataFrame, keys: DataFrame, most_rows: int | None = None) -> DataFrame:
+    """Rows of docs(doc_id, rk, ...) with the columns of the stored keys(_id, _rk, ...) of equal id and text hash."""
+    if keys.count() <= (BROADCAST_ROWS if most_rows is None else most_rows):
+        return docs.join(F.broadcast(keys), paired(docs, keys))
+    near = docs.where(may_be_in(keys, "_rk", F.col("rk")))
+    return near.join(keys, paired(near, keys))
+
+
+def unmatched(docs: DataFrame, keys: DataFrame, most_rows: int | None = None) -> DataFrame:
+    """Rows of docs(doc_id, rk, ...) whose id and text hash are not in the stored keys(_id, _rk). Beyond most_rows keys,
+    only rows that a filter can't clear are shuffled; the others pass where they are."""
+    if keys.count() <= (BROADCAST_ROWS if most_rows is None else most_rows):
+        return docs.join(F.broadcast(keys), paired(docs, keys), "left_anti")
+    maybe = F.coalesce(may_be_in(keys, "_rk", F.col("rk")), F.lit(False))
+    near = docs.where(maybe)
+    return docs.where(~maybe).unionByName(near.join(keys, paired(near, keys), "left_anti"))

@@ -12,7 +12,9 @@ different components. So a large family of near copies costs a star,
 no link between components is lost, and no run of a frequent token is held in one task: those are plain joins.
 
 Null, empty and wordless texts have empty sets and link with nothing. Rows are told apart by (doc_id, text), and a
-component's name is the smallest doc_id in it (null only if all its ids are null). Extra columns are ignored.
+component's name is the smallest doc_id in it (null only if all its ids are null). Repeated rows are one class and each
+get a row of the result; an empty table gives none. Texts of any length are taken whole. Extra columns are ignored.
+Sets are 64-bit hashes, of which the last comparison uses 48.
 """
 
 from __future__ import annotations
@@ -26,13 +28,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as c
+from .ranges import Exchange, by_range, pack, ranges_for, unpack
 
 SHINGLE, PERCENT = 5, 75
 #: Shingles with more documents than LIGHT may enter the frequency table, which keeps the HEAVIEST of them.
 LIGHT, HEAVIEST = 24, 500_000
 SHORT_RUN, CENTRES, STARS = 8, 4, (4, 16)
-BROADCAST_ROWS = 500_000
-FLUSH = 4_000_000
 _STEPS = np.random.default_rng(20).integers(1, 2**63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -66,62 +67,30 @@ def sets_of(column: pa.ListArray) -> Iterator[np.ndarray]:
             yield np.zeros(0, np.uint64)
 
 
-def pack(values: np.ndarray) -> bytes:
-    """Integers as zstd-compressed byte planes."""
-    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T
-    return pa.compress(np.ascontiguousarray(planes).tobytes(), "zstd", asbytes=True)
-
-
-def unpack(data: bytes, n: int, kind: type) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    raw = np.frombuffer(pa.decompress(data, n * size, "zstd", asbytes=True), np.uint8)
-    return np.ascontiguousarray(raw.reshape(size, n).T).view(kind).reshape(n)
-
-
-def by_range(top: np.ndarray, ranges: int) -> np.ndarray:
-    """Where each of the equal ranges of the 32-bit space begins in the sorted array `top`, and its end."""
-    return np.searchsorted(top, (np.arange(ranges + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(ranges))
-
-
-def frequency_table(docs: DataFrame, ranges: int, light: int = LIGHT, heaviest: int = HEAVIEST, paths: list[str] | None = None) -> tuple[np.ndarray, np.ndarray]:
+def frequency_table(docs: DataFrame, ranges: int, light: int = LIGHT, heaviest: int = HEAVIEST) -> tuple[np.ndarray, np.ndarray]:
     """The upper halves of the most frequent shingles, sorted, and their class (1 + log2 of their documents).
 
     Each task counts its own shingles and sends them by range, packed; a range is counted up in one task. Only ranges'
     heavy entries remain, and of them at most `heaviest` reach the driver.
     """
+    by = Exchange(lambda top: by_range(top, ranges), ranges, np.uint32, (np.uint32,))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+    def gather(batch: pa.RecordBatch) -> Iterator[tuple[list[np.ndarray], list[np.ndarray]]]:
+        top = np.concatenate([(s >> np.uint64(32)).astype(np.uint32) for s in sets_of(batch.column("w"))] or [np.zeros(0, np.uint32)])
+        yield [top], []
 
-        def flush():
-            top, times = np.unique(np.concatenate(held), return_counts=True)
-            cut = by_range(top, ranges)
-            rows = [(r, int(b - a), pack(np.diff(top[a:b], prepend=np.uint32(0))), pack(times[a:b].astype(np.uint32))) for r, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["r", "n", "top", "times"])
+    def count(columns: list[np.ndarray]) -> list[np.ndarray]:
+        return list(np.unique(columns[0], return_counts=True))
 
-        for batch in batches:
-            for s in sets_of(batch.column("w")):
-                held.append((s >> np.uint64(32)).astype(np.uint32))
-                size += len(s)
-                if size >= FLUSH:
-                    yield flush()
-                    held, size = [], 0
-        if size:
-            yield flush()
-
-    def add(rows: pa.Table) -> pa.Table:
-        parts = rows.to_pylist()
-        top = np.concatenate([np.cumsum(unpack(p["top"], p["n"], np.uint32), dtype=np.uint32) for p in parts])
-        times = np.concatenate([unpack(p["times"], p["n"], np.uint32) for p in parts]).astype(np.int64)
-        order = np.argsort(top, kind="stable")
-        top, times = top[order], times[order]
+    def add(_: int, columns: list[np.ndarray], table: list[np.ndarray]) -> pa.Table:
+        top, times = columns
         first = np.flatnonzero(np.concatenate([[True], top[1:] != top[:-1]]))
-        total = np.add.reduceat(times, first)
+        total = np.add.reduceat(times.astype(np.int64), first)
         heavy = total > light
         return pa.table({"top": pa.array(top[first][heavy].astype(np.int64)), "docs": pa.array(total[heavy])})
 
-    counted = hashed_words(docs).mapInArrow(count, "r int, n int, top binary, times binary").groupBy("r").applyInArrow(add, "top long, docs long")
-    rows = c.stored(counted, "jaccard-frequent", paths).orderBy(F.desc("docs"), "top").limit(heaviest).toArrow()
+    sent = hashed_words(docs).mapInArrow(by.sender(gather, count), by.schema)
+    rows = by.apply(sent, add, "top long, docs long").orderBy(F.desc("docs"), "top").limit(heaviest).toArrow()
     top, times = rows.column("top").to_numpy().astype(np.uint32), rows.column("docs").to_numpy()
     order = np.argsort(top)
     return top[order], (1 + np.log2(np.maximum(times[order], 1))).astype(np.uint8)
@@ -131,18 +100,38 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Parities of a set's hashes over a power of two of places, at least as many as the set has members."""
+    m = max(64, 1 << (len(s) - 1).bit_length())
+    return np.packbits(np.bincount((s & np.uint64(m - 1)).astype(np.int64), minlength=m).astype(np.uint8) & 1).tobytes()
+
+
+def fewest_apart(a: bytes, b: bytes) -> int:
+    """A lower bound of the size of two sets' symmetric difference: the places in which their sketches differ, the longer
+    one folded to the length of the shorter."""
+    x, y = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
+    while len(y) > len(x):
+        half = folded(y)
+        y = half
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def folded(y: np.ndarray) -> np.ndarray:
+    return y[: len(y) // 2] ^ y[len(y) // 2 :]
+
+
 def prefixes(docs: DataFrame, table: tuple[np.ndarray, np.ndarray], percent: int = PERCENT) -> DataFrame:
-    """doc_id, rk (text hash), n, cid (class), gid (group) and the prefix: light tokens, then heavy ones."""
+    """doc_id, rk (text hash), n, cid (class), gid (group), bits (sketch) and the prefix: light tokens, then heavy ones."""
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         top, rank = shared.value
         for batch in batches:
-            out = ([], [], [], [], [])
+            out = ([], [], [], [], [], [])
             for s in sets_of(batch.column("w")):
                 n = len(s)
                 if not n:
-                    for column, x in zip(out, (0, None, None, [], []), strict=True):
+                    for column, x in zip(out, (0, None, None, None, [], []), strict=True):
                         column.append(x)
                     continue
                 half = (s >> np.uint64(32)).astype(np.uint32)
@@ -152,46 +141,45 @@ def prefixes(docs: DataFrame, table: tuple[np.ndarray, np.ndarray], percent: int
                 light = s[order][level[order] == 0].view(np.int64)
                 heavy = s[order][level[order] > 0].view(np.int64)
                 key = np.concatenate([light, heavy]).tobytes()
-                for column, x in zip(out, (n, hash64(s.tobytes()), hash64(key + n.to_bytes(8, "little")), light, heavy), strict=True):
+                for column, x in zip(out, (n, hash64(s.tobytes()), hash64(key + n.to_bytes(8, "little")), sketch(s), light, heavy), strict=True):
                     column.append(x)
             longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rk"), *(pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), longs, longs), strict=True))], names=["doc_id", "rk", "n", "cid", "gid", "light", "heavy"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rk"), *(pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), longs, longs), strict=True))], names=["doc_id", "rk", "n", "cid", "gid", "bits", "light", "heavy"])
 
     rows = hashed_words(docs, F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("rk"))
-    return rows.mapInArrow(heads, "doc_id long, rk long, n long, cid long, gid long, light array<long>, heavy array<long>")
+    return rows.mapInArrow(heads, "doc_id long, rk long, n long, cid long, gid long, bits binary, light array<long>, heavy array<long>")
 
 
 def hash64(data: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
 
 
-def light_runs(groups: DataFrame, ranges: int) -> DataFrame:
+def light_runs(heads: DataFrame, ranges: int) -> DataFrame:
     """run, gid, n, pos: distinct sets of two or more groups that share a light prefix token, with the token's place in
-    each prefix. Of several tokens with equal sets the first in order counts: it has the least places."""
+    each prefix. Of several tokens with equal sets the first in order counts: it has the least places.
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column("light")
-            token = column.values.to_numpy(zero_copy_only=False).view(np.uint64)
-            times = np.diff(column.offsets.to_numpy())
-            gid = np.repeat(batch.column("gid").to_numpy(zero_copy_only=False), times)
-            n = np.repeat(batch.column("n").to_numpy(zero_copy_only=False), times).astype(np.uint32)
-            pos = (np.arange(len(token)) - np.repeat(column.offsets.to_numpy()[:-1], times)).astype(np.uint32)
-            order = np.argsort(token)
-            token, gid, n, pos = token[order], gid[order], n[order], pos[order]
-            cut = by_range(token >> np.uint64(32), ranges)
-            rows = [(r, int(b - a), pack(np.diff(token[a:b], prepend=np.uint64(0))), pack(gid[a:b]), pack(n[a:b]), pack(pos[a:b])) for r, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["r", "k", "token", "gid", "n", "pos"])
-
-    def meet(rows: pa.Table) -> pa.Table:
-        parts = rows.to_pylist()
-        token = np.concatenate([np.cumsum(unpack(p["token"], p["k"], np.uint64), dtype=np.uint64) for p in parts])
-        gid = np.concatenate([unpack(p["gid"], p["k"], np.int64) for p in parts])
-        n = np.concatenate([unpack(p["n"], p["k"], np.uint32) for p in parts])
-        pos = np.concatenate([unpack(p["pos"], p["k"], np.uint32) for p in parts])
-        order = np.argsort(token, kind="stable")
-        token, gid, n, pos = token[order], gid[order], n[order], pos[order]
+    Tokens go by their upper 48 bits: two that agree there make a run with a few more candidates, and lose none. A task
+    sends a group once, however many of its rows have it; a range keeps one entry for each group and token.
+    """
+    by = Exchange(lambda token: by_range(token >> np.uint64(16), ranges), ranges, np.uint64, (np.uint32, np.uint32), (np.int64, np.uint32))
+
+    def gather(batch: pa.RecordBatch) -> Iterator[tuple[list[np.ndarray], list[np.ndarray]]]:
+        column = batch.column("light")
+        ends = column.offsets.to_numpy()
+        group, n = batch.column("gid").to_numpy(zero_copy_only=False), batch.column("n").to_numpy(zero_copy_only=False)
+        rows = np.unique(group, return_index=True)[1]
+        times = np.diff(ends)[rows]
+        at = np.repeat(ends[:-1][rows] - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(int(times.sum()))
+        token = column.values.to_numpy(zero_copy_only=False).view(np.uint64)[at] >> np.uint64(16)
+        yield [token, np.repeat(np.arange(len(rows)), times), (at - np.repeat(ends[:-1][rows], times)).astype(np.uint32)], [group[rows], n[rows].astype(np.uint32)]
+
+    def meet(_: int, columns: list[np.ndarray], table: list[np.ndarray]) -> pa.Table:
+        token, entry, pos = columns
+        gid = table[0][entry]
+        order = np.lexsort((gid, token))
+        token, gid, n, pos = token[order], gid[order], table[1][entry][order], pos[order]
+        once = np.concatenate([[True], (token[1:] != token[:-1]) | (gid[1:] != gid[:-1])])
+        token, gid, n, pos = token[once], gid[once], n[once], pos[once]
         starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         length = np.diff(np.append(starts, len(token)))
         # a run is named by the sum of its members' mixed hashes, so equal runs of other tokens bear the same name
@@ -201,8 +189,8 @@ def light_runs(groups: DataFrame, ranges: int) -> DataFrame:
         at = np.repeat(starts[several] - np.concatenate([[0], np.cumsum(length[several])[:-1]]), length[several]) + np.arange(length[several].sum())
         return pa.table({"run": pa.array(np.repeat(name[several], length[several]).view(np.int64)), "gid": pa.array(gid[at]), "n": pa.array(n[at].astype(np.int64)), "pos": pa.array(pos[at].astype(np.int64))})
 
-    sent = groups.select("gid", "n", "light").mapInArrow(send, "r int, k int, token binary, gid binary, n binary, pos binary")
-    met = sent.groupBy("r").applyInArrow(meet, "run long, gid long, n long, pos long")
+    sent = heads.where("n > 0").select("gid", "n", "light").mapInArrow(by.sender(gather), by.schema)
+    met = by.apply(sent, meet, "run long, gid long, n long, pos long")
     return met.groupBy("run", "gid").agg(F.first("n").alias("n"), F.min("pos").alias("pos"))
 
 
@@ -211,69 +199,113 @@ def may_link(n: str, m: str, i: str, j: str, percent: int) -> str:
     return f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m}) AND {100 + percent} * (1 + least({n} - 1 - {i}, {m} - 1 - {j})) >= {percent} * ({n} + {m})"
 
 
-def components(edges: DataFrame, paths: list[str] | None = None) -> DataFrame:
+def components(edges: DataFrame, keep: c.Scratch) -> DataFrame:
     """node, root (the smallest node of its component) for every node of edges(a, b).
 
     Large and small stars in turn: each round links all larger neighbours, then all smaller ones, to the least of them,
     which halves distances; rounds end when no edge changes.
     """
     both = lambda e: e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    e = c.stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links", paths)
+    e = keep(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     mark = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     while mark[0]:
         near = both(e)
         least = near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = near.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = c.stored(large, "links", paths)
+        large = keep(large, "links")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(least.select("a", F.col("m").alias("b")))
-        e = c.stored(small.distinct(), "links", paths)
+        before, e = e, keep(small.distinct(), "links")
+        keep.drop(before, large)
         last, mark = mark, e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if last == mark:
             break
     roots = e.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
-    return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    out = keep(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), "jaccard-roots")
+    keep.drop(e)
+    return out
+
+
+def close(classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Of the class pairs (a, b), those whose sketches allow the similarity: sets of sizes n and m that reach it differ in
+    at most (n + m) * (100 - percent) / (100 + percent) members."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
+            apart = np.array([fewest_apart(x.as_py(), y.as_py()) for x, y in zip(batch.column("xa"), batch.column("xb"), strict=True)], np.int64)
+            yield batch.select(["a", "b"]).filter(pa.array((100 + percent) * apart <= (100 - percent) * n))
 
+    side = lambda k: classes.select(F.col("cid").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"x{k}"))
+    met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "xa", "xb")
+    return met.mapInArrow(compare, "a long, b long").hint("rebalance")
 
-def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int, paths: list[str] | None = None) -> DataFrame:
-    """Of the class pairs (a, b), those whose sets reach the similarity. Sets are built for the classes named only."""
+
+def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int, keep: c.Scratch, most_rows: int | None = None) -> DataFrame:
+    """Of the class pairs (a, b), those whose sets reach the similarity.
+
+    Sketches rule most others out. Sets are then built for the classes named only, from their representatives' texts,
+    and go to their pairs packed, as 48 bits of each hash.
+    """
+    pairs = keep(close(classes, pairs, percent), "jaccard-close")
     named = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
-    reps = c.stored(named.join(classes, "cid").select("cid", F.col("rep.doc_id").alias("rep_id"), F.col("rep.rk").alias("rep_rk")), "jaccard-reps", paths)
+    reps = keep(named.join(classes, "cid").select("cid", F.col("rep.doc_id").alias("_id"), F.col("rep.rk").alias("_rk"), F.col("rep.times").alias("times")), "jaccard-reps")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("rk"))
-    chosen = rows.join(c.small(reps, BROADCAST_ROWS), (F.col("rk") == F.col("rep_rk")) & F.col("doc_id").eqNullSafe(F.col("rep_id")))
+    chosen = c.matching(rows, reps, most_rows)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = [x.view(np.int64) for x in sets_of(batch.column("w"))]
-            yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.array(s, pa.list_(pa.int64()))], names=["cid", "s"])
+            s = [np.unique(x >> np.uint64(16)) for x in sets_of(batch.column("w"))]
+            yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.array([len(x) for x in s], pa.int32()), pa.array([pack(np.diff(x, prepend=np.uint64(0))) for x in s], pa.binary())], names=["cid", "k", "s"])
 
-    built = c.stored(hashed_words(chosen, "cid").mapInArrow(sets, "cid long, s array<long>").dropDuplicates(["cid"]), "jaccard-sets", paths)
-    left, right = built.select(F.col("cid").alias("a"), F.col("s").alias("sa")), built.select(F.col("cid").alias("b"), F.col("s").alias("sb"))
-    met = pairs.join(right, "b").join(left, "a").select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("both"))
+    built = hashed_words(chosen, "cid").mapInArrow(sets, "cid long, k int, s binary")
+    if reps.where("times > 1").take(1):  # a representative that is several equal rows
+        built = built.dropDuplicates(["cid"])
+    built = keep(built, "jaccard-sets")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def read(data: bytes, n: int) -> np.ndarray:
+            return np.cumsum(unpack(data, n, np.uint64), dtype=np.uint64)
+
+        last, left = None, None
+        for batch in batches:
+            out = []
+            for i, a in enumerate(batch.column("a").to_numpy()):
+                if a != last:  # pairs come sorted by a, so a centre's set is read once
+                    last, left = a, read(batch.column("sa")[i].as_py(), batch.column("ka")[i].as_py())
+                right = read(batch.column("sb")[i].as_py(), batch.column("kb")[i].as_py())
+                both = len(np.intersect1d(left, right, assume_unique=True))
+                out.append(100 * both >= percent * (len(left) + len(right) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(out, pa.bool_()))
+
+    left, right = built.select(F.col("cid").alias("a"), F.col("k").alias("ka"), F.col("s").alias("sa")), built.select(F.col("cid").alias("b"), F.col("k").alias("kb"), F.col("s").alias("sb"))
+    met = pairs.join(right, "b").join(left, "a").select("a", "b", "ka", "sa", "kb", "sb").mapInArrow(compare, "a long, b long")
     # few links remain of many sets compared: without this every task of the comparison writes a file of a row or two
-    return met.where(f"100 * both >= {percent} * (na + nb - both)").select("a", "b").hint("rebalance")
+    found = keep(met.hint("rebalance"), "jaccard-links")
+    keep.drop(built, reps, pairs)
+    return found
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, heaviest: int = HEAVIEST, light: int = LIGHT, keep_root: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, heaviest: int = HEAVIEST, light: int = LIGHT, keep_root: bool = False, most_rows: int | None = None) -> DataFrame:
     """doc_id, rk (hash of the text), n_shingles, component_id: one row for each row of docs. With keep_root also root,
-    which tells components apart even where they bear the same id; null for wordless texts, which link with nothing."""
-    paths: list[str] = []
-
-    def stored(df: DataFrame, kind: str) -> DataFrame:
-        return c.stored(df, kind, paths)
-
-    c.small_batches(docs.sparkSession)
-    ranges = min(4096, max(4, docs.select("doc_id").rdd.getNumPartitions()))
-    heads = stored(prefixes(docs, frequency_table(docs, ranges, light, heaviest, paths), percent), "jaccard-prefixes")
-    classes = heads.where("n > 0").groupBy("cid").agg(F.first("gid").alias("gid"), F.first("n").alias("n"), F.min(F.struct("doc_id", "rk")).alias("rep"), F.min("doc_id").alias("least"))
-    classes = stored(classes, "jaccard-classes")
-    lead = stored(classes.groupBy("gid").agg(F.min("cid").alias("lead")), "jaccard-leads")
-    groups = heads.where("n > 0").select("gid", "n", "light", "heavy").dropDuplicates(["gid"])
-    groups = stored(groups, "jaccard-groups")
-    runs = stored(light_runs(groups, ranges), "jaccard-runs")
-    heavy = groups.select(F.posexplode_outer("heavy").alias("i", "run"), "gid", "n", F.size("light").alias("k")).where("run IS NOT NULL").selectExpr("run", "gid", "n", "CAST(k + i AS long) AS pos")
+    which tells components apart even where they bear the same id; null for wordless texts, which link with nothing.
+    most_rows bounds the broadcasts; results don't depend on it."""
+    spark = docs.sparkSession
+    keep = c.Scratch(spark)
+    c.small_batches(spark)
+    ranges = ranges_for(docs)
+    heads = keep(prefixes(docs, frequency_table(docs, ranges, light, heaviest), percent), "jaccard-prefixes")
+    rows = keep(heads.select("doc_id", "rk", "n", "cid"), "jaccard-rows")
+    copies = heads.where("n > 0").groupBy("cid", "gid", "n", "doc_id", "rk").agg(F.count(F.lit(1)).alias("times"), F.first("bits").alias("bits"))
+    classes = copies.groupBy("cid").agg(F.first("gid").alias("gid"), F.first("n").alias("n"), F.min(F.struct("doc_id", "rk", "times")).alias("rep"), F.min("doc_id").alias("least"), F.first("bits").alias("bits"))
+    classes = keep(classes, "jaccard-classes")
+    lead = keep(classes.groupBy("gid").agg(F.min("cid").alias("lead")), "jaccard-leads")
+    runs = keep(light_runs(heads, ranges), "jaccard-runs")
+    heavy = heads.where("n > 0").select(F.posexplode_outer("heavy").alias("i", "run"), "gid", "n", F.size("light").alias("k")).where("run IS NOT NULL")
+    heavy = heavy.groupBy("run", "gid").agg(F.first("n").alias("n"), F.first((F.col("k") + F.col("i")).cast("long")).alias("pos"))
     several = heavy.groupBy("run").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("run")
-    heavy = stored(heavy.join(several, "run"), "jaccard-heavy")
+    heavy = keep(heavy.join(several, "run"), "jaccard-heavy")
+    keep.drop(heads)
 
     # round 1: stars in runs and groups, and all pairs of short runs
     every = runs.unionByName(heavy)
@@ -288,31 +320,33 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, heaviest: int = HEA
     met = star.unionByName(short).where(may_link("gn", "hn", "gp", "hp", percent)).select("g", "h").distinct()
     across = met.join(lead.select(F.col("gid").alias("g"), F.col("lead").alias("a")), "g").join(lead.select(F.col("gid").alias("h"), F.col("lead").alias("b")), "h").select("a", "b")
     within = classes.join(lead, "gid").where("cid <> lead").select(F.col("lead").alias("a"), F.col("cid").alias("b"))
-    first = stored(across.unionByName(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "jaccard-pairs")
-    links = stored(verified(docs, classes, first, percent, paths), "jaccard-links")
-    joined = stored(components(links, paths), "jaccard-roots")
+    tested = keep(across.unionByName(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "jaccard-pairs")
+    links = verified(docs, classes, tested, percent, keep, most_rows)
+    joined = components(links, keep)
 
     # what is still open in long runs: stars from a few members of the run's largest component, then from more
     own = classes.select(F.col("gid").alias("run"), "gid", F.lit(0).cast("long").alias("pos")).distinct()
     shared = every.select("run", "gid", "pos").unionByName(own).join(classes.select("cid", "gid", "n"), "gid").select("run", "cid", "n", "pos")
-    shared = stored(shared, "jaccard-members")
-    tested = first
+    shared = keep(shared, "jaccard-members")
+    keep.drop(runs, heavy, lead)
 
     def unjoined(joined: DataFrame) -> DataFrame:
         """The members, with their roots, of runs that lie in several components."""
         member = shared.join(joined.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
         several = member.groupBy("run").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("run")
-        return stored(member.join(several, "run"), "jaccard-open")
+        return keep(member.join(several, "run"), "jaccard-open")
 
     def link(pairs: DataFrame, joined: DataFrame) -> DataFrame:
         """Components after verifying the pairs that were not tested before."""
         nonlocal tested
-        fresh = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"), "jaccard-pairs")
+        fresh = keep(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"), "jaccard-pairs")
         tested = tested.unionByName(fresh)
-        found = stored(verified(docs, classes, fresh, percent, paths), "jaccard-links")
+        found = verified(docs, classes, fresh, percent, keep, most_rows)
         if not found.take(1):
             return joined
-        return stored(components(joined.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found), paths), "jaccard-roots")
+        out = components(joined.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found), keep)
+        keep.drop(joined, found)
+        return out
 
     for several in STARS:
         member = unjoined(joined)
@@ -323,6 +357,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, heaviest: int = HEA
         centre = centre.select("run", F.col("root").alias("r"), F.explode("m").alias("m"))
         star = member.join(centre, "run").where("root <> r AND " + may_link("n", "m.n", "pos", "m.pos", percent))
         joined = link(star.select(F.col("cid").alias("a"), F.col("m.cid").alias("b")), joined)
+        keep.drop(member)
 
     # last: every pair of a run whose ends still lie in different components
     member = unjoined(joined)
@@ -332,12 +367,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, heaviest: int = HEA
     roots = classes.select("cid", "least").join(joined.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "least", F.coalesce("root", "cid").alias("root"))
     names = roots.groupBy("root").agg(F.min("least").alias("component_id"))
     root = ["root"] if keep_root else []
-    label = stored(roots.join(names, "root").select("cid", "component_id", *root), "jaccard-names")
-    out = heads.select("doc_id", "rk", "n", "cid").join(c.small(label, BROADCAST_ROWS), "cid", "left")
+    label = keep(roots.join(names, "root").select("cid", "component_id", *root), "jaccard-names")
+    out = rows.join(c.small(label, c.BROADCAST_ROWS if most_rows is None else most_rows), "cid", "left")
     out = out.select("doc_id", "rk", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), *root)
     out = c.stored(out, "jaccard-components")
-    for path in paths:
-        c.clear(docs.sparkSession, path)
+    keep.close()
     return out
 
 

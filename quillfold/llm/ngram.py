@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 
 from . import common as c
 from . import succinct as ef
-from .jaccard import by_range, hashed_words, pack, unpack
+from .jaccard import hashed_words
+from .ranges import by_range, pack, unpack
 from .language import held_out
 
 END = np.uint64(0x9E3779B97F4A7C15)
