@@ -78,16 +78,26 @@ def scratch(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark)}/quillfold-{kind}-{uuid.uuid4().hex}"
 
 
+def bytes_of(df: DataFrame) -> int:
+    """The optimizer's estimate of a table's size: for files, theirs."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 class Scratch:
-    """Tables written to the shared folder. Each is dropped when its last reader has run, the rest by close()."""
+    """Tables written to the shared folder. Each is dropped when its last reader has run, the rest by close().
 
-    def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, {}
+    Tables about `docs` are written as at most four files a core, or one for each 32 MB of docs if that is more: a small
+    table dealt over many partitions doesn't become as many tiny files.
+    """
+
+    def __init__(self, docs: DataFrame):
+        self.spark, self.paths = docs.sparkSession, {}
+        self.files = max(4 * self.spark.sparkContext.defaultParallelism, min(1_000_000, bytes_of(docs) >> 25))
 
     def __call__(self, df: DataFrame, kind: str) -> DataFrame:
         """df written as Parquet and read again: lineage ends and any executor may be lost."""
         path = scratch(self.spark, kind)
-        df.write.parquet(path)
+        df.coalesce(self.files).write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = (out, path)
         return out
@@ -104,7 +114,9 @@ class Scratch:
 
 def stored(df: DataFrame, kind: str) -> DataFrame:
     """df written as Parquet in the shared folder and read again, for results that outlive their operator."""
-    return Scratch(df.sparkSession)(df, kind)
+    path = scratch(df.sparkSession, kind)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def clear(spark: SparkSession, path: str) -> None:
@@ -163,3 +175,15 @@ def unmatched(docs: DataFrame, keys: DataFrame, most_rows: int | None = None) ->
     maybe = F.coalesce(may_be_in(keys, "_rk", F.col("rk")), F.lit(False))
     near = docs.where(maybe)
     return docs.where(~maybe).unionByName(near.join(keys, paired(near, keys), "left_anti"))
+
+
+def looked_up(docs: DataFrame, keys: DataFrame, most_rows: int | None = None) -> DataFrame:
+    """All rows of docs(doc_id, rk, ...), with the other columns of the stored keys(_id, _rk, ...), which names a row once;
+    null where it doesn't. Beyond most_rows keys, only rows that a filter can't clear are shuffled."""
+    rest = [x for x in keys.columns if x not in ("_id", "_rk")]
+    if keys.count() <= (BROADCAST_ROWS if most_rows is None else most_rows):
+        return docs.join(F.broadcast(keys), paired(docs, keys), "left").drop("_id", "_rk")
+    maybe = F.coalesce(may_be_in(keys, "_rk", F.col("rk")), F.lit(False))
+    near = docs.where(maybe)
+    clear_ = docs.where(~maybe).select("*", *[F.lit(None).cast(keys.schema[x].dataType).alias(x) for x in rest])
+    return clear_.unionByName(near.join(keys, paired(near, keys), "left").drop("_id", "_rk"))

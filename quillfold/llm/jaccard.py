@@ -291,7 +291,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, heaviest: int = HEA
     which tells components apart even where they bear the same id; null for wordless texts, which link with nothing.
     most_rows bounds the broadcasts; results don't depend on it."""
     spark = docs.sparkSession
-    keep = c.Scratch(spark)
+    keep = c.Scratch(docs)
     c.small_batches(spark)
     ranges = ranges_for(docs)
     heads = keep(prefixes(docs, frequency_table(docs, ranges, light, heaviest), percent), "jaccard-prefixes")

@@ -9,15 +9,17 @@ successors of its context alone. Shards are files in the shared folder which sco
 The model interpolates absolutely discounted trigram, bigram and unigram estimates. What the unigrams give up is the
 probability of a word never seen. Stored numbers are rounded down, so a context's probabilities never sum above one.
 
-Null text is the empty text: one token, its end. Rows are scored one by one. Without training rows every token has the
-probability of the base, 1. Words are known by 64-bit hashes. The shared folder must be one that pyarrow can open; on a
-mounted path the files are mapped where they are, else each worker maps a private copy.
+Null text is the empty text: one token, its end. Rows are scored one by one, so repeated rows agree, and counted one by
+one in training. Texts of any length are taken whole, a chunk at a time. An empty table gives no rows; without training
+rows every token has the probability of the base, 1. score() hands on the columns that the caller names, whatever their
+names, and ignores others. Words are known by 64-bit hashes; a vocabulary of 2**32 words is refused. The shared folder must
+be one that pyarrow can open; on a mounted path the files are mapped where they are, else a worker reads the shards that
+it needs into memory and keeps a few of them.
 """
 
 from __future__ import annotations
 
 import os
-import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,14 +32,18 @@ from pyspark.sql import functions as F
 from . import common as c
 from . import succinct as ef
 from .jaccard import hashed_words
-from .ranges import by_range, pack, unpack
+from .ranges import Exchange, by_range, ranges_for
 from .language import held_out
 
 END = np.uint64(0x9E3779B97F4A7C15)
 DISCOUNT = 0.85
-STEP = 8  # quanta for each halving of a probability
+#: Powers of one half that stand for a probability: eight for each halving down to 2**-24, then wider ones to 2**-70, below
+#: any quotient of 64-bit counts.
+HALVINGS = np.concatenate([np.arange(192) / 8, 24 + 0.75 * np.arange(1, 63)])
 TOKENS_PER_SHARD = 4_000_000
-FLUSH, CHUNK = 3_000_000, 1_000_000
+CHUNK = 1_000_000
+#: Shards that a worker keeps in memory where they can't be mapped.
+HELD = 16
 
 
 def place(uri: str) -> tuple[fs.FileSystem, str]:
@@ -54,25 +60,23 @@ def write(uri: str, name: str, data: bytes) -> None:
     system.move(draft, f"{folder}/{name}")
 
 
-def mapped(uri: str, name: str) -> dict[str, np.ndarray]:
+def mapped(uri: str, name: str) -> tuple[dict[str, np.ndarray], bool]:
+    """A file's arrays, and whether they are mapped rather than read."""
     system, folder = place(uri)
     if isinstance(system, fs.LocalFileSystem):
-        return ef.load(np.memmap(f"{folder}/{name}", np.uint8, "r"))
-    with tempfile.NamedTemporaryFile() as copy, system.open_input_stream(f"{folder}/{name}") as source:
-        while block := source.read(1 << 24):
-            copy.write(block)
-        copy.flush()
-        return ef.load(np.memmap(copy.name, np.uint8, "r"))
+        return ef.load(np.memmap(f"{folder}/{name}", np.uint8, "r")), True
+    with system.open_input_stream(f"{folder}/{name}") as source:
+        return ef.load(np.frombuffer(source.read(), np.uint8)), False
 
 
 def quantised(p: np.ndarray) -> np.ndarray:
-    """0 is none; q stands for 2 ** (-(q - 1) / STEP), never above p."""
+    """0 is none; q stands for 2 ** -HALVINGS[q - 1], never above p."""
     with np.errstate(divide="ignore"):
-        q = np.ceil(-np.log2(p) * STEP - 1e-9)
-    return np.where((p > 0) & (q < 255), np.clip(q, 0, 254) + 1, 0).astype(np.uint8)
+        q = np.searchsorted(HALVINGS, -np.log2(p) - 1e-9)
+    return np.where(p > 0, np.clip(q, 0, len(HALVINGS) - 1) + 1, 0).astype(np.uint8)
 
 
-VALUE = np.concatenate([[0.0], 2.0 ** (-np.arange(255) / STEP)])
+VALUE = np.concatenate([[0.0], 2.0**-HALVINGS])
 
 
 @dataclass
@@ -104,11 +108,16 @@ class Reader:
     """The mapped files of a model, opened when needed."""
 
     def __init__(self, model: Model):
-        self.m, self.open = model, {}
+        self.m, self.open, self.read = model, {}, []
 
     def file(self, name: str) -> dict[str, np.ndarray]:
         if name not in self.open:
-            self.open[name] = mapped(self.m.uri, name)
+            found, kept = mapped(self.m.uri, name)
+            if not kept:
+                self.read = [*self.read, name]
+                if len(self.read) > HELD:
+                    self.open.pop(self.read.pop(0))
+            self.open[name] = found
         return self.open[name]
 
     def ids(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -233,40 +242,26 @@ def padded(column: pa.ListArray, ahead: int, behind: int) -> Iterator[tuple[np.n
 def count_words(train: DataFrame, uri: str, ranges: int) -> list:
     """Writes the vocabulary's ranges; returns for each its words, tokens, hapaxes, twos and most frequent words."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(held):
-            hashes, times = np.unique(np.concatenate(held), return_counts=True)
-            cut = by_range(hashes >> np.uint64(32), ranges)
-            rows = [(r, int(b - a), pack(np.diff(hashes[a:b], prepend=np.uint64(0))), pack(times[a:b].astype(np.uint32))) for r, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["r", "n", "hash", "times"])
+    by = Exchange(lambda hashes: by_range(hashes >> np.uint64(32), ranges), ranges, np.uint64, (np.uint32,))
 
-        held, size = [], 0
-        for batch in batches:
-            for words, at, stop, _, _ in padded(batch.column("w"), 0, 1):
-                held.append(words)
-                size += len(words)
-                if size >= FLUSH:
-                    yield flush(held)
-                    held, size = [], 0
-        if size:
-            yield flush(held)
-
-    def add(rows: pa.Table) -> pa.Table:
-        parts = rows.to_pylist()
-        hashes = np.concatenate([np.cumsum(unpack(p["hash"], p["n"], np.uint64), dtype=np.uint64) for p in parts])
-        times = np.concatenate([unpack(p["times"], p["n"], np.uint32) for p in parts]).astype(np.int64)
-        order = np.argsort(hashes, kind="stable")
-        hashes, times = hashes[order], times[order]
+    def gather(batch: pa.RecordBatch) -> Iterator[tuple[list[np.ndarray], list[np.ndarray]]]:
+        for words, *_ in padded(batch.column("w"), 0, 1):
+            yield [words], []
+
+    def count(columns: list[np.ndarray]) -> list[np.ndarray]:
+        return list(np.unique(columns[0], return_counts=True))
+
+    def add(r: int, columns: list[np.ndarray], _: list[np.ndarray]) -> pa.Table:
+        hashes, times = columns
         first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
-        hashes, total = hashes[first], np.add.reduceat(times, first)
-        r = parts[0]["r"]
-        write(uri, f"words-{r}", ef.save({"hash": hashes, "count": total.astype(np.uint32)}))
+        hashes, total = hashes[first], np.add.reduceat(times.astype(np.int64), first)
+        write(uri, f"words-{r}", ef.save({"hash": hashes, "count": total}))
         top = np.argsort(-total, kind="stable")[:64]
         return pa.table({"r": [r], "n": [len(hashes)], "tokens": [int(total.sum())], "once": [int((total == 1).sum())], "twice": [int((total == 2).sum())], "top": [top.tolist()], "times": [total[top].tolist()]},
                         schema=pa.schema([("r", pa.int32()), ("n", pa.int64()), ("tokens", pa.int64()), ("once", pa.int64()), ("twice", pa.int64()), ("top", pa.list_(pa.int64())), ("times", pa.list_(pa.int64()))]))
 
-    sent = hashed_words(train).mapInArrow(count, "r int, n int, hash binary, times binary")
-    return sent.groupBy("r").applyInArrow(add, "r int, n long, tokens long, once long, twice long, top array<long>, times array<long>").collect()
+    sent = hashed_words(train).mapInArrow(by.sender(gather, count), by.schema)
+    return by.apply(sent, add, "r int, n long, tokens long, once long, twice long, top array<long>, times array<long>").collect()
 
 
 def shard_bounds(model: Model, heavy: list[tuple[int, int]], shards: int) -> np.ndarray:
@@ -283,50 +278,39 @@ def shard_bounds(model: Model, heavy: list[tuple[int, int]], shards: int) -> np.
 def count_trigrams(train: DataFrame, model: Model) -> list:
     """Writes the trie's shards; returns for each its bigrams and the successors of its first and last words."""
     reader_of, bounds, span, start = Model(**vars(model)), model.bounds, model.span, model.words
+    by = Exchange(lambda key: np.searchsorted(key, bounds), len(bounds) - 1, np.uint64, (np.uint32, np.uint32))
+    readers: list[Reader] = []
+
+    def gather(batch: pa.RecordBatch) -> Iterator[tuple[list[np.ndarray], list[np.ndarray]]]:
+        if not readers:
+            readers.append(Reader(reader_of))
+        for words, at, stop, _, _ in padded(batch.column("w"), 2, 2):
+            ids = np.full(len(words), start, np.int64)
+            real = np.concatenate([at, stop])
+            distinct, back = np.unique(words[real], return_inverse=True)
+            ids[real] = readers[0].ids(distinct)[0][back]
+            ids[stop + 1] = start + 1
+            begins = np.ones(len(words), bool)
+            begins[stop + 1] = begins[stop] = False  # no trigram begins at a row's end or the mark behind it
+            at3 = np.flatnonzero(begins)
+            at3 = at3[at3 + 2 < len(words)]
+            yield [ids[at3].astype(np.uint64) * np.uint64(span) + ids[at3 + 1].astype(np.uint64), ids[at3 + 2].astype(np.uint32)], []
+
+    def grouped(key: np.ndarray, third: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The order of rows by key and third word, and where in it each distinct pair begins."""
+        order = np.lexsort((third, key))
+        key, third = key[order], third[order]
+        return order, np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (third[1:] != third[:-1])]))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(reader_of)
+    def count(columns: list[np.ndarray]) -> list[np.ndarray]:
+        order, first = grouped(*columns)
+        return [columns[0][order][first], columns[1][order][first], np.diff(np.append(first, len(order)))]
 
-        def flush(held):
-            key, third = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.lexsort((third, key))
-            key, third = key[order], third[order]
-            first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (third[1:] != third[:-1])]))
-            times = np.diff(np.append(first, len(key))).astype(np.uint32)
-            key, third = key[first], third[first]
-            cut = np.searchsorted(key, bounds)
-            rows = [(s, int(b - a), pack(np.diff(key[a:b], prepend=np.uint64(0))), pack(third[a:b]), pack(times[a:b])) for s, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["s", "n", "key", "third", "times"])
-
-        held, size = [], 0
-        for batch in batches:
-            for words, at, stop, a, b in padded(batch.column("w"), 2, 2):
-                ids = np.full(len(words), start, np.int64)
-                real = np.concatenate([at, stop])
-                distinct, back = np.unique(words[real], return_inverse=True)
-                ids[real] = reader.ids(distinct)[0][back]
-                ids[stop + 1] = start + 1
-                last = np.ones(len(words), bool)
-                last[stop + 1] = last[stop] = False  # no trigram begins at a row's end or the mark behind it
-                at3 = np.flatnonzero(last)
-                at3 = at3[at3 + 2 < len(words)]
-                held.append((ids[at3].astype(np.uint64) * np.uint64(span) + ids[at3 + 1].astype(np.uint64), ids[at3 + 2].astype(np.uint32)))
-                size += len(at3)
-                if size >= FLUSH:
-                    yield flush(held)
-                    held, size = [], 0
-        if size:
-            yield flush(held)
-
-    def build(rows: pa.Table) -> pa.Table:
-        parts, reader = rows.to_pylist(), Reader(reader_of)
-        key = np.concatenate([np.cumsum(unpack(p["key"], p["n"], np.uint64), dtype=np.uint64) for p in parts])
-        third = np.concatenate([unpack(p["third"], p["n"], np.uint32) for p in parts])
-        times = np.concatenate([unpack(p["times"], p["n"], np.uint32) for p in parts]).astype(np.int64)
-        order = np.lexsort((third, key))
-        key, third, times = key[order], third[order], times[order]
-        first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (third[1:] != third[:-1])]))
-        key, third, times = key[first], third[first], np.add.reduceat(times, first)
+    def build(s: int, columns: list[np.ndarray], _: list[np.ndarray]) -> pa.Table:
+        reader = Reader(reader_of)
+        key, third, times = columns
+        order, first = grouped(key, third)
+        key, third, times = key[order][first], third[order][first], np.add.reduceat(times[order].astype(np.int64), first)
         at2 = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         seen = np.add.reduceat(times, at2)
         followed = third != start + 1
@@ -339,7 +323,6 @@ def count_trigrams(train: DataFrame, model: Model) -> list:
         owner = np.repeat(np.arange(len(at2)), np.diff(np.append(at2, len(key))))[followed]
         f3 = (times[followed] - DISCOUNT) / context[owner]
         bits = int(span).bit_length()
-        s = parts[0]["s"]
         every = np.zeros(int(ones[-1] - ones[0]) + 2, np.int64)
         every[ones - ones[0] + 1] = degree
         arrays = {"bits": np.array([bits], np.uint64), "first": ones[:1].astype(np.uint64), "firsts": np.array([len(every) - 1], np.uint64), "id2": ef.packed(two, bits), "f2": quantised(f2), "l2": quantised(l2), "id3": ef.packed(third[followed], bits), "f3": quantised(f3)}
@@ -350,21 +333,23 @@ def count_trigrams(train: DataFrame, model: Model) -> list:
         return pa.table({"s": [s], "nodes": [len(two)], "trigrams": [int(followed.sum())], "edge": [ones[edge].tolist()], "degree": [degree[edge].tolist()]},
                         schema=pa.schema([("s", pa.int32()), ("nodes", pa.int64()), ("trigrams", pa.int64()), ("edge", pa.list_(pa.int64())), ("degree", pa.list_(pa.int64()))]))
 
-    sent = hashed_words(train).mapInArrow(count, "s int, n int, key binary, third binary, times binary")
-    return sent.groupBy("s").applyInArrow(build, "s int, nodes long, trigrams long, edge array<long>, degree array<long>").collect()
+    sent = hashed_words(train).mapInArrow(by.sender(gather, count), by.schema)
+    return by.apply(sent, build, "s int, nodes long, trigrams long, edge array<long>, degree array<long>").collect()
 
 
 def train(docs: DataFrame) -> Model | None:
     """The model of all rows of docs; None if there are none."""
     spark = docs.sparkSession
     uri = c.scratch(spark, "ngrams")
-    ranges = min(1024, max(4, docs.select("text").rdd.getNumPartitions()))
+    ranges = ranges_for(docs.select("text"))
     found = {r.r: r for r in count_words(docs, uri, ranges)}
     if not found:
         return None
     offsets = np.concatenate([[0], np.cumsum([found[r].n if r in found else 0 for r in range(ranges)])]).astype(np.int64)
     once, twice = sum(r.once for r in found.values()), sum(r.twice for r in found.values())
     model = Model(uri, offsets, sum(r.tokens for r in found.values()), once / (once + 2 * twice) if once else 0.5, docs.count(), np.zeros(0), np.zeros(0), {})
+    if model.span >= 1 << 32:
+        raise ValueError(f"{model.words} distinct words: word ids have 32 bits")
     shards = max(4, -(-model.tokens // TOKENS_PER_SHARD))
     heavy = [(int(offsets[r.r] + i), k) for r in found.values() for i, k in zip(r.top, r.times, strict=True)]
     model.bounds = shard_bounds(model, heavy, shards)
@@ -412,7 +397,7 @@ def score(docs: DataFrame, model: Model | None, *columns) -> DataFrame:
             deep = np.flatnonzero((node_[place - 1] >= 0))
             low = l2_[place[deep] - 1] * p[deep]
             under, word = node_[place[deep] - 1], id_[place[deep]]
-            ask = np.flatnonzero(f2_[place[deep]] > 0)
+            ask = np.flatnonzero(node_[place[deep]] >= 0)
             order = np.lexsort((word[ask], under[ask]))
             got = np.zeros(len(deep))
             got[ask[order]] = reader.trigrams(under[ask][order], word[ask][order])

@@ -43,15 +43,14 @@ class Exchange:
     def __init__(self, cut: Callable[[np.ndarray], np.ndarray], ranges: int, key: type, values: tuple[type, ...], table: tuple[type, ...] = ()):
         """cut(sorted keys) gives ranges + 1 places."""
         self.cut, self.ranges, self.kinds, self.table = cut, ranges, (key, *values), table
+        #: Ranges that go together at first, and the rows a task gathers.
+        self.step, self.flush = -(-ranges // FAN), FLUSH
         self.names = ["r", "n", *(f"v{i}" for i in range(len(self.kinds)))] + (["m", *(f"t{i}" for i in range(len(table)))] if table else [])
         binary = ["binary"] * len(self.kinds)
         kinds = ["int", "int", *binary] + (["int", *["binary"] * len(table)] if table else [])
         self.schema = ", ".join(f"{n} {k}" for n, k in zip(self.names, kinds, strict=True))
         self.types = [{"int": pa.int32(), "binary": pa.binary()}[k] for k in kinds]
 
-    def step(self) -> int:
-        return -(-self.ranges // FAN)
-
     def messages(self, columns: list[np.ndarray], table: list[np.ndarray], step: int) -> pa.RecordBatch:
         """One row for each group of `step` ranges that has rows."""
         at = self.cut(columns[0])
@@ -96,7 +95,7 @@ class Exchange:
                 else:
                     order = np.argsort(columns[0], kind="stable")
                     columns = [x[order] for x in columns]
-                return self.messages(columns, table, self.step())
+                return self.messages(columns, table, self.step)
 
             for batch in batches:
                 for columns, table in gather(batch):
@@ -106,7 +105,7 @@ class Exchange:
                         tables.append(table)
                     held.append(columns)
                     size += len(columns[0])
-                    if size >= FLUSH:
+                    if size >= self.flush:
                         yield flush()
                         held, tables, size, entries = [], [], 0, 0
             if size:
@@ -116,14 +115,14 @@ class Exchange:
 
     def ranged(self, sent: DataFrame) -> DataFrame:
         """The messages by single range."""
-        if self.step() == 1:
+        if self.step == 1:
             return sent
 
         def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: list[dict] = []
             for batch in batches:
                 for row in batch.to_pylist():
-                    if held and (held[0]["r"] != row["r"] or sum(p["n"] for p in held) >= FLUSH):
+                    if held and (held[0]["r"] != row["r"] or sum(p["n"] for p in held) >= self.flush):
                         yield self.messages(*self.merged(held), 1)
                         held = []
                     held.append(row)
