@@ -9,7 +9,9 @@ neighbours do not repeat with it stays, and so do blank windows.
 
 Only hashes of windows are counted over the corpus; bodies are built for repeated hashes alone. Equal bodies are
 grouped by partial aggregates, and no pairs are formed. Null text has no lines and stays null; rows that share a doc_id
-are told apart by their text's hash, and wholly equal rows count as one occurrence each only across different ids.
+are told apart by their text's hash, and wholly equal rows count as one occurrence each only across different ids. Texts
+of any length are cut whole; an empty table gives no rows. drop_repeated() carries the other columns as one struct, so
+their names don't matter; its own n_lines and n_removed replace columns of those names.
 """
 
 from __future__ import annotations
@@ -22,12 +24,6 @@ from . import common as c
 LONG_WORDS = 50
 #: A line of more than LONG_WORDS words has at least so many bytes.
 LONG_BYTES = 2 * LONG_WORDS + 1
-BROADCAST_ROWS = 1_000_000
-
-
-def small(stored: DataFrame) -> DataFrame:
-    """A stored table marked for broadcast if it has few rows. They are counted where they are: no row reaches the driver."""
-    return F.broadcast(stored) if stored.count() <= BROADCAST_ROWS else stored
 
 
 def lined(docs: DataFrame) -> DataFrame:
@@ -52,12 +48,13 @@ def windows(docs: DataFrame) -> DataFrame:
     return out.where("x IS NOT NULL").select("doc_id", "row", "x.*")
 
 
-def bodies(docs: DataFrame, hits: DataFrame) -> DataFrame:
+def bodies(docs: DataFrame, hits: DataFrame, keep: c.Scratch, most_rows: int | None) -> DataFrame:
     """doc_id, row, start, n, h, body of the stored windows hits(doc_id, row, at), at being 2 * start + n - 1, less blank
     windows and single lines of too few words. Only these small numbers go into a broadcast."""
-    few = hits.count() <= BROADCAST_ROWS
-    per = hits.groupBy("doc_id", "row").agg(F.collect_set("at").alias("hits")).select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "hits")
-    met = lined(docs).join(F.broadcast(per) if few else per, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row")))
+    per = keep(hits.groupBy("doc_id", "row").agg(F.collect_set("at").alias("hits")).select(F.col("doc_id").alias("_id"), F.col("row").alias("_rk"), "hits"), "chunk-places")
+    texts = docs.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("rk"), "text")
+    met = c.matching(texts, per, most_rows).select("doc_id", F.col("rk").alias("row"), "hits", F.split("text", "\n", -1).alias("lines"))
+
     def body(x):
         start, n = F.shiftright(x, 1), x % 2 + 1
         return F.struct(start.alias("start"), n.alias("n"), F.array_join(F.slice("lines", start + 1, n), "\n").alias("body"))
@@ -66,17 +63,22 @@ def bodies(docs: DataFrame, hits: DataFrame) -> DataFrame:
     return out.where(F.when(F.col("n") == 1, F.size(c.tokens(F.col("body"))) > LONG_WORDS).otherwise(F.col("body").rlike(r"[^\x20\x09-\x0D]")))
 
 
-def repeated(docs: DataFrame) -> DataFrame:
+def repeated(docs: DataFrame, keep: c.Scratch, most_rows: int | None = None) -> DataFrame:
     """doc_id, row, line (from 0) of the lines in every occurrence but the first of a repeated window."""
+    bound = c.BROADCAST_ROWS if most_rows is None else most_rows
     again = windows(docs).groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("h")
-    again = c.stored(again, "chunk-hashes")
-    hits = c.stored(windows(docs).join(small(again), "h").select("doc_id", "row", (2 * F.col("start") + F.col("n") - 1).alias("at")), "chunk-windows")
-    found = c.stored(bodies(docs, hits), "chunk-bodies")
+    again = keep(again, "chunk-hashes")
+    listed = windows(docs)
+    if again.count() > bound:
+        listed = listed.where(c.may_be_in(again, "h", F.col("h")))
+    hits = keep(listed.join(c.small(again, bound), "h").select("doc_id", "row", (2 * F.col("start") + F.col("n") - 1).alias("at")), "chunk-windows")
+    found = keep(bodies(docs, hits, keep, most_rows), "chunk-bodies")
+    keep.drop(again, hits)
     # bodies are compared by grouping; only those whose hash stands for several need be joined by their bytes again
     place = F.struct("doc_id", "row", "start")
     first = lambda df: df.groupBy("h", "body").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("m"))
-    by_hash = c.stored(first(found).groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.max("m").alias("m"), F.min("first").alias("first")), "chunk-first")
-    met = found.drop("body").join(small(by_hash.where("k = 1 AND m > 1").select("h", "first")), "h")
+    by_hash = keep(first(found).groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.max("m").alias("m"), F.min("first").alias("first")), "chunk-first")
+    met = found.drop("body").join(c.small(by_hash.where("k = 1 AND m > 1").select("h", "first"), bound), "h")
     mixed = by_hash.where("k > 1").select("h")
     if mixed.take(1):
         apart = found.join(mixed, "h")
@@ -93,25 +95,29 @@ def stretches(at: str) -> Column:
     return F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("start"), (b - a + 1).alias("n")))
 
 
-def drop_repeated(docs: DataFrame) -> DataFrame:
+def drop_repeated(docs: DataFrame, most_rows: int | None = None) -> DataFrame:
     """docs with text less its repeated passages, n_lines (before) and n_removed (lines)."""
-    gone = c.stored(repeated(docs), "chunk-gone")
-    few = gone.count() <= BROADCAST_ROWS
-    per = gone.groupBy("doc_id", "row").agg(F.array_sort(F.collect_set("line")).alias("at")).select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), stretches("at").alias("gone"))
-    split = docs.withColumn("_lines", F.split("text", "\n", -1)).withColumn("_h", F.xxhash64("text"))
-    out = split.join(F.broadcast(per) if few else per, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_row")), "left")
+    keep = c.Scratch(docs)
+    gone = repeated(docs.select("doc_id", "text"), keep, most_rows)
+    per = gone.groupBy("doc_id", "row").agg(F.array_sort(F.collect_set("line")).alias("at")).select(F.col("doc_id").alias("_id"), F.col("row").alias("_rk"), stretches("at").alias("gone"))
+    per = c.stored(per, "chunk-gone")
+    keep.close()
+    rows = docs.select(F.struct("*").alias("payload"), "doc_id", F.xxhash64("text").alias("rk"), "text")
+    out = c.looked_up(rows, per, most_rows).withColumn("lines", F.split("text", "\n", -1))
     # the kept stretches lie between the removed ones
-    gap = F.concat(F.col("gone"), F.array(F.struct(F.size("_lines").alias("start"), F.lit(0).alias("n"))))
+    out = out.withColumn("gap", F.concat(F.col("gone"), F.array(F.struct(F.size("lines").alias("start"), F.lit(0).alias("n")))))
+
     def stretch(x, j):
-        before = F.coalesce(F.get("_gap", j - 1)["start"] + F.get("_gap", j - 1)["n"], F.lit(0))
-        return F.slice("_lines", before + 1, x["start"] - before)
-    kept = F.array_join(F.flatten(F.transform("_gap", stretch)), "\n")
-    out = out.withColumn("_gap", gap)
+        before = F.coalesce(F.get("gap", j - 1)["start"] + F.get("gap", j - 1)["n"], F.lit(0))
+        return F.slice("lines", before + 1, x["start"] - before)
+
+    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.flatten(F.transform("gap", stretch)), "\n"))
+    own = ("text", "n_lines", "n_removed")
     return out.select(
-        *[x for x in docs.columns if x != "text"], F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("text"),
-        F.coalesce(F.size("_lines"), F.lit(0)).cast("long").alias("n_lines"),
+        *[F.col("payload")[x].alias(x) for x in docs.columns if x.lower() not in own], kept.alias("text"),
+        F.greatest(F.lit(0), F.coalesce(F.size("lines"), F.lit(0))).cast("long").alias("n_lines"),
         F.coalesce(F.aggregate("gone", F.lit(0), lambda a, x: a + x["n"]), F.lit(0)).cast("long").alias("n_removed"),
-    ).withColumn("n_lines", F.when(F.col("n_lines") < 0, 0).otherwise(F.col("n_lines")))
+    )
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
