@@ -5,7 +5,9 @@ shrunk towards the corpus by an empirical beta prior, and the verdict on the hos
 per-host counts are partial aggregates, so a host with a third of all rows costs one row a task.
 
 Null or empty text has no words and fails. A null source is a host of its own. Rows are judged one by one, so repeated
-rows and ids give repeated results. An empty table gives no rows.
+rows and ids give repeated results. An empty table gives no rows. Texts are measured whole, whatever their length, and
+columns besides doc_id, source and text are ignored. Equal windows of words are told by 64-bit hashes: two different
+ones of a text of n words agree with a probability of about n * n / 2**65.
 """
 
 from __future__ import annotations
@@ -23,12 +25,13 @@ HOST_LIMIT = 0.5
 def repeated_words(words: Column, run: int = RUN) -> Column:
     """Words that lie in a window of `run` words found twice or more in the text.
 
-    Window hashes are sorted with their positions, so equal windows are neighbours; the positions of repeated ones,
+    Words are hashed once, and windows from their words' hashes. Most texts have no equal windows, which a set shows.
+    In the others windows are sorted with their places, so equal ones are neighbours; the places of repeated ones,
     sorted again, cover run words each, less their overlap.
     """
-    def windows(w):
-        starts = F.when(F.size(w) >= run, F.sequence(F.lit(1), F.size(w) - (run - 1))).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.struct(F.xxhash64(F.slice(w, i, run)).alias("h"), i.alias("i")))
+    def windows(h):
+        starts = F.when(F.size(h) >= run, F.sequence(F.lit(0), F.size(h) - run)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(run)]))
 
     def twice(s):
         last = F.size(s) - 1
@@ -40,8 +43,11 @@ def repeated_words(words: Column, run: int = RUN) -> Column:
     def covered(p):
         return F.aggregate(p, F.struct(F.lit(0).alias("n"), F.lit(-(10**6)).alias("last")), lambda a, i: F.struct((a["n"] + F.least(F.lit(run), i - a["last"])).alias("n"), i.alias("last")))["n"]
 
-    hashed = F.sort_array(c.let(words, windows))
-    return c.let(c.let(hashed, twice), covered).cast("long")
+    def count(hashes):
+        placed = F.sort_array(F.transform(hashes, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(c.let(c.let(placed, twice), covered))
+
+    return c.let(c.let(F.transform(words, lambda x: F.xxhash64(x)), windows), count).cast("long")
 
 
 def measures(docs: DataFrame) -> DataFrame:
@@ -82,7 +88,8 @@ def host_rates(measured: DataFrame) -> DataFrame:
 def judge(docs: DataFrame, host_limit: float = HOST_LIMIT) -> DataFrame:
     """One row for each row of docs: its measures, host_rate and kept."""
     measured = c.stored(measures(docs), "rules")
-    hosts = host_rates(measured).select(F.col("source").alias("host"), F.col("rate").alias("host_rate"))
+    hosts = c.stored(host_rates(measured), "rules-hosts")
+    hosts = hosts.select(F.col("source").alias("host"), F.col("rate").alias("host_rate"))
     out = measured.join(c.small(hosts, 100_000), F.col("source").eqNullSafe(F.col("host")), "left")
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("host_rate") <= host_limit)).drop("host")
 
