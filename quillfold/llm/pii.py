@@ -1,15 +1,21 @@
 """Personal data: patterns propose spans, checksums confirm them, nearby words adjust a score.
 
 Spans are (kind, start, end) in code points, end exclusive. Of each base kind the matches are the leftmost
-non-overlapping ones; one that fails its check is dropped and not tried again. Kinds beyond the base (IBAN with mod-97,
-US social security numbers) need a valid checksum or a context word to reach `LEAST_SCORE`. Null text has no spans;
-any length of text is scanned whole and in linear time, since every pattern starts only where a run of its characters starts.
+non-overlapping ones; one that fails its check is dropped and not tried again, and one that passes stays, whatever its
+score. Kinds beyond the base (IBAN with mod-97, US social security numbers, and secrets: keys and tokens whose letters and
+digits are as mixed as random ones) need a score of LEAST_SCORE: their prior, raised or lowered by the words around them.
+
+Null and empty texts have no spans; texts of any length are scanned whole and in linear time, since every pattern starts
+only where a run of its characters starts. Rows are scanned one by one, so repeated rows agree; an empty table gives no
+rows, and columns besides doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import common as c
 
 # Kinds in the order of the contract, then the added ones.
-KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
+KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "secret")
 BASE = 4
 LEAST_SCORE = 0.6
 
@@ -31,14 +37,22 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 IBAN = re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?\b")
 DIGIT = re.compile("[0-9]")
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
+#: A run of key characters, as long as a key; KEY_MARK are prefixes that name a key by themselves.
+SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_=-])")
+KEY_MARK = re.compile(r"AKIA[0-9A-Z]{16}$|gh[pousr]_|xox[abprs]-|sk_live_")
+#: Least entropy of a secret in bits a character; random hexadecimal digits have nearly 4.
+LEAST_BITS = 3.2
 #: Words that make a kind likelier within CONTEXT characters of a span, and words that make it less likely.
 CONTEXT = 48
 FOR = {
     "email": ("mail", "contact", "write"), "ip": ("ip", "host", "server", "address"), "card": ("card", "visa", "credit", "payment"),
     "phone": ("phone", "call", "tel", "mobile"), "iban": ("iban", "account", "bank"), "ssn": ("ssn", "social", "security"),
+    "secret": ("token", "secret", "key", "apikey", "password", "passwd", "credential", "auth", "bearer"),
 }
-AGAINST = ("version", "isbn", "serial", "order", "example")
-PRIOR = {"email": 0.9, "ip": 0.7, "card": 0.8, "phone": 0.7, "iban": 0.9, "ssn": 0.5}
+AGAINST = ("version", "isbn", "serial", "order", "example", "checksum", "sha", "commit")
+PRIOR = {"email": 0.9, "ip": 0.7, "card": 0.8, "phone": 0.7, "iban": 0.8, "ssn": 0.5, "secret": 0.5}
+RAISE, LOWER = 0.2, 0.3
+NEAR_WORD = re.compile("[a-z]+")
 
 
 def luhn(digits: str) -> bool:
@@ -72,11 +86,23 @@ def digits_of(text: str) -> str:
     return "".join(ch for ch in text if "0" <= ch <= "9")
 
 
+def bits(text: str) -> float:
+    """Entropy of a text's characters, in bits for each."""
+    return -sum(k / len(text) * math.log2(k / len(text)) for k in Counter(text).values())
+
+
+def random_looking(text: str) -> bool:
+    """Whether a run is mixed like a key: letters and digits in turn, and no few characters that make up most of it."""
+    letters, digits = re.search("[A-Za-z]", text), DIGIT.search(text)
+    return bool(KEY_MARK.match(text)) or bool(letters and digits) and bits(text) >= LEAST_BITS
+
+
 def spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of all confirmed spans by start, then kind."""
     found: list[tuple[int, int, str]] = []
     if "@" in text:
         found += [(a, b, "email") for a, b in emails(text)]
+    more: list[tuple[int, int, str]] = []
     if DIGIT.search(text):
         found += [(m.start(), m.end(), "ip") for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split("."))]
         for m in CARD.finditer(text):
@@ -85,16 +111,22 @@ def spans(text: str) -> list[tuple[int, int, str]]:
                 found.append((m.start(), m.end(), "card"))
         if "+" in text:
             found += [(m.start(), m.end(), "phone") for m in PHONE.finditer(text) if 9 <= len(digits_of(m[0])) <= 15]
-        found += [(m.start(), m.end(), "iban") for m in IBAN.finditer(text) if mod97(m[0])]
-        found += [(m.start(), m.end(), "ssn") for m in SSN.finditer(text) if m[0][:3] not in ("000", "666") and m[0][0] != "9" and score(text, m.start(), m.end(), "ssn") >= LEAST_SCORE]
+        more += [(m.start(), m.end(), "iban") for m in IBAN.finditer(text) if mod97(m[0])]
+        more += [(m.start(), m.end(), "ssn") for m in SSN.finditer(text) if m[0][:3] not in ("000", "666") and m[0][0] != "9"]
+        more += [(m.start(), m.end(), "secret") for m in SECRET.finditer(text) if random_looking(m[0])]
+    found += [x for x in more if score(text, *x) >= LEAST_SCORE]
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
 
 def score(text: str, start: int, end: int, kind: str) -> float:
     """How likely the confirmed span is personal data, from 0 to 1, by the words near it."""
-    near = text[max(0, start - CONTEXT) : start].lower() + " " + text[end : end + CONTEXT].lower()
-    up, down = any(w in near for w in FOR[kind]), any(w in near for w in AGAINST)
-    return min(1.0, max(0.0, PRIOR[kind] + 0.2 * up - 0.3 * down))
+    near = NEAR_WORD.findall(text[max(0, start - CONTEXT) : start].lower() + " " + text[end : end + CONTEXT].lower())
+
+    def told(words: tuple[str, ...]) -> bool:
+        return any(x == w or len(w) > 3 and x.startswith(w) for x in near for w in words)
+
+    marked = kind == "secret" and bool(KEY_MARK.match(text, start))
+    return min(1.0, max(0.0, PRIOR[kind] + RAISE * (told(FOR[kind]) or marked) - LOWER * told(AGAINST)))
 
 
 def joined(found: list[tuple[int, int, str]]) -> str:
@@ -111,11 +143,12 @@ def redact(text: str) -> str:
     return "".join([*out, text[done:]])
 
 
-SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, mean_score double"
+SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long, n_likely long, score double"
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id with counts by base kind, the digest of base spans, all spans, and their mean score (null without spans)."""
+    """doc_id with counts by base kind, the digest of base spans, all spans and their number, how many of them score
+    LEAST_SCORE or more, and the highest score (0 without spans)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,13 +159,13 @@ def scan(docs: DataFrame) -> DataFrame:
                 base = [x for x in found if x[2] in KINDS[:BASE]]
                 kinds = [x[2] for x in base]
                 scores = [score(text, *x) for x in found]
-                rows.append((*(kinds.count(k) for k in KINDS[:BASE]), hashlib.sha256(joined(base).encode()).hexdigest(), joined(found), sum(scores) / len(scores) if scores else None))
-            columns = list(zip(*rows, strict=True)) or [[]] * 7
-            types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, t) for x, t in zip(columns, types, strict=True))], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "mean_score"])
+                rows.append((*(kinds.count(k) for k in KINDS[:BASE]), hashlib.sha256(joined(base).encode()).hexdigest(), joined(found), len(found), sum(x >= LEAST_SCORE for x in scores), max(scores, default=0.0)))
+            types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()] * 2 + [pa.float64()]
+            columns = list(zip(*rows, strict=True)) or [[]] * len(types)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, t) for x, t in zip(columns, types, strict=True))], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
     return docs.selectExpr("cast(doc_id AS long) AS doc_id", "text").mapInArrow(run, SCHEMA)
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(c.read(spark, sf_dir, "documents")).drop("mean_score")
+    return scan(c.read(spark, sf_dir, "documents"))
