@@ -5,8 +5,9 @@ window, each keeps its maximum, and a softmax layer names the language. A text's
 probabilities over the whole text. Training is plain numpy on the driver, on at most `train_docs` labelled documents
 chosen by a hash of their id (equal shares for each language); prediction is one pass without any shuffle.
 
-Null texts and texts without a letter are `und` with score 0. Rows are judged one by one, so repeated rows agree. With
-no labelled training row every text is `und`. Extra columns are ignored.
+Null and empty texts and texts without a letter are `und` with score 0. Rows are judged one by one, so repeated rows agree.
+With no labelled training row every text is `und`; an empty table gives no rows. Texts of any length are judged whole, some
+windows at a time. predict() hands on the columns that the caller names, such as a struct of them all, and ignores others.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common as c
@@ -26,7 +27,6 @@ LETTER = re.compile(r"[^\W\d_]")
 LENGTH, WIDTHS, FILTERS, EMBED = 192, (2, 3, 4), 12, 8
 #: Bound of the labelled sample and of the windows taken from each of its documents.
 TRAIN_DOCS, WINDOWS_PER_DOC = 3200, 4
-MOST_LANGUAGES = 64
 
 
 def held_out(mod: int, left: int) -> Column:
@@ -119,12 +119,14 @@ def train(x: np.ndarray, y: np.ndarray, labels: list[str], epochs: int = 8, batc
 
 
 def sample(docs: DataFrame, most: int) -> DataFrame:
-    """At most `most` ids of labelled rows with text, as even over the languages as there are rows, chosen by hash."""
+    """Ids of labelled rows with text, as even over the languages as there are rows, chosen by hash: at most `most`, or one
+    for each language if there are more languages than that. One scan, whose tasks cut the ranks before they shuffle."""
     rows = docs.where("lang IS NOT NULL AND doc_id IS NOT NULL AND length(text) > 0").select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-    langs = [r.lang for r in rows.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect()]
-    parts = [rows.where(F.col("lang") == x) for x in sorted(langs)] if 0 < len(langs) <= MOST_LANGUAGES else [rows]
-    ids = [(r.doc_id,) for p in parts for r in p.orderBy("h", "doc_id").limit(most // len(parts)).select("doc_id").collect()]
-    return docs.sparkSession.createDataFrame(ids, "doc_id long").distinct()
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("rank") <= most)
+    # by rank, so every language has its first row before any has its second
+    kept = ranked.select("rank", "lang", "doc_id").orderBy("rank", "lang").limit(most).union(ranked.where("rank = 1").select("rank", "lang", "doc_id"))
+    ids = sorted({(r.doc_id,) for r in kept.collect()})
+    return docs.sparkSession.createDataFrame(ids, "doc_id long")
 
 
 def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, seed: int = 1) -> ByteConvNet | None:

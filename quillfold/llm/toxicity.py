@@ -4,17 +4,19 @@ A lexicon of words and word stems is learned from the labelled sample by their s
 counts and densities of lexicon hits, hits near a second-person word, hits that only show after undoing obfuscation,
 capitals, punctuation, symbols and lengths. Trees are fitted in numpy on the driver to at most `train_rows` labelled
 documents chosen by a hash of their id; a part of the sample that no tree sees calibrates the scores (pool adjacent
-violators). Scoring is one pass without any shuffle and reads every text whole.
+violators). Only counts of words and rows of features reach the driver, never texts, so their length doesn't matter.
+Scoring is one pass without any shuffle and reads every text whole.
 
-Null and empty texts have all-zero features and are scored like any other. Rows are scored one by one. Several labels
-for one id count as their maximum. Without both classes in the sample every score is the sample's toxic rate (0 if empty).
+Null and empty texts have all-zero features and are scored like any other. Rows are scored one by one, so repeated rows
+agree; an empty table gives no rows. Several labels for one id count as their maximum. Without both classes in the sample
+every score is the sample's toxic rate (0 if empty). score() hands on the columns that the caller names, such as a struct
+of them all, and ignores others.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -30,6 +32,8 @@ from .language import held_out
 TRAIN_ROWS = 4000
 LEXICON = 600
 STEMS = (4, 5, 6)
+#: Least log-odds of a lexicon entry.
+LEAST_ODDS = 2.0
 NEAR = 5
 WORD = re.compile(r"[^\W\d_]+")
 ODD = re.compile(r"[^\W_]*[0-9@$!*._+|-]+[^\W_]+(?:[0-9@$!*._+|-]+[^\W_]+)*")
@@ -46,16 +50,22 @@ class Lexicon:
     stems: dict[str, float] = field(default_factory=dict)
 
     @classmethod
-    def learn(cls, texts: list[str], labels: np.ndarray, most: int = LEXICON) -> Lexicon:
-        """Words and stems at least e^2 times likelier in toxic texts, each found in three or more of them."""
-        bad, good = Counter(), Counter()
-        for text, y in zip(texts, labels, strict=True):
-            words = set(WORD.findall(text.lower()))
-            (bad if y else good).update({("w", w) for w in words} | {("s", w[:n]) for w in words for n in STEMS if len(w) > n})
-        n1, n0 = max(1, int(sum(labels))), max(1, int(len(labels) - sum(labels)))
-        rated = sorted(((math.log((k + 0.5) / (n1 + 1) * (n0 + 1) / (good[w] + 0.5)), k, w) for w, k in bad.items() if k >= 3), key=lambda x: (-x[0] * math.log1p(x[1]), x[2]))
-        top = [(s, w) for s, _, w in rated if s > 2][:most]
-        return cls({w: s for s, (kind, w) in top if kind == "w"}, {w: s for s, (kind, w) in top if kind == "s"})
+    def learn(cls, counts: list[tuple[str, int, int]], bad: int, good: int, most: int = LEXICON) -> Lexicon:
+        """From (w:word or s:stem, toxic texts, other texts that have it): those at least e^2 times likelier in toxic texts,
+        the best `most` of them."""
+        rated = sorted(((log_odds(k, n, bad, good), k, w) for w, k, n in counts), key=lambda x: (-x[0] * math.log1p(x[1]), x[2]))
+        top = [(s, w) for s, _, w in rated if s > LEAST_ODDS][:most]
+        return cls({w[2:]: s for s, w in top if w[0] == "w"}, {w[2:]: s for s, w in top if w[0] == "s"})
+
+
+def log_odds(k: int, n: int, bad: int, good: int) -> float:
+    return math.log((k + 0.5) / (bad + 1) * (good + 1) / (n + 0.5))
+
+
+def marks(text: str) -> set[str]:
+    """The words and stems of a text, each once."""
+    words = set(WORD.findall(text.lower()))
+    return {f"w:{w}" for w in words} | {f"s:{w[:n]}" for w in words for n in STEMS if len(w) > n}
 
 
 def features(text: str, lexicon: Lexicon) -> list[float]:
@@ -161,18 +171,11 @@ class Model:
         return np.clip(p if self.knots is None else np.interp(p, *self.knots), 0, 1)
 
 
-def train(texts: list[str], labels: np.ndarray, trees: int = 40, depth: int = 3, seed: int = 1) -> Model:
-    r = np.random.default_rng(seed)
-    rate = float(labels.mean()) if len(labels) else 0.0
-    if not 0 < rate < 1:
-        model = Model(Lexicon(), 0.0)
-        model.knots = (np.array([0.0, 1.0]), np.array([rate, rate]))
-        return model
-    order = r.permutation(len(labels))
-    later, fitted = order[: len(order) // 4], order[len(order) // 4 :]
-    model = Model(Lexicon.learn([texts[i] for i in fitted], labels[fitted]), math.log(rate / (1 - rate)))
-    x = np.array([features(t, model.lexicon) for t in texts])
-    xf, y = x[fitted], labels[fitted].astype(float)
+def train(x: np.ndarray, labels: np.ndarray, later: np.ndarray, lexicon: Lexicon, trees: int = 40, depth: int = 3) -> Model:
+    """Trees from the rows of features x that are not `later`; the later ones calibrate."""
+    y = labels[~later].astype(float)
+    rate = float(np.clip(y.mean() if len(y) else labels.mean(), 1e-3, 1 - 1e-3))
+    model, xf = Model(lexicon, math.log(rate / (1 - rate))), x[~later]
     edges = [np.unique(np.quantile(v, np.linspace(0, 1, 33)[1:-1])) if len(np.unique(v)) > 32 else (np.unique(v)[:-1] + np.unique(v)[1:]) / 2 for v in xf.T]
     bins = np.column_stack([np.searchsorted(e, v, side="left") for e, v in zip(edges, xf.T, strict=True)])
     raw = np.full(len(y), model.base)
@@ -185,17 +188,48 @@ def train(texts: list[str], labels: np.ndarray, trees: int = 40, depth: int = 3,
     return model
 
 
-def sample(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]:
-    """Texts and labels of at most `most` rows of each class, by a hash of the id. Ids are chosen before texts are read."""
+def sample(docs: DataFrame, labels: DataFrame, most: int, seed: int) -> DataFrame:
+    """text, toxic, later (a quarter of the rows) of at most `most` ids of each class, by a hash of the id. Ids are chosen
+    before texts are read."""
     rows = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = [tuple(r) for y in (0, 1) for r in rows.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("doc_id", "toxic").collect()]
     side = docs.sparkSession.createDataFrame(chosen, "doc_id long, toxic int")
-    found = sorted((r.doc_id, r.text or "", r.toxic) for r in docs.select("doc_id", "text").join(F.broadcast(side), "doc_id").collect())
-    return [t for _, t, _ in found], np.array([y for *_, y in found], np.int64)
+    later = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(4)) == 0
+    return docs.select("doc_id", "text").join(F.broadcast(side), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic"), later.alias("later"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, seed: int = 1) -> Model:
-    return train(*sample(docs, labels, most), seed=seed)
+    """The model of a bounded sample of labelled documents. Words are counted and features built where the texts are."""
+    keep = c.Scratch(docs)
+    chosen = keep(sample(docs, labels, most, seed), "toxic-sample")
+    sizes = {(r.toxic, r.later): r["count"] for r in chosen.groupBy("toxic", "later").count().collect()}
+    bad, good = sizes.get((1, False), 0), sizes.get((0, False), 0)
+    if not bad or not good:
+        all_ = sum(sizes.values())
+        rate = sum(k for (y, _), k in sizes.items() if y) / all_ if all_ else 0.0
+        keep.close()
+        return Model(Lexicon(), 0.0, knots=(np.array([0.0, 1.0]), np.array([rate, rate])))
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for text, toxic in zip(b.column("text"), b.column("toxic"), strict=True):
+                found = sorted(marks(text.as_py()))
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([toxic.as_py()] * len(found), pa.int32())], names=["mark", "toxic"])
+
+    counted = chosen.where("NOT later").mapInArrow(listed, "mark string, toxic int").groupBy("mark").agg(F.sum("toxic").alias("k"), F.sum(1 - F.col("toxic")).alias("n")).where("k >= 3")
+    odds = F.log((F.col("k") + 0.5) / (bad + 1) * (good + 1) / (F.col("n") + 0.5))
+    best = counted.where(odds > LEAST_ODDS).orderBy(F.desc(odds * F.log1p("k")), "mark").limit(LEXICON)
+    lexicon = Lexicon.learn([(r.mark, r.k, r.n) for r in best.collect()], bad, good)
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = [features(t.as_py(), lexicon) for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), b.column("toxic"), b.column("later")], names=["x", "toxic", "later"])
+
+    rows = sorted(tuple(r) for r in chosen.mapInArrow(measured, "x array<double>, toxic int, later boolean").collect())
+    keep.close()
+    x, y, later = (np.array(v) for v in zip(*rows, strict=True))
+    return train(x.reshape(-1, len(FEATURES)), y, later, lexicon)
 
 
 def score(docs: DataFrame, model: Model, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
