@@ -1,11 +1,16 @@
 """Mixing sources to target weights by hash-random keys, distributed prefix sums and an exact cut.
 
 Each document gets a key drawn from a hash of its id. The key's leading bits name a range of the key space; within each
-source, sizes are summed by range, the range sums are accumulated, and rows are ordered by key only inside one range of
-one source. A source may hold any share of the rows: no task ever sees more than one range of it.
-
-The number of ranges follows the row count. Null text has size 0; a null source is a source of its own, last in order;
-rows with equal ids are ordered by their text's hash, and equal rows are interchangeable. Empty input gives no rows.
+source, sizes are summed by range and the range sums are accumulated. That tells in which range a source's budget ends;
+only the rows of that one range are ordered, and the row at which the budget ends is the source's cut. All rows are then
+taken by comparing them with their source's cut, in one pass and without moving them. A source may hold any share of the
+rows: no task ever sees more than one range of it.
+
+The number of ranges follows the row count. Null text has size 0, and texts are counted whole; a null source is a source
+of its own, last in order; rows with equal ids are ordered by size and their text's hash, and wholly equal rows are
+interchangeable. Empty input gives no rows. Sources are one row each in two windows that rank them: a million are a small
+task. Columns besides doc_id, source and text don't matter, whatever their names; mix() hands on one column that the
+caller names, such as a struct of them all.
 """
 
 from __future__ import annotations
@@ -27,7 +32,7 @@ def size_of(text: Column) -> Column:
 
 def budgets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2) -> DataFrame:
     """source, source_size, target from source, size: a share of all sizes split by weight, no target above `most` times
-    its source. Sources are few, one row each, so the ordering window over them is one small task.
+    its source.
 
     Filling to a level: with sources by ascending (most * size / weight), those that stay below their fair part of what
     is left are full, and the others have one common level per weight.
@@ -50,35 +55,74 @@ def budgets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return t.select("source", "source_size", F.when(F.col("full"), F.col("most")).otherwise(level).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2, seed: int = 1, whole_documents: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, size, source_size, target, taken and the columns named in keep, one row for each row of docs.
+def key_of(doc_id: Column, seed: int) -> Column:
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))))
+
+
+def named(source: Column) -> Column:
+    """A source as a key that is never null."""
+    return F.coalesce(F.concat(F.lit("s"), source), F.lit("n"))
+
+
+def cuts(slim: DataFrame, keep: c.Scratch, weights: tuple[int, ...], share: float, most: int, rows_per_range: int) -> DataFrame:
+    """One row for each source of slim(doc_id, source, size, tie, key): its key `s`, source_size, target, epochs (taken
+    whole), and the row at which the rest of the budget ends: `at` (its place in order; null: nothing is taken beyond the
+    epochs), `into` (words taken of that row and its equals) and `equals` (how many wholly equal rows are there)."""
+    digits = max(1, min(15, math.ceil(math.log(max(1, slim.count() / rows_per_range), 16))))
+    part = F.substring("key", 1, digits)
+    sums = keep(slim.groupBy("source", part.alias("part")).agg(F.sum("size").alias("size")), "mix-ranges")
+    target = budgets(sums, weights, share, most).withColumn("s", named(F.col("source"))).drop("source")
+    epochs = F.when(F.col("source_size") > 0, F.least(F.lit(most), F.floor(F.col("target") / F.col("source_size")))).otherwise(0).cast("long")
+    target = target.withColumn("epochs", epochs).withColumn("rest", F.floor(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long"))
+    target = keep(target, "mix-targets")
+    before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    based = sums.withColumn("base", F.coalesce(F.sum("size").over(before), F.lit(0).cast("long"))).withColumn("s", named(F.col("source")))
+    last = based.join(target.select("s", "rest"), "s").where("base <= rest AND rest < base + size").select("s", F.col("part").alias("p"), "base", "rest")
+    last = c.small(keep(last, "mix-last"), c.BROADCAST_ROWS)
+    rows = slim.select(named(F.col("source")).alias("s"), part.alias("p"), "key", "doc_id", "size", "tie").join(last, ["s", "p"])
+    place = F.struct("key", "doc_id", "size", "tie")
+    ahead = rows.groupBy("s", place.alias("at")).agg(F.sum("size").alias("all"), F.count(F.lit(1)).alias("equals"), F.first("base").alias("base"), F.first("rest").alias("rest"))
+    inside = Window.partitionBy("s").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = ahead.withColumn("ahead", F.col("base") + F.coalesce(F.sum("all").over(inside), F.lit(0).cast("long")))
+    cut = ahead.where("ahead <= rest AND rest < ahead + all").select("s", "at", (F.col("rest") - F.col("ahead")).alias("into"), "equals")
+    return target.drop("rest").join(cut, "s", "left")
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2, seed: int = 1, whole_documents: bool = False, payload: str | None = None, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """doc_id, size, source_size, target, taken and the column named by payload, one row for each row of docs.
 
     Whole epochs of a source are taken first; the last one is cut in key order at the exact word. With whole_documents
     the document at the cut is taken whole if at least half of it is inside, else left out.
     """
-    keyed = docs.select("doc_id", "source", *[k for k in keep if k not in ("doc_id", "source")], size_of(F.col("text")).alias("size"), F.xxhash64("text").alias("tie"))
-    keyed = keyed.withColumn("key", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
-    n = docs.count()
-    digits = max(1, min(7, math.ceil(math.log(max(1, n / ROWS_PER_RANGE), 16))))
-    ranged = keyed.withColumn("part", F.substring("key", 1, digits))
-    slim = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"))
-    slim = slim.select("source", "size", F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, digits).alias("part"))
-    sums = c.stored(slim.groupBy("source", "part").agg(F.sum("size").alias("size")), "mix-ranges")
-    target = budgets(sums, weights, share, most)
-    starts = sums.withColumn("base", F.coalesce(F.sum("size").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long")))
-    side = starts.join(target.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select(
-        F.col("source").alias("s"), F.col("part").alias("p"), "base", "source_size", "target"
-    )
-    inside = Window.partitionBy("source", "part").orderBy("key", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
-    placed = ranged.withColumn("ahead", F.coalesce(F.sum("size").over(inside), F.lit(0).cast("long")))
-    out = placed.join(side, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p")))
-    epochs = F.when(F.col("source_size") > 0, F.least(F.lit(most), F.floor(F.col("target") / F.col("source_size")))).otherwise(0).cast("long")
-    rest = F.floor(F.col("target") - epochs * F.col("source_size")).cast("long")
-    into = F.least(F.col("size"), F.greatest(F.lit(0).cast("long"), rest - F.col("base") - F.col("ahead")))
-    if whole_documents:
-        into = F.when(2 * into >= F.greatest(F.col("size"), F.lit(1)), F.col("size")).otherwise(0)
-    taken = F.least(epochs * F.col("size") + into, most * F.col("size")).cast("long")
-    return out.select("doc_id", "size", "source_size", "target", taken.alias("taken"), *[k for k in keep if k != "doc_id"])
+    keep = c.Scratch(docs)
+    slim = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), F.xxhash64("text").alias("tie"))
+    sized = keep(slim, "mix-sizes") if payload else c.stored(slim, "mix-sizes")
+    slim = sized.withColumn("key", key_of(F.col("doc_id"), seed))
+    cut = c.stored(cuts(slim, keep, weights, share, most, rows_per_range), "mix-cuts")
+    rows = slim
+    if payload:
+        rows = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), F.xxhash64("text").alias("tie"), payload).withColumn("key", key_of(F.col("doc_id"), seed))
+    rows = rows.withColumn("s", named(F.col("source"))).join(c.small(cut, c.BROADCAST_ROWS), "s").withColumn("place", F.struct("key", "doc_id", "size", "tie"))
+    nothing = F.lit(0).cast("long")
+
+    def taken(into: Column) -> Column:
+        if whole_documents:
+            into = F.when(2 * into >= F.greatest(F.col("size"), F.lit(1)), F.col("size")).otherwise(nothing)
+        return F.least(F.col("epochs") * F.col("size") + into, most * F.col("size")).cast("long").alias("taken")
+
+    columns = ["doc_id", "size", "source_size", "target", *([payload] if payload else [])]
+    at = F.col("place").eqNullSafe(F.col("at"))
+    before = F.when(F.col("place") < F.col("at"), F.col("size")).otherwise(nothing)
+    if cut.where("equals > 1").take(1):
+        # rows that equal their source's cut in everything: they are counted off one by one
+        turn = F.row_number().over(Window.partitionBy("s").orderBy(F.lit(1))) - 1
+        equal = rows.where(at).withColumn("turn", turn)
+        each = F.least(F.col("size"), F.greatest(nothing, F.col("into") - F.col("turn") * F.col("size")))
+        out = rows.where(~at).select(*columns, taken(before)).unionByName(equal.select(*columns, taken(each)))
+    else:
+        out = rows.select(*columns, taken(F.when(at, F.least("size", "into")).otherwise(before)))
+    keep.close()
+    return out
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,19 +59,30 @@ def test_mixing(docs):
 
 
 def test_sharding(docs):
-    got = sharding.shard(docs, 4, ("doc_id", "text"), rows_per_partition=3, rows_per_block=2).collect()
+    rows = corpus_pipeline.carried(docs)
+    got = sharding.shard(rows, 4, "row", rows_per_partition=3, rows_per_block=2).collect()
     assert len(got) == len(ROWS)
     by = {s: sorted(r.slot for r in got if r.shard == s) for s in range(4)}
     assert all(v == list(range(len(v))) for v in by.values()) and sorted(map(len, by.values())) == [3, 3, 3, 4]
-    assert sharding.shard(docs.where("false"), 4, ("doc_id",)).count() == 0
+    assert sharding.shard(rows.where("false"), 4, "row").count() == 0
 
 
 def test_matrix_margins():
     import numpy as np
 
-    counts, size = np.array([5, 0, 7, 9, 4]), np.array([10, 8, 7])
-    rows = np.array([sharding.matrix_row(p, counts, size, 3) for p in range(5)])
-    assert (rows.sum(1) == counts).all() and (rows.sum(0) == size).all() and (rows >= 0).all()
+    counts, size = [5, 0, 7, 9, 4, 0, 0, 0], np.array([10, 8, 7])
+    lefts = [[sum(counts[(2 * (p >> (3 - d))) << (2 - d) : (2 * (p >> (3 - d)) + 1) << (2 - d)]) for d in range(3)] for p in range(8)]
+    rows, before = zip(*(sharding.matrix_row(p, lefts[p], size, 3) for p in range(8)), strict=True)
+    assert (np.array(rows).sum(1) == counts).all() and (np.array(rows).sum(0) == size).all() and (np.array(rows) >= 0).all()
+    assert (np.array(before) == np.cumsum([np.zeros(3, int), *rows[:-1]], 0)).all()
+
+
+def test_slots_are_a_bijection():
+    import numpy as np
+
+    for size in (1, 2, 3, 40, 1000, 4097):
+        got = np.concatenate([sharding.bijection(np.arange(a, min(size, a + 100)), size, 1, 7) for a in range(0, size, 100)])
+        assert sorted(got) == list(range(size)) and (size < 40 or (got != np.arange(size)).mean() > 0.9)
 
 
 def test_language(docs):
@@ -89,12 +100,13 @@ def test_toxicity(spark, docs):
         assert len(got) == len(ROWS) and all(0 <= r.score <= 1 for r in got)
 
 
-def test_toxicity_learns_words_stems_and_disguises():
+def test_toxicity_learns_words_stems_and_disguises(spark):
     import numpy as np
 
     clean = [f"fine words number {'abcdefghij'[i % 10]} here {'klmnopqr'[i % 8]} today" for i in range(300)]
     bad = [c.replace("words", "you scoundrel" if i % 2 else "villain" + "abcdefg"[i % 7]) for i, c in enumerate(clean[:100])]
-    model = toxicity.train(clean + bad, np.array([0] * 300 + [1] * 100))
+    texts = spark.createDataFrame(list(enumerate(clean + bad)), "doc_id long, text string")
+    model = toxicity.fit(texts, spark.createDataFrame([(i, int(i >= 300)) for i in range(400)], "doc_id long, toxic int"))
     score = lambda t: float(model.score(np.array([toxicity.features(t, model.lexicon)]))[0])
     assert score("fine scoundrel here today") > 0.5 > score("fine weather here today") and score("fine villainq here") > 0.5
     x = toxicity.features("a sc0undr3l", model.lexicon)
