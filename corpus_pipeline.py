@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and works on everything the stage before it kept. A stage's output is written as
 Parquet in the shared folder and read again as the next one's docs. All stages but the last return the columns of
 `documents`; the last adds shard and slot.
+
+A stage carries each row as one struct, so any extra columns pass unchanged, whatever their names; a column named shard or
+slot that comes in gives way to the stage's own. Null and empty texts are scored like others, link with nothing, are never
+contaminated, have size 0 (so the mix doesn't take them) and go into shards like other rows. Rows with equal ids are told
+apart by their texts; of wholly equal rows the Jaccard stage keeps one, and to the other stages each is a row of its own.
+Empty tables pass as empty tables.
 """
 
 from __future__ import annotations
@@ -16,49 +22,56 @@ from quillfold.llm.language import held_out
 SHARDS = 40
 
 
+def carried(docs: DataFrame) -> DataFrame:
+    """row (all columns), doc_id, rk (text hash), text, source."""
+    return docs.select(F.struct("*").alias("row"), "doc_id", F.xxhash64("text").alias("rk"), "text", "source")
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose calibrated toxicity is below one half. Learns from the labels outside the held-out fold."""
     model = toxicity.fit(docs, common.read(spark, sf_dir, "labels").where(~held_out(5, 0)))
-    return toxicity.score(docs, model, tuple(docs.columns)).where("score < 0.5").drop("score")
+    return toxicity.score(carried(docs), model, ("row",)).where("score < 0.5").select("row.*")
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component: of its smallest id (null last), then its least text hash, then the least other columns.
-    Wordless texts link with nothing and all stay."""
+    """One row of each component: of its smallest id (null last), then its least text hash; of equal rows one. Wordless
+    texts link with nothing and all stay. The rows to drop are named, which are far fewer than those to keep."""
     found = jaccard.near_duplicates(docs.select("doc_id", "text"), keep_root=True)
-    times = found.where("n_shingles > 0").groupBy("root", "doc_id", "rk").agg(F.count(F.lit(1)).alias("times"))
-    best = times.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rk", "times")).alias("x")).select("x.doc_id", "x.rk", "x.times")
-    bare = found.where("n_shingles = 0").select("doc_id", "rk", F.lit(1).cast("long").alias("times")).distinct()
-    stay = common.stored(best.unionByName(bare).groupBy("doc_id", "rk").agg(F.max("times").alias("times")), "pipeline-stay").select(F.col("doc_id").alias("_id"), F.col("rk").alias("_rk"), "times")
-    keyed = docs.withColumn("_h", F.xxhash64("text"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_rk"))
-    again = stay.where("times > 1")
-    if not again.take(1):
-        return keyed.join(common.small(stay, 2_000_000), same, "left_semi").drop("_h")
-    met = keyed.join(common.small(stay.where("times = 1"), 2_000_000), same, "left_semi").drop("_h")
-    # survivors that occur in several rows: one row of each
-    one = keyed.join(common.small(again, 2_000_000), same, "left_semi").groupBy("doc_id", "_h").agg(F.min(F.struct(*docs.columns)).alias("x")).select("x.*")
-    return met.unionByName(one)
+    several = found.where("n_shingles > 0").groupBy("root", "doc_id", "rk").agg(F.count(F.lit(1)).alias("times"))
+    several = common.stored(several, "pipeline-rows")
+    best = several.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rk")).alias("x"), F.sum("times").alias("n")).where("n > 1")
+    families = several.join(best.select(F.col("root").alias("r"), F.col("x.doc_id").alias("best_id"), F.col("x.rk").alias("best_rk")), F.col("root") == F.col("r"))
+    chosen = F.col("doc_id").eqNullSafe(F.col("best_id")) & (F.col("rk") == F.col("best_rk"))
+    families = common.stored(families.select(F.col("doc_id").alias("_id"), F.col("rk").alias("_rk"), "times", chosen.alias("chosen")), "pipeline-families")
+    # rows with equal id and text share a component, so no row is named in two families
+    gone = families.where("NOT chosen OR times > 1").select("_id", "_rk")
+    rows = carried(docs)
+    kept = common.unmatched(rows, gone).select("row")
+    again = families.where("chosen AND times > 1").select("_id", "_rk")
+    if again.take(1):  # chosen texts that several rows with one id have: the least of those rows
+        met = common.matching(rows, again).groupBy("doc_id", "rk")
+        kept = kept.unionByName(met.agg(F.min("row").alias("row")).select("row"))
+    return kept.select("row.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without benchmark contamination."""
     found = decontaminate.decontaminate(docs.select("doc_id", "text"), common.read(spark, sf_dir, "benchmark"), keep_hash=True)
-    bad = common.stored(found.where("contaminated").select("doc_id", "rk").distinct(), "pipeline-bad").select(F.col("doc_id").alias("_id"), F.col("rk").alias("_rk"))
-    keyed = docs.withColumn("_h", F.xxhash64("text"))
-    return keyed.join(common.small(bad, 2_000_000), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_rk")), "left_anti").drop("_h")
+    bad = common.stored(found.where("contaminated").select(F.col("doc_id").alias("_id"), F.col("rk").alias("_rk")).distinct(), "pipeline-bad")
+    return common.unmatched(carried(docs), bad).select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Whole documents, each as often as the mix takes it; the last epoch of a source ends at the document nearest its target."""
-    out = mixing.mix(docs, whole_documents=True, keep=tuple(docs.columns) + (() if "text" in docs.columns else ("text",)))
+    out = mixing.mix(carried(docs), whole_documents=True, payload="row")
     times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
-    return out.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), times))).select(*docs.columns)
+    return out.select("row", F.explode(F.array_repeat(F.lit(0), times)).alias("copy")).select("row.*")
 
 
 def shard_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every row with its shard and its slot there; shards differ by one row at most."""
-    return sharding.shard(docs, SHARDS, tuple(docs.columns))
+    out = sharding.shard(carried(docs).select("row", "text"), SHARDS, "row")
+    return out.select(*[F.col("row")[x].alias(x) for x in docs.columns if x.lower() not in ("shard", "slot")], "shard", "slot")
 
 
 STAGES = [
@@ -69,7 +82,7 @@ STAGES = [
     ("sharding", shard_documents),
 ]
 
-#: The toxicity and Jaccard stages can't be written in SQL; tests compare the stages with brute force.
+#: The toxicity and Jaccard stages can't be written in SQL; tests/llm/test_pipeline.py compares the stages with plain Python.
 ORACLE_SQL = None
 
 
