@@ -80,21 +80,48 @@ def font_program(file2: Column, file3: Column, file1: Column) -> Column:
     return F.when(file2.isNotNull(), "TrueType").when(file3.isNotNull(), "CFF").when(file1.isNotNull(), "Type1")
 
 
+def font_name(name: Column) -> Column:
+    return F.coalesce(name, F.lit("(unnamed)"))
+
+
 def is_tagged(name: Column) -> Column:
-    return F.coalesce(name, F.lit("(unnamed)")).rlike(r"^[A-Z]{6}[+].+$")
+    """Whether a font's name carries the tag of a subset."""
+    return font_name(name).rlike(r"^[A-Z]{6}[+].+$")
+
+
+def subsettable(program: Column, name: Column) -> Column:
+    return F.coalesce(program == "TrueType", F.lit(False)) & ~is_tagged(name)
 
 
 def stream_category(font: Column, content: Column, subtype: Column, pattern: Column) -> Column:
     return F.when(font, "fonts").when(content, "vectors").when(subtype == "Image", "images").when((subtype == "Form") | F.coalesce(pattern, F.lit(False)), "vectors").otherwise("other")
 
 
-def note(total: Column, subsettable: Column, images: Column, addressable: Column) -> Column:
-    """The report's remark; percents are whole numbers, rounded half up."""
-    def text(x):
-        return half_up(x).cast("long").cast("string")
+# The remarks of the composition report.
+EMPTY_NOTE = "No stored streams found."
+FONT_NOTE = ("Font subsetting could target ~", "% of stream bytes (", " bytes of embedded TrueType fonts are not yet subset).")
+IMAGE_NOTE = ("Images are ", "% of stream bytes; image optimization is where the savings are, vector/font optimization would move only ~", "%.")
+VECTOR_NOTE = ("Fonts and vector/text content are ", "% of stream bytes, but the embedded fonts are already subset, so a font pass would not help much.")
+MIXED_NOTE = ("Images ", "%, fonts+vectors ", "% of stream bytes.")
+
+
+def whole_percent(part: Column, total: Column) -> Column:
+    """A share in percent as a whole number, rounded half up; null if the total is 0."""
+    return F.when(total != 0, half_up(part * 100.0 / total).cast("long"))
+
+
+def note(total: Column, images: Column, addressable: Column, subsettable: Column) -> Column:
+    """The report's remark from bytes. Shares are rounded before they are compared."""
+    image, other = whole_percent(images, total), whole_percent(addressable, total)
+
+    def joined(texts, *values):
+        parts = [F.lit(texts[0])]
+        for value, after in zip(values, texts[1:], strict=True):
+            parts += [value.cast("string"), F.lit(after)]
+        return F.concat(*parts)
     return (
-        F.when(total == 0, "empty").when(subsettable > 0, F.concat(F.lit("subsettable="), subsettable.cast("string")))
-        .when(images >= 80, F.concat(F.lit("images "), text(images), F.lit("%"))).when(addressable >= 40, F.concat(F.lit("addressable "), text(addressable), F.lit("%"))).otherwise("mixed")
+        F.when(total == 0, EMPTY_NOTE).when(subsettable > 0, joined(FONT_NOTE, whole_percent(subsettable, total), subsettable))
+        .when(image >= 80, joined(IMAGE_NOTE, image, other)).when(other >= 40, joined(VECTOR_NOTE, other)).otherwise(joined(MIXED_NOTE, image, other))
     )
 
 
@@ -118,10 +145,6 @@ def resume_offset(header: Column, query: Column) -> Column:
     return F.coalesce(given.try_cast("long"), F.lit(0).cast("long"))
 
 
-def job_status(state: Column) -> Column:
-    return F.when(state == "O", "RUNNING").when(state == "F", "SUCCEEDED").when(state == "P", "QUEUED").otherwise("FAILED")
-
-
 #: HTTP status of each error class.
 STATUS = {"InvalidPdf": 422, "InvalidOption": 400, "MissingPart": 400, "JobNotFound": 404, "JobNotReady": 409, "TooManyJobs": 429, "NoResource": 404, "Autostart": 500, "Compression": 500}
 
@@ -130,4 +153,4 @@ def error_status(kind: Column) -> Column:
     out = F.lit(500)
     for name, code in STATUS.items():
         out = F.when(kind == name, code).otherwise(out)
-    return F.when(kind != "AsyncEnded", out)
+    return F.when(kind.isNull() | (kind != "AsyncEnded"), out)
