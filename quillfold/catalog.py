@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import standins
+from .plans import files, rules, standins  # noqa: F401 - files and rules add their queries to standins
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import re
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import Column
@@ -20,6 +22,10 @@ BOUNDS = {
     "max_concurrent_compressions": (0, None), "max_active_jobs": (1, None), "retention_seconds": (1, None),
 }
 POLICIES, CACHES = ("KEEP_ORIGINAL", "USE_SMALLEST"), ("TEMP_FILE", "MEMORY")
+PREFIX = "pdf.compression."
+#: Settings whose property has another name than their own.
+RENAMED = {"async.max-active-jobs": "max_active_jobs", "async.retention": "retention_seconds"}
+UNITS = {"ms": 0.001, "s": 1, "m": 60, "h": 3600, "d": 86400}
 OVERRIDES = ("target_dpi", "jpeg_quality", "max_image_dimension", "strip_metadata", "deduplicate_images")
 
 
@@ -66,6 +72,49 @@ class Settings:
         return self.max_concurrent_compressions or cores * 4
 
 
+def seconds(value: str) -> int:
+    """A duration such as 30s, 5m, 1h, PT1H30M or a bare number of milliseconds."""
+    if m := re.fullmatch(r"([+-]?\d+)\s*(ms|s|m|h|d)?", value.strip()):
+        return int(int(m[1]) * UNITS[m[2] or "ms"])
+    if m := re.fullmatch(r"(?i)P(?:(\d+)D)?(?:T(?:(\d+)H)?(?:(\d+)M)?(?:(\d+)S)?)?", value.strip()):
+        return sum(int(x or 0) * u for x, u in zip(m.groups(), (86400, 3600, 60, 1), strict=True))
+    raise InvalidOption(f"not a duration: {value}")
+
+
+def typed(name: str, value: str):
+    """A property's text as its setting's type."""
+    kind = type(getattr(Settings(), name))
+    try:
+        if name == "retention_seconds":
+            return seconds(value)
+        if kind is bool:
+            return {"true": True, "false": False}[value.strip().lower()]
+        if kind is str:
+            return value.strip().replace("-", "_").upper()
+        return kind(value.strip())
+    except (KeyError, ValueError) as e:
+        raise InvalidOption(f"{name}: {value!r} is no {kind.__name__}") from e
+
+
+def properties(text: str) -> dict[str, str]:
+    """Lines of key=value; # and ! begin comments."""
+    rows = (line.strip() for line in text.splitlines())
+    return {k.strip(): v.strip() for k, _, v in (x.partition("=") for x in rows if x and x[0] not in "#!")}
+
+
+def loaded(text: str = "", env: Mapping[str, str] | None = None, args: Sequence[str] = ()) -> Settings:
+    """Settings from properties, then the environment, then arguments --key=value; later ones count. Keys are the settings'
+    names with dashes behind the prefix, in the environment in capitals without dashes; other keys are passed over."""
+    names = {f.name.replace("_", "-"): f.name for f in fields(Settings)} | RENAMED
+    for own in RENAMED.values():
+        names.pop(own.replace("_", "-"), None)
+    given = properties(text)
+    by_env = {re.sub("[^A-Z0-9]", "_", (PREFIX + k).upper().replace("-", "")): PREFIX + k for k in names}
+    given |= {by_env[k]: v for k, v in (env or {}).items() if k in by_env}
+    given |= {k: v for k, _, v in (x[2:].partition("=") for x in args if x.startswith("--"))}
+    return Settings(**{names[k.removeprefix(PREFIX)]: typed(names[k.removeprefix(PREFIX)], v) for k, v in given.items() if k.startswith(PREFIX) and k.removeprefix(PREFIX) in names})
+
+
 def overlaid(name: str, override: Column, settings: Settings) -> Column:
     """The row's override or the setting; a row outside the bounds raises."""
     value = F.coalesce(override, F.lit(getattr(settings, name)))

@@ -4,32 +4,41 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def reachable(edges: DataFrame, roots: DataFrame, most_rounds: int = 1000) -> DataFrame:
-    """node: everything that roots(node) reach over edges(src, dst), roots included.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share. Only a session on one machine may go without one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = "/tmp/quillfold-checkpoints"
+    return folder
+
+
+def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """node: everything that roots(node) reach over edges(src, dst), roots included, however far.
 
     A breadth-first frontier: each round joins only the nodes found in the round before and drops those already seen,
-    so cycles end. Rounds are written to the checkpoint folder, or recomputed where the session has none.
+    so cycles end, and rounds go on until one finds nothing. Each is written to the shared folder, so a lost executor costs
+    no earlier round. Null nodes are passed over.
     """
     spark = edges.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder, token = shared_folder(spark), uuid.uuid4().hex
 
     def keep(df: DataFrame, k: int) -> DataFrame:
-        if folder is None:
-            return df.persist()
-        path = f"{folder}/reach-{token}-{k}"
+        path = f"{folder}/reach-{token}/round-{k}"
         df.write.parquet(path)
-        return spark.read.parquet(path)
-
-    token = uuid.uuid4().hex
-    seen = frontier = keep(roots.select("node").distinct(), 0)
-    for k in range(1, most_rounds):
-        step = frontier.join(edges, frontier.node == edges.src).select(F.col("dst").alias("node")).distinct()
+        return spark.read.schema(df.schema).parquet(path)
+
+    frontier = keep(roots.where("node IS NOT NULL").select("node").distinct(), 0)
+    links, found, k = edges.where("dst IS NOT NULL").select("src", "dst"), 1, 0
+    while found:
+        k += 1
+        seen = spark.read.schema(frontier.schema).option("recursiveFileLookup", "true").parquet(f"{folder}/reach-{token}")
+        step = frontier.join(links, frontier.node == links.src).select(F.col("dst").alias("node")).distinct()
         frontier = keep(step.join(seen, "node", "left_anti"), k)
-        if not frontier.take(1):
-            break
-        seen = seen.unionByName(frontier)
-    return seen
+        found = frontier.limit(1).count()
+    return spark.read.schema(frontier.schema).option("recursiveFileLookup", "true").parquet(f"{folder}/reach-{token}")

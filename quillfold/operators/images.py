@@ -11,7 +11,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Settings
@@ -46,6 +46,11 @@ def planned(images: DataFrame, drawn: DataFrame, s: Settings, dpi: Column | int,
     return out.withColumn("target_w", side("w")).withColumn("target_h", side("h")).withColumn("action", action)
 
 
+def batched(df: DataFrame, scope: list[str], order: str, size: int) -> DataFrame:
+    """df with batch: the number of the group of `size` rows that a row belongs to in its scope's order."""
+    return df.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(*scope).orderBy(order)) - 1) / size))
+
+
 TRANSFORMED = "codec string, new_w int, new_h int, new_bpc int, new_space string, new_filter string, new_parms string, new_data binary, new_mask binary, error string"
 
 

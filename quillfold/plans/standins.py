@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import Settings, overlaid
 from ..functions import decisions as d
-from ..operators import composition, dedup, graph, jobs, logs
+from ..operators import composition, dedup, fonts, graph, images, jobs, likeness, logs, metrics
 
 S = Settings()
 QUERIES: dict = {}
@@ -111,14 +111,16 @@ def document_policy(spark, sf):
 SELECT l_orderkey, count(*) FILTER (NOT skipped) AS images_inspected, count(*) FILTER (NOT skipped AND smaller AND down) AS images_downsampled, count(*) FILTER (NOT skipped AND smaller) AS images_recompressed, count(*) FILTER (skipped OR NOT smaller) AS images_unchanged FROM g GROUP BY l_orderkey""")
 def run_stats(spark, sf):
     orig, cand = F.floor("l_extendedprice"), F.floor(F.col("l_extendedprice") * (1 - F.col("l_discount")))
-    seen, ok = F.col("l_quantity") >= 5, d.accept_smaller(cand, orig, S)
-    return t(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count_if(seen).alias("images_inspected"), F.count_if(seen & ok & (F.col("l_quantity") >= 30)).alias("images_downsampled"), F.count_if(seen & ok).alias("images_recompressed"), F.count_if(~(seen & ok)).alias("images_unchanged"))
+    kind = F.when(F.col("l_quantity") < 5, "skipped").when(d.accept_smaller(cand, orig, S), "recompressed").otherwise("unchanged")
+    found = t(spark, sf, "lineitem").select("l_orderkey", kind.alias("outcome"), (F.col("l_quantity") >= 30).alias("downsample"))
+    return images.counters(found, ("l_orderkey",))
 
 
-@query("""SELECT l_partkey, CAST(max(CAST(sqrt(l_quantity * l_quantity + l_tax * l_tax) AS FLOAT)) * 100 + 0.5 AS BIGINT) AS w_centi, CAST(floor(max(l_extendedprice) * 100 + 0.5::DOUBLE) AS BIGINT) AS h_centi FROM lineitem GROUP BY l_partkey""".replace("CAST(max(CAST(sqrt", "CAST(floor(max(CAST(sqrt").replace("AS FLOAT)) * 100 + 0.5 AS BIGINT)", "AS FLOAT))::DOUBLE * 100 + 0.5::DOUBLE) AS BIGINT)"))
+@query("""SELECT l_partkey, CAST(max(CAST(sqrt(l_quantity * l_quantity + l_tax * l_tax) AS FLOAT)) * 100 + 0.5 AS BIGINT) AS w_centi, CAST(floor(max(CAST(l_extendedprice AS FLOAT))::DOUBLE * 100 + 0.5::DOUBLE) AS BIGINT) AS h_centi FROM lineitem GROUP BY l_partkey""".replace("CAST(max(CAST(sqrt", "CAST(floor(max(CAST(sqrt").replace("AS FLOAT)) * 100 + 0.5 AS BIGINT)", "AS FLOAT))::DOUBLE * 100 + 0.5::DOUBLE) AS BIGINT)"))
 def max_extent(spark, sf):
-    e = t(spark, sf, "lineitem").select("l_partkey", d.extent(F.col("l_quantity"), F.col("l_tax")).alias("w"), F.col("l_extendedprice").alias("h"))
-    return e.groupBy("l_partkey").agg(F.max("w").cast("double").alias("w"), F.max("h").alias("h")).select("l_partkey", d.half_up(F.col("w") * 100.0).cast("long").alias("w_centi"), d.half_up(F.col("h") * 100.0).cast("long").alias("h_centi"))
+    e = t(spark, sf, "lineitem").select(F.lit("").alias("path"), F.col("l_partkey").alias("image_id"), F.col("l_quantity").alias("scale_x"), F.col("l_tax").alias("shear_y"), F.lit(0.0).alias("shear_x"), F.col("l_extendedprice").alias("scale_y"))
+    e = images.extents(e)
+    return e.select(F.col("image_id").alias("l_partkey"), d.half_up(F.col("w_pt").cast("double") * 100.0).cast("long").alias("w_centi"), d.half_up(F.col("h_pt").cast("double") * 100.0).cast("long").alias("h_centi"))
 
 
 COMPOSITION = """WITH c AS (SELECT CASE WHEN lang = 'en' THEN 'fonts' WHEN source = 'src1' THEN 'vectors' WHEN n_chars > 4000 THEN 'images' ELSE 'other' END AS category, strlen(text) AS size FROM documents)"""
@@ -130,13 +132,41 @@ def composition_bytes(spark, sf):
     return composition.by_category(c, "category", F.col("size"))
 
 
-@query("""WITH s AS (SELECT source, sum(n_chars) AS total, sum(CASE WHEN lang = 'en' THEN n_chars ELSE 0 END) AS images, sum(CASE WHEN lang IN ('de', 'fr') THEN n_chars ELSE 0 END) AS addr, count(*) FILTER (n_chars > 20000) AS big FROM documents GROUP BY source)
-SELECT source, CASE WHEN total = 0 THEN 'empty' WHEN big > 0 THEN 'subsettable=' || big WHEN images * 100.0::DOUBLE / total >= 80 THEN 'images ' || CAST(floor(images * 100.0::DOUBLE / total + 0.5::DOUBLE) AS BIGINT) || '%'
- WHEN addr * 100.0::DOUBLE / total >= 40 THEN 'addressable ' || CAST(floor(addr * 100.0::DOUBLE / total + 0.5::DOUBLE) AS BIGINT) || '%' ELSE 'mixed' END AS note FROM s""")
+TOTALS = COMPOSITION.replace("SELECT CASE", "SELECT source, n_chars, CASE") + """, z AS (SELECT source, sum(size) AS total, sum(CASE WHEN category = 'images' THEN size ELSE 0 END) AS images, sum(CASE WHEN category = 'fonts' THEN size ELSE 0 END) AS fonts,
+ sum(CASE WHEN category = 'vectors' THEN size ELSE 0 END) AS vectors, sum(CASE WHEN category = 'other' THEN size ELSE 0 END) AS other, count(*) FILTER (category = 'fonts') AS n, count(*) FILTER (category = 'fonts' AND n_chars > 15000) AS m,
+ sum(CASE WHEN category = 'fonts' AND n_chars > 15000 THEN size ELSE 0 END) AS sub FROM c GROUP BY source),
+r AS (SELECT *, CAST(floor(images * 100.0::DOUBLE / total + 0.5::DOUBLE) AS BIGINT) AS ip, CAST(floor((fonts + vectors) * 100.0::DOUBLE / total + 0.5::DOUBLE) AS BIGINT) AS ap, CAST(floor(sub * 100.0::DOUBLE / total + 0.5::DOUBLE) AS BIGINT) AS sp FROM z)"""
+NOTE_SQL = """CASE WHEN total = 0 THEN 'No stored streams found.' WHEN sub > 0 THEN 'Font subsetting could target ~' || sp || '% of stream bytes (' || sub || ' bytes of embedded TrueType fonts are not yet subset).'
+ WHEN ip >= 80 THEN 'Images are ' || ip || '% of stream bytes; image optimization is where the savings are, vector/font optimization would move only ~' || ap || '%.'
+ WHEN ap >= 40 THEN 'Fonts and vector/text content are ' || ap || '% of stream bytes, but the embedded fonts are already subset, so a font pass would not help much.' ELSE 'Images ' || ip || '%, fonts+vectors ' || ap || '% of stream bytes.' END"""
+
+
+def source_composition(spark, sf):
+    kind = d.stream_category(F.col("lang") == "en", F.col("source") == "src1", F.when(F.col("n_chars") > 4000, "Image"), F.lit(False))
+    docs = t(spark, sf, "documents").select("source", "n_chars", kind.alias("category"), F.octet_length("text").cast("long").alias("size"))
+    programs = docs.where("category = 'fonts'").select("source", F.when(F.col("n_chars") > 15000, "Serif").otherwise("ABCDEF+Serif").alias("name"), F.lit("TrueType").alias("program"), F.col("size").alias("font_bytes"))
+    return composition.totals(docs, programs, ["source"])
+
+
+@query(TOTALS + " SELECT source, CAST(total AS BIGINT) AS total_bytes, CAST(images AS BIGINT) AS images_bytes, CAST(fonts + vectors AS BIGINT) AS addressable_bytes, n AS embedded_fonts, m AS subsettable_fonts, CAST(sub AS BIGINT) AS subsettable_bytes, floor((fonts + vectors) * 10000.0::DOUBLE / total + 0.5::DOUBLE) / 100.0::DOUBLE AS addressable_percent FROM r")
+def composition_totals(spark, sf):
+    return source_composition(spark, sf).select("source", "total_bytes", "images_bytes", "addressable_bytes", "embedded_fonts", "subsettable_fonts", "subsettable_bytes", "addressable_percent")
+
+
+@query(TOTALS + " SELECT source, " + NOTE_SQL + " AS note FROM r")
 def composition_note(spark, sf):
-    size = F.col("n_chars")
-    s = t(spark, sf, "documents").groupBy("source").agg(F.sum(size).alias("total"), F.sum(F.when(F.col("lang") == "en", size).otherwise(0)).alias("images"), F.sum(F.when(F.col("lang").isin("de", "fr"), size).otherwise(0)).alias("addr"), F.count_if(size > 20000).alias("big"))
-    return s.select("source", d.note(F.col("total"), F.col("big"), F.col("images") * 100.0 / F.col("total"), F.col("addr") * 100.0 / F.col("total")).alias("note"))
+    return source_composition(spark, sf).select("source", "note")
+
+
+NOTE_CASES = "SELECT o_orderkey, 1000 AS total, o_orderkey % 1001 AS images, (o_orderkey * 7) % (1001 - o_orderkey % 1001) AS addr, CASE WHEN o_orderkey % 11 = 0 THEN 1 + o_orderkey % 97 ELSE 0 END AS sub FROM orders"
+
+
+@query(f"WITH z AS ({NOTE_CASES}), r AS (SELECT *, CAST(floor(images * 100.0::DOUBLE / total + 0.5::DOUBLE) AS BIGINT) AS ip, CAST(floor(addr * 100.0::DOUBLE / total + 0.5::DOUBLE) AS BIGINT) AS ap, CAST(floor(sub * 100.0::DOUBLE / total + 0.5::DOUBLE) AS BIGINT) AS sp FROM z) SELECT o_orderkey, {NOTE_SQL} AS note FROM r")
+def note_bounds(spark, sf):
+    """Shares in steps of a tenth of a percent, on both sides of every bound."""
+    t(spark, sf, "orders").createOrReplaceTempView("orders")
+    z = spark.sql(NOTE_CASES)
+    return z.select("o_orderkey", d.note(F.col("total"), F.col("images"), F.col("addr"), F.col("sub")).alias("note"))
 
 
 @query("""WITH p AS (SELECT page_id, strlen(html) AS total, strlen(regexp_replace(html, '<[^>]*>', '', 'g')) AS text_bytes FROM pages)
@@ -149,64 +179,63 @@ def html_composition(spark, sf):
 
 @query("SELECT p_partkey, (SELECT count(DISTINCT l_suppkey) FROM lineitem WHERE l_partkey = p_partkey) = 1 AS owned_once FROM part")
 def refcount_one(spark, sf):
-    n = t(spark, sf, "lineitem").groupBy("l_partkey").agg(F.count_distinct("l_suppkey").alias("n"))
-    return t(spark, sf, "part").join(n, F.col("l_partkey") == F.col("p_partkey"), "left").select("p_partkey", (F.coalesce("n", F.lit(0)) == 1).alias("owned_once"))
+    n = fonts.reference_counts(t(spark, sf, "lineitem").withColumnRenamed("l_partkey", "p_partkey"), "p_partkey", "l_suppkey", ())
+    return fonts.owned_once(t(spark, sf, "part").select("p_partkey"), n, ["p_partkey"])
 
 
 @query("SELECT l_suppkey, bool_and(p_partkey IS NOT NULL) AS covered, count(*) FILTER (p_partkey IS NULL) AS missing FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) LEFT JOIN (SELECT p_partkey FROM part WHERE p_size <= 45) ON l_partkey = p_partkey GROUP BY l_suppkey")
 def glyph_coverage(spark, sf):
-    used = t(spark, sf, "lineitem").select("l_suppkey", "l_partkey").distinct()
-    kept = t(spark, sf, "part").where("p_size <= 45").select("p_partkey")
-    missing = used.join(kept, F.col("l_partkey") == F.col("p_partkey"), "left_anti").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("missing"))
-    return used.select("l_suppkey").distinct().join(missing, "l_suppkey", "left").select("l_suppkey", F.col("missing").isNull().alias("covered"), F.coalesce("missing", F.lit(0)).alias("missing"))
+    used = t(spark, sf, "lineitem").select("l_suppkey", F.col("l_partkey").alias("p_partkey")).distinct()
+    return fonts.coverage(used, t(spark, sf, "part").where("p_size <= 45").select("p_partkey"), "l_suppkey", "p_partkey")
 
 
 @query("SELECT l_suppkey, count(*) AS codes, count(*) FILTER (p_size % 25 = s_nationkey) AS agreeing, bool_and(p_size % 25 = s_nationkey) AS all_agree FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) JOIN part ON l_partkey = p_partkey JOIN supplier ON s_suppkey = l_suppkey GROUP BY l_suppkey")
 def code_agreement(spark, sf):
     used = t(spark, sf, "lineitem").select("l_suppkey", "l_partkey").distinct()
-    same = F.col("p_size") % 25 == F.col("s_nationkey")
     j = used.join(t(spark, sf, "part").select("p_partkey", "p_size"), F.col("l_partkey") == F.col("p_partkey")).join(t(spark, sf, "supplier").select("s_suppkey", "s_nationkey"), F.col("s_suppkey") == F.col("l_suppkey"))
-    return j.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("codes"), F.count_if(same).alias("agreeing"), F.bool_and(same).alias("all_agree"))
+    return fonts.agreement(j, "l_suppkey", F.col("p_size") % 25 == F.col("s_nationkey"))
 
 
 @query("SELECT l_orderkey, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_partkey) AS used, max(l_partkey) AS max_cid FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) GROUP BY l_orderkey")
 def usage_sets(spark, sf):
-    g = t(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_partkey")).alias("s"), F.max("l_partkey").alias("max_cid"))
-    return g.select("l_orderkey", F.array_join("s", ",").alias("used"), "max_cid")
+    g = t(spark, sf, "lineitem").select("l_orderkey", F.col("l_partkey").alias("cid"), F.col("l_partkey").alias("gid"), F.col("l_suppkey").alias("code"), F.col("l_linenumber").alias("seq"))
+    return fonts.usage(g, ["l_orderkey"]).select("l_orderkey", F.array_join("gids", ",").alias("used"), "max_cid")
 
 
 @query("SELECT l_partkey, arg_max(l_suppkey, l_orderkey * 10 + l_linenumber) AS gid FROM lineitem GROUP BY l_partkey")
 def last_wins_map(spark, sf):
-    return t(spark, sf, "lineitem").groupBy("l_partkey").agg(F.max_by("l_suppkey", F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("gid"))
+    g = t(spark, sf, "lineitem").select(F.lit(0).alias("font"), F.col("l_partkey").alias("cid"), F.col("l_suppkey").alias("gid"), F.lit(0).alias("code"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
+    return fonts.usage(g, ["font"]).select(F.explode("cid_to_gid").alias("x")).select(F.col("x.cid").alias("l_partkey"), F.col("x.gid").alias("gid"))
 
 
-@query("SELECT s_suppkey, chr(65 + (i // 11881376) % 26) || chr(65 + (i // 456976) % 26) || chr(65 + (i // 17576) % 26) || chr(65 + (i // 676) % 26) || chr(65 + (i // 26) % 26) || chr(65 + i % 26) AS tag FROM (SELECT s_suppkey, CAST((SELECT count(*) FROM supplier b WHERE b.s_suppkey < a.s_suppkey) AS INTEGER) AS i FROM supplier a)")
+@query("SELECT s_suppkey, chr(65 + (i // 11881376) % 26) || chr(65 + (i // 456976) % 26) || chr(65 + (i // 17576) % 26) || chr(65 + (i // 676) % 26) || chr(65 + (i // 26) % 26) || chr(65 + i % 26) AS tag FROM (SELECT s_suppkey, CAST((SELECT count(*) FROM supplier b WHERE b.s_suppkey < a.s_suppkey AND b.s_nationkey = a.s_nationkey) AS INTEGER) AS i FROM supplier a)")
 def subset_tag(spark, sf):
-    n = F.row_number().over(Window.orderBy("s_suppkey")) - 1
-    return t(spark, sf, "supplier").select("s_suppkey", d.subset_tag(n).alias("tag"))
+    return fonts.tagged(t(spark, sf, "supplier"), ["s_nationkey"], ["s_suppkey"]).select("s_suppkey", "tag")
 
 
 @query("SELECT user_id, count(DISTINCT CAST(floor(value) AS BIGINT)) > 8 AS photographic FROM events GROUP BY user_id")
 def distinct_capped(spark, sf):
-    return t(spark, sf, "events").groupBy("user_id").agg((F.count_distinct(F.floor("value")) > 8).alias("photographic"))
+    return metrics.capped_distinct(t(spark, sf, "events"), "user_id", F.floor("value"), 8, "photographic")
 
 
-@query("SELECT event_type AS outcome, count(*) AS requests, CAST(floor(sum(CAST(floor(greatest(0, value) * 100) AS BIGINT))) AS BIGINT) AS value_centi, CAST(floor(max(value) * 100) AS BIGINT) AS max_centi FROM events GROUP BY event_type")
+@query("SELECT event_type AS outcome, count(*) AS requests, CAST(sum(greatest(0, CAST(floor(value * 100) AS BIGINT))) AS BIGINT) AS value_centi, CAST(max(greatest(0, floor(value * 100))) AS BIGINT) AS max_centi, CAST(floor(avg(greatest(0, CAST(floor(value * 100) AS BIGINT))) + 0.5::DOUBLE) AS BIGINT) AS mean_centi FROM events GROUP BY event_type")
 def metrics_by_tag(spark, sf):
-    return t(spark, sf, "events").groupBy(F.col("event_type").alias("outcome")).agg(F.count(F.lit(1)).alias("requests"), F.sum(F.floor(F.greatest(F.lit(0.0), F.col("value")) * 100)).alias("value_centi"), F.floor(F.max("value") * 100).alias("max_centi"))
+    m = metrics.tagged(t(spark, sf, "events"), "event_type", F.floor(F.col("value") * 100))
+    return m.select(F.col("event_type").alias("outcome"), "requests", F.col("total").cast("long").alias("value_centi"), F.col("most").cast("long").alias("max_centi"), d.half_up(F.col("mean")).cast("long").alias("mean_centi"))
 
 
 @query("""SELECT 'inspected' AS action, count(*) FILTER (l_quantity >= 5) AS images FROM lineitem UNION ALL SELECT 'downsampled', count(*) FILTER (l_quantity >= 30) FROM lineitem UNION ALL SELECT 'unchanged', count(*) FILTER (l_quantity < 5) FROM lineitem""")
 def metrics_actions(spark, sf):
     q = F.col("l_quantity")
-    one = t(spark, sf, "lineitem").agg(F.count_if(q >= 5).alias("i"), F.count_if(q >= 30).alias("d"), F.count_if(q < 5).alias("u"))
-    return one.selectExpr("stack(3, 'inspected', i, 'downsampled', d, 'unchanged', u) AS (action, images)")
+    return metrics.actions(t(spark, sf, "lineitem"), inspected=(q >= 5).cast("int"), downsampled=(q >= 30).cast("int"), unchanged=(q < 5).cast("int"))
 
 
-@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 72 + CAST(c_custkey % 300 AS INTEGER) ELSE 150 END AS target_dpi, CASE WHEN c_custkey % 5 = 0 THEN CAST(c_custkey % 1000 AS INTEGER) ELSE 0 END AS max_image_dimension FROM customer")
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 72 + CAST(c_custkey % 300 AS INTEGER) ELSE 150 END AS target_dpi, CASE WHEN c_custkey % 5 = 0 THEN CAST(c_custkey % 1000 AS INTEGER) ELSE 0 END AS max_image_dimension,
+ CASE WHEN c_custkey % 7 = 0 THEN (c_custkey % 4)::DOUBLE / 4.0::DOUBLE ELSE 0.75::DOUBLE END AS jpeg_quality, c_custkey % 11 = 0 AS strip_metadata, coalesce(CASE WHEN c_custkey % 13 = 0 THEN c_custkey % 2 = 0 END, true) AS deduplicate_images FROM customer""")
 def option_overlay(spark, sf):
     k = F.col("c_custkey")
-    return t(spark, sf, "customer").select("c_custkey", overlaid("target_dpi", F.when(k % 3 == 0, (72 + k % 300).cast("int")), S).alias("target_dpi"), overlaid("max_image_dimension", F.when(k % 5 == 0, (k % 1000).cast("int")), S).alias("max_image_dimension"))
+    given = {"target_dpi": F.when(k % 3 == 0, (72 + k % 300).cast("int")), "max_image_dimension": F.when(k % 5 == 0, (k % 1000).cast("int")), "jpeg_quality": F.when(k % 7 == 0, (k % 4) / 4.0), "strip_metadata": F.when(k % 11 == 0, F.lit(True)), "deduplicate_images": F.when(k % 13 == 0, k % 2 == 0)}
+    return t(spark, sf, "customer").select("c_custkey", *[overlaid(name, column, S).alias(name) for name, column in given.items()])
 
 
 @query("SELECT event_id, user_id FROM events WHERE event_id > (SELECT max(event_id) FROM events) - 500")
@@ -237,18 +266,53 @@ def log_json(spark, sf):
     return t(spark, sf, "events").select("event_id", logs.as_json(F.col("event_id").alias("id"), F.col("event_type").alias("level"), F.concat(F.lit("u"), u).alias("thread"), F.when(F.col("user_id") % 2 == 0, u).alias("requestId")).alias("json"))
 
 
-@query("""SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'RUNNING' WHEN 'F' THEN 'SUCCEEDED' WHEN 'P' THEN 'QUEUED' ELSE 'FAILED' END AS status, CASE WHEN o_orderstatus = 'F' THEN '/jobs/' || o_orderkey || '/result' END AS result_url FROM orders""")
+ORDER_STATUS = "CASE o_orderstatus WHEN 'O' THEN 'RUNNING' WHEN 'F' THEN 'SUCCEEDED' WHEN 'P' THEN 'QUEUED' ELSE 'FAILED' END"
+JOB_SQL = f"""WITH j AS (SELECT o_orderkey, {ORDER_STATUS} AS s0, CASE WHEN o_orderkey % 17 = 0 THEN 'FAILED' ELSE {ORDER_STATUS} END AS status, CAST(floor(o_totalprice) AS BIGINT) AS size FROM orders)"""
+
+
+def order_jobs(spark, sf):
+    """Orders as jobs: their letter stands for a state, and some have failed."""
+    state = F.expr(ORDER_STATUS)
+    state = F.when(F.col("o_orderkey") % 17 == 0, "FAILED").otherwise(state)
+    none = F.lit(None).cast("timestamp")
+    return t(spark, sf, "orders").select(F.col("o_orderkey").alias("job_id"), state.alias("status"), F.concat(F.lit("f"), F.col("o_custkey").cast("string"), F.lit(".pdf")).alias("filename"), F.floor("o_totalprice").cast("long").alias("submitted_bytes"),
+                                         none.alias("submitted_at"), none.alias("started_at"), none.alias("finished_at"), F.lit("InvalidPdf").alias("error"), "o_custkey")
+
+
+@query(JOB_SQL + """ SELECT o_orderkey, '{"jobId":"' || o_orderkey || '","status":"' || status || '","filename":"f' || o_custkey || '.pdf","submittedBytes":' || size
+ || CASE WHEN status = 'SUCCEEDED' THEN ',"resultUrl":"/jobs/' || o_orderkey || '/result","stats":{"originalBytes":' || size || ',"compressedBytes":' || size // 2 || ',"savedBytes":' || (size - size // 2) || ',"pageCount":1,"returnedOriginal":false}' ELSE '' END
+ || CASE WHEN status = 'FAILED' THEN ',"error":"InvalidPdf"' ELSE '' END || '}' AS view FROM j JOIN (SELECT o_orderkey AS k, o_custkey FROM orders) ON k = o_orderkey""")
 def job_view(spark, sf):
-    state = d.job_status(F.col("o_orderstatus"))
-    return t(spark, sf, "orders").select("o_orderkey", state.alias("status"), F.when(state == "SUCCEEDED", F.concat(F.lit("/jobs/"), F.col("o_orderkey").cast("string"), F.lit("/result"))).alias("result_url"))
+    j = order_jobs(spark, sf)
+    size, none = F.col("submitted_bytes"), F.lit(None).cast("int")
+    r = j.select("job_id", size.alias("original_bytes"), F.floor(size / 2).cast("long").alias("compressed_bytes"), (size - F.floor(size / 2)).cast("long").alias("saved_bytes"), F.lit(None).cast("double").alias("saved_percent"), F.lit(1).alias("page_count"),
+                 none.alias("images_inspected"), none.alias("images_recompressed"), none.alias("duration_millis"), F.lit(False).alias("returned_original"))
+    return jobs.view(j, r).withColumnRenamed("job_id", "o_orderkey")
+
+
+@query(JOB_SQL + " SELECT l_orderkey, l_linenumber, CASE WHEN status IS NULL THEN 404 WHEN status <> 'SUCCEEDED' THEN 409 ELSE 200 END AS code FROM (SELECT l_orderkey, l_linenumber, l_orderkey + CASE WHEN l_linenumber > 5 THEN 100000000 ELSE 0 END AS wanted FROM lineitem) LEFT JOIN j ON wanted = o_orderkey")
+def job_lookup(spark, sf):
+    asked = t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_orderkey") + F.when(F.col("l_linenumber") > 5, 100000000).otherwise(0)).alias("job_id"))
+    return jobs.looked_up(asked, order_jobs(spark, sf), needs_result=True).select("l_orderkey", "l_linenumber", "code")
+
+
+EVENT_JOBS = "SELECT user_id AS job_id, event_id AS seq, ts, CASE event_type WHEN 'click' THEN 'QUEUED' WHEN 'view' THEN 'RUNNING' WHEN 'purchase' THEN 'SUCCEEDED' ELSE 'FAILED' END AS status, CASE WHEN event_id % 2 = 0 THEN 'Odd' END AS error FROM events"
+
+
+@query(f"""WITH e AS ({EVENT_JOBS}), f AS (SELECT job_id, min(seq) AS stop FROM e WHERE status IN ('SUCCEEDED', 'FAILED') GROUP BY job_id), a AS (SELECT e.job_id, e.status, e.error, e.seq FROM e JOIN f ON e.job_id = f.job_id AND seq = stop),
+r AS (SELECT job_id, min(seq) AS run FROM e WHERE status = 'RUNNING' GROUP BY job_id)
+SELECT j.job_id, CASE WHEN a.status IS NOT NULL THEN a.status WHEN run IS NOT NULL THEN 'RUNNING' ELSE 'QUEUED' END AS status, CASE WHEN a.status = 'FAILED' THEN a.error END AS error, coalesce(run < a.seq OR (run IS NOT NULL AND a.seq IS NULL), false) AS started
+FROM (SELECT DISTINCT job_id FROM e) j LEFT JOIN a ON a.job_id = j.job_id LEFT JOIN r ON r.job_id = j.job_id""")
+def job_states(spark, sf):
+    t(spark, sf, "events").createOrReplaceTempView("events")
+    e = spark.sql(EVENT_JOBS).withColumn("filename", F.lit(None).cast("string")).withColumn("submitted_bytes", F.lit(None).cast("long"))
+    return jobs.states(e).select("job_id", "status", "error", F.col("started_at").isNotNull().alias("started"))
 
 
 @query("""WITH m AS (SELECT max(ts) AS now FROM events) SELECT event_id FROM events, m WHERE event_type <> 'view' AND ts < now - INTERVAL 3600 SECOND""")
 def job_evict(spark, sf):
-    e = t(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    now = e.agg(F.max("ts").alias("m")).first()["m"]
-    finished = F.when(F.col("event_type") != "view", F.col("ts"))
-    return e.where(jobs.evicted(finished, F.lit(now), S.retention_seconds)).select("event_id")
+    e = t(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")).withColumn("finished_at", F.when(F.col("event_type") != "view", F.col("ts")))
+    return jobs.to_evict(e, S.retention_seconds, clock="ts").select("event_id")
 
 
 @query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN 422 WHEN 1 THEN 400 WHEN 2 THEN 409 WHEN 3 THEN 500 END AS status FROM events""")
@@ -264,9 +328,12 @@ def peak_in_flight(spark, sf):
     return jobs.peak_overlap(e, "event_type", "a", "b")
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT event_type AS lane, event_id AS job_id, epoch_us(ts) AS start, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn FROM events),
+s AS (SELECT lane, CAST(0 AS BIGINT) AS rn, []::BIGINT[] AS active, CAST(NULL AS BIGINT) AS job_id, CAST(NULL AS BOOLEAN) AS admitted FROM (SELECT DISTINCT lane FROM o) UNION ALL
+ SELECT lane, rn, CASE WHEN len(f) < 2 THEN list_append(f, start + 600000000) ELSE f END, job_id, len(f) < 2 FROM (SELECT o.lane, o.rn, o.start, o.job_id, list_filter(s.active, lambda x: x > o.start) AS f FROM s JOIN o ON o.lane = s.lane AND o.rn = s.rn + 1))
+SELECT job_id, admitted FROM s WHERE rn > 0""")
 def job_admission(spark, sf):
-    """Ordered state, not SQL: rejected arrivals take no slot. One lane an event type."""
+    """Rejected arrivals take no slot. One lane an event type."""
     e = t(spark, sf, "events").select(F.col("event_type").alias("lane"), F.col("event_id").alias("job_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("start"))
     return jobs.admit(e.withColumn("finish", F.col("start") + 600_000_000), 2)
 
@@ -289,19 +356,19 @@ def reachable(spark, sf):
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') THEN 'fonts' WHEN o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 49) THEN 'vectors' WHEN o_orderpriority LIKE '1%' THEN 'images' ELSE 'other' END AS category FROM orders""")
 def semi_flags(spark, sf):
-    flags = t(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.bool_or(F.col("l_returnflag") == "R").alias("f"), F.bool_or(F.col("l_quantity") > 49).alias("v"))
-    o = t(spark, sf, "orders").join(flags, F.col("l_orderkey") == F.col("o_orderkey"), "left")
-    no = F.lit(False)
-    return o.select("o_orderkey", d.stream_category(F.coalesce("f", no), F.coalesce("v", no), F.when(F.col("o_orderpriority").startswith("1"), "Image"), no).alias("category"))
+    line = t(spark, sf, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey")
+    o = t(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderpriority").startswith("1"), "Image").alias("subtype"), F.lit(False).alias("pattern"))
+    return composition.categorised(o, line.where("l_returnflag = 'R'"), line.where("l_quantity > 49"), ["o_orderkey"]).select("o_orderkey", "category")
 
 
-@query("""WITH v AS (SELECT vec_id, (vec_id // 50) AS block, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b FROM embeddings), m AS (SELECT block, avg(a) AS ma, avg(b) AS mb, var_samp(a) AS va, var_samp(b) AS vb, covar_samp(a, b) AS cab FROM v GROUP BY block)
-SELECT CAST(block AS BIGINT) AS block, CAST(floor((2 * ma * mb + 0.0001::DOUBLE) * (2 * cab + 0.0009::DOUBLE) / ((ma * ma + mb * mb + 0.0001::DOUBLE) * (va + vb + 0.0009::DOUBLE)) * 10000 + 0.5::DOUBLE) AS BIGINT) AS ssim FROM m""")
+@query("""WITH v AS (SELECT vec_id // 2 AS pair, vec_id % 2 AS side, unnest(embedding)::DOUBLE AS x, unnest(range(0, len(embedding))) AS pos FROM embeddings),
+m AS (SELECT p.pair, p.pos // 8 AS block, avg(p.x) AS ma, avg(q.x) AS mb, var_samp(p.x) AS va, var_samp(q.x) AS vb, covar_samp(p.x, q.x) AS cab FROM v p JOIN v q ON p.pair = q.pair AND p.pos = q.pos AND p.side = 0 AND q.side = 1 GROUP BY p.pair, p.pos // 8)
+SELECT CAST(pair AS BIGINT) AS pair, CAST(floor(avg((2 * ma * mb + 6.5025::DOUBLE) * (2 * cab + 58.5225::DOUBLE) / ((ma * ma + mb * mb + 6.5025::DOUBLE) * (va + vb + 58.5225::DOUBLE))) * 10000 + 0.5::DOUBLE) AS BIGINT) AS likeness FROM m GROUP BY pair""")
 def block_similarity(spark, sf):
-    v = t(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 50).alias("block"), F.col("embedding")[0].cast("double").alias("a"), F.col("embedding")[1].cast("double").alias("b"))
-    m = v.groupBy("block").agg(F.avg("a").alias("ma"), F.avg("b").alias("mb"), F.var_samp("a").alias("va"), F.var_samp("b").alias("vb"), F.covar_samp("a", "b").alias("cab"))
-    s = F.expr("(2 * ma * mb + 0.0001D) * (2 * cab + 0.0009D) / ((ma * ma + mb * mb + 0.0001D) * (va + vb + 0.0009D))")
-    return m.select("block", d.half_up(s * 10000.0).cast("long").alias("ssim"))
+    """Neighbouring vectors, whole, in blocks of 8 components."""
+    e = t(spark, sf, "embeddings")
+    half = lambda k: e.where(F.col("vec_id") % 2 == k).select(F.floor(F.col("vec_id") / 2).alias("pair"), F.col("embedding").alias(f"e{k}"))
+    return likeness.blocks(half(0).join(half(1), "pair"), "pair", "e0", "e1", 8).select("pair", d.half_up(F.col("likeness") * 10000.0).cast("long").alias("likeness"))
 
 
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
