@@ -52,6 +52,8 @@ FOR = {
 AGAINST = ("version", "isbn", "serial", "order", "example", "checksum", "sha", "commit")
 PRIOR = {"email": 0.9, "ip": 0.7, "card": 0.8, "phone": 0.7, "iban": 0.8, "ssn": 0.5, "secret": 0.5}
 RAISE, LOWER = 0.2, 0.3
+#: A value that is given to such a name is raised once more.
+GIVEN = re.compile(r"(?i)(?:token|secret|key|passw(?:or)?d|credentials?|auth|bearer)[^A-Za-z0-9]{1,6}$")
 NEAR_WORD = re.compile("[a-z]+")
 
 
@@ -125,8 +127,10 @@ def score(text: str, start: int, end: int, kind: str) -> float:
     def told(words: tuple[str, ...]) -> bool:
         return any(x == w or len(w) > 3 and x.startswith(w) for x in near for w in words)
 
-    marked = kind == "secret" and bool(KEY_MARK.match(text, start))
-    return min(1.0, max(0.0, PRIOR[kind] + RAISE * (told(FOR[kind]) or marked) - LOWER * told(AGAINST)))
+    up = told(FOR[kind])
+    if kind == "secret":
+        up += bool(KEY_MARK.match(text, start)) + bool(GIVEN.search(text[max(0, start - 24) : start]))
+    return round(min(1.0, max(0.0, PRIOR[kind] + RAISE * up - LOWER * told(AGAINST))), 6)
 
 
 def joined(found: list[tuple[int, int, str]]) -> str:
@@ -164,7 +168,7 @@ def scan(docs: DataFrame) -> DataFrame:
             columns = list(zip(*rows, strict=True)) or [[]] * len(types)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, t) for x, t in zip(columns, types, strict=True))], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-    return docs.selectExpr("cast(doc_id AS long) AS doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.selectExpr("cast(doc_id AS long) AS doc_id", "text").mapInArrow(c.released(run), SCHEMA)
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
