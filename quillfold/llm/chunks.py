@@ -112,12 +112,12 @@ def drop_repeated(docs: DataFrame, most_rows: int | None = None) -> DataFrame:
         return F.slice("lines", before + 1, x["start"] - before)
 
     kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.flatten(F.transform("gap", stretch)), "\n"))
-    own = ("text", "n_lines", "n_removed")
-    return out.select(
-        *[F.col("payload")[x].alias(x) for x in docs.columns if x.lower() not in own], kept.alias("text"),
-        F.greatest(F.lit(0), F.coalesce(F.size("lines"), F.lit(0))).cast("long").alias("n_lines"),
-        F.coalesce(F.aggregate("gone", F.lit(0), lambda a, x: a + x["n"]), F.lit(0)).cast("long").alias("n_removed"),
+    out = out.select(
+        "payload", kept.alias("kept"), F.greatest(F.lit(0), F.coalesce(F.size("lines"), F.lit(0))).cast("long").alias("n"),
+        F.coalesce(F.aggregate("gone", F.lit(0), lambda a, x: a + x["n"]), F.lit(0)).cast("long").alias("less"),
     )
+    own = ("text", "n_lines", "n_removed")
+    return out.select(*[F.col("payload")[x].alias(x) for x in docs.columns if x.lower() not in own], F.col("kept").alias("text"), F.col("n").alias("n_lines"), F.col("less").alias("n_removed"))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
