@@ -6,8 +6,11 @@ the six ASCII white-space characters (or by everything that is not a letter, a d
 
 from __future__ import annotations
 
+import ctypes
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +22,7 @@ NON_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 #: Rows of an Arrow batch. Texts may be long, so batches are kept small; a session that sets its own value keeps it.
-BATCH_ROWS = 500
+BATCH_ROWS = 200
 #: Most rows of ids and hashes that are broadcast: at about 60 bytes each, 30 MB. Beyond it matching() and unmatched()
 #: take a filter of bounded size and shuffle what passes it.
 BROADCAST_ROWS = 500_000
@@ -39,6 +42,25 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def release() -> None:
+    """Gives the memory that this process no longer uses back to the system: workers are kept for later tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
+def released(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """work, for mapInArrow, with release() behind each partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        release()
+
+    return run
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z to a-z and nothing else. Pure ASCII texts take the fast built-in."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

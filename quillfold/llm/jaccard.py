@@ -147,7 +147,7 @@ def prefixes(docs: DataFrame, table: tuple[np.ndarray, np.ndarray], percent: int
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rk"), *(pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), longs, longs), strict=True))], names=["doc_id", "rk", "n", "cid", "gid", "bits", "light", "heavy"])
 
     rows = hashed_words(docs, F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("rk"))
-    return rows.mapInArrow(heads, "doc_id long, rk long, n long, cid long, gid long, bits binary, light array<long>, heavy array<long>")
+    return rows.mapInArrow(c.released(heads), "doc_id long, rk long, n long, cid long, gid long, bits binary, light array<long>, heavy array<long>")
 
 
 def hash64(data: bytes) -> int:
@@ -238,7 +238,7 @@ def close(classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 
     side = lambda k: classes.select(F.col("cid").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"x{k}"))
     met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "xa", "xb")
-    return met.mapInArrow(compare, "a long, b long").hint("rebalance")
+    return met.mapInArrow(c.released(compare), "a long, b long").hint("rebalance")
 
 
 def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int, keep: c.Scratch, most_rows: int | None = None) -> DataFrame:
@@ -258,7 +258,7 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int
             s = [np.unique(x >> np.uint64(16)) for x in sets_of(batch.column("w"))]
             yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.array([len(x) for x in s], pa.int32()), pa.array([pack(np.diff(x, prepend=np.uint64(0))) for x in s], pa.binary())], names=["cid", "k", "s"])
 
-    built = hashed_words(chosen, "cid").mapInArrow(sets, "cid long, k int, s binary")
+    built = hashed_words(chosen, "cid").mapInArrow(c.released(sets), "cid long, k int, s binary")
     if reps.where("times > 1").take(1):  # a representative that is several equal rows
         built = built.dropDuplicates(["cid"])
     built = keep(built, "jaccard-sets")
@@ -279,7 +279,7 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int
             yield batch.select(["a", "b"]).filter(pa.array(out, pa.bool_()))
 
     left, right = built.select(F.col("cid").alias("a"), F.col("k").alias("ka"), F.col("s").alias("sa")), built.select(F.col("cid").alias("b"), F.col("k").alias("kb"), F.col("s").alias("sb"))
-    met = pairs.join(right, "b").join(left, "a").select("a", "b", "ka", "sa", "kb", "sb").mapInArrow(compare, "a long, b long")
+    met = pairs.join(right, "b").join(left, "a").select("a", "b", "ka", "sa", "kb", "sb").mapInArrow(c.released(compare), "a long, b long")
     # few links remain of many sets compared: without this every task of the comparison writes a file of a row or two
     found = keep(met.hint("rebalance"), "jaccard-links")
     keep.drop(built, reps, pairs)

@@ -143,7 +143,7 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, seed: int = 1) -> ByteCon
                     out += [(doc, lang, w[i].tobytes()) for i in sorted(r.choice(len(w), min(len(w), WINDOWS_PER_DOC), replace=False))]
             yield pa.RecordBatch.from_pylist([dict(zip(("doc_id", "lang", "x"), row, strict=True)) for row in out], schema=pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("x", pa.binary())]))
 
-    rows = sorted(tuple(r) for r in chosen.mapInArrow(cut, "doc_id long, lang string, x binary").collect())
+    rows = sorted(tuple(r) for r in chosen.mapInArrow(c.released(cut), "doc_id long, lang string, x binary").collect())
     if not rows:
         return None
     labels = sorted({r[1] for r in rows})
@@ -188,7 +188,7 @@ def predict(docs: DataFrame, net: ByteConvNet | None, columns: tuple[str, ...] =
             yield pa.RecordBatch.from_arrays([*(b.column(x) for x in columns), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*columns, "lang_pred", "score"])
 
     schema = kept.select(*columns, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(c.released(run), schema)
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:

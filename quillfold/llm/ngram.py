@@ -424,7 +424,7 @@ def score(docs: DataFrame, model: Model | None, *columns) -> DataFrame:
 
     kept = hashed_words(docs, *columns)
     schema = kept.drop("w").withColumns({"n_tokens": F.lit(0).cast("long"), "n_known": F.lit(0).cast("long"), "base_score": F.lit(0.0), "score": F.lit(0.0)}).schema
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(c.released(run), schema)
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,5 +25,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """The others can't be written in SQL; tests compare them with brute force or measure them on held-out rows."""
+    """The others can't be written in SQL. tests/llm compares op1, op4, op7, op8 and op10 with plain Python, and measures op5 and op6 on
+    held-out rows."""
     return {"op2_decontaminate": decontaminate.OP2_SQL, "op3_mixing": mixing.OP3_SQL, "op9_quality_rules": rules.OP9_SQL}

@@ -14,9 +14,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from . import common as c
+
 FAN = 1024
 #: Rows that a task gathers before it sends them.
-FLUSH = 3_000_000
+FLUSH = 1_000_000
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -111,7 +113,7 @@ class Exchange:
             if size:
                 yield flush()
 
-        return send
+        return c.released(send)
 
     def ranged(self, sent: DataFrame) -> DataFrame:
         """The messages by single range."""
@@ -133,7 +135,13 @@ class Exchange:
 
     def apply(self, sent: DataFrame, work: Callable[[int, list[np.ndarray], list[np.ndarray]], pa.Table], schema: str) -> DataFrame:
         """work(range, columns, table) on each range."""
-        return self.ranged(sent).groupBy("r").applyInArrow(lambda rows: work(rows.column("r")[0].as_py(), *self.merged(rows.to_pylist())), schema)
+
+        def one(rows: pa.Table) -> pa.Table:
+            out = work(rows.column("r")[0].as_py(), *self.merged(rows.to_pylist()))
+            c.release()
+            return out
+
+        return self.ranged(sent).groupBy("r").applyInArrow(one, schema)
 
 
 def ranges_for(docs: DataFrame) -> int:

@@ -216,7 +216,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, seed: int =
                 found = sorted(marks(text.as_py()))
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([toxic.as_py()] * len(found), pa.int32())], names=["mark", "toxic"])
 
-    counted = chosen.where("NOT later").mapInArrow(listed, "mark string, toxic int").groupBy("mark").agg(F.sum("toxic").alias("k"), F.sum(1 - F.col("toxic")).alias("n")).where("k >= 3")
+    counted = chosen.where("NOT later").mapInArrow(c.released(listed), "mark string, toxic int").groupBy("mark").agg(F.sum("toxic").alias("k"), F.sum(1 - F.col("toxic")).alias("n")).where("k >= 3")
     odds = F.log((F.col("k") + 0.5) / (bad + 1) * (good + 1) / (F.col("n") + 0.5))
     best = counted.where(odds > LEAST_ODDS).orderBy(F.desc(odds * F.log1p("k")), "mark").limit(LEXICON)
     lexicon = Lexicon.learn([(r.mark, r.k, r.n) for r in best.collect()], bad, good)
@@ -226,7 +226,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, seed: int =
             x = [features(t.as_py(), lexicon) for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), b.column("toxic"), b.column("later")], names=["x", "toxic", "later"])
 
-    rows = sorted(tuple(r) for r in chosen.mapInArrow(measured, "x array<double>, toxic int, later boolean").collect())
+    rows = sorted(tuple(r) for r in chosen.mapInArrow(c.released(measured), "x array<double>, toxic int, later boolean").collect())
     keep.close()
     x, y, later = (np.array(v) for v in zip(*rows, strict=True))
     return train(x.reshape(-1, len(FEATURES)), y, later, lexicon)
@@ -241,7 +241,7 @@ def score(docs: DataFrame, model: Model, columns: tuple[str, ...] = ("doc_id",))
             x = np.array([features(t.as_py() or "", model.lexicon) for t in b.column("text")]).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([*(b.column(x) for x in columns), pa.array(model.score(x), pa.float64())], names=[*columns, "score"])
 
-    return kept.mapInArrow(run, kept.select(*columns, F.lit(0.0).alias("score")).schema)
+    return kept.mapInArrow(c.released(run), kept.select(*columns, F.lit(0.0).alias("score")).schema)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
