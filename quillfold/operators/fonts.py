@@ -108,6 +108,30 @@ def encoding_of(pdf, head: dict) -> dict[int, str | None]:
     return out
 
 
+CHARACTERS = re.compile(rb"begin(bfchar|bfrange)(.*?)end(?:bfchar|bfrange)", re.DOTALL)
+HEX = re.compile(rb"<([0-9A-Fa-f\s]*)>|\[([^\]]*)\]")
+
+
+def named_characters(body: bytes) -> dict[int, str]:
+    """Code to text of a font's own character map; codes of one byte or two."""
+    read = lambda x: bytes.fromhex(re.sub(rb"\s", b"", x).decode())
+    text = lambda x: x.decode("utf-16-be", "ignore")
+    out: dict[int, str] = {}
+    for kind, rows in CHARACTERS.findall(body):
+        marks = HEX.findall(rows)
+        if kind == b"bfchar":
+            out |= {int.from_bytes(read(a[0]), "big"): text(read(b[0])) for a, b in zip(marks[::2], marks[1::2], strict=False)}
+            continue
+        for a, b, c in zip(marks[::3], marks[1::3], marks[2::3], strict=False):
+            lo, hi = (int.from_bytes(read(x[0]), "big") for x in (a, b))
+            listed = [read(x[0]) for x in HEX.findall(c[1])]
+            first = read(c[0])
+            for k in range(min(hi - lo + 1, 65536)):
+                value = (listed[k] if k < len(listed) else b"") if c[1] else first[:-2] + ((int.from_bytes(first[-2:], "big") + k) & 0xFFFF).to_bytes(2, "big")
+                out[lo + k] = text(value)
+    return out
+
+
 CUT = "font_id int, subset binary, cid_map binary, subset_len long, survived boolean, error string"
 
 
@@ -132,14 +156,15 @@ def cut(usage_rows: DataFrame, raw: DataFrame) -> DataFrame:
         if characters is None:
             return None, None, None, False, "no character map"
         head = pdf.head(source.Ref(f["font_id"]))
-        if pdf.get(head.get("ToUnicode")) is not None:
-            return None, None, None, False, "a character map of its own"
-        shown = encoding_of(pdf, head)
+        drawn, own = encoding_of(pdf, head), pdf.get(head.get("ToUnicode"))
+        means = named_characters(pdf.decoded(own)) if isinstance(own, source.Stream) else {}
         pairs = {}
         for code in f["codes"]:
-            ch = shown.get(code)
-            if not ch or ord(ch) not in characters:
+            ch, text = drawn.get(code), means.get(code) or drawn.get(code)
+            if not ch or not text or ord(ch) not in characters:
                 return None, None, None, False, "a code without a character"
+            if characters.get(ord(text[0])) != characters[ord(ch)]:
+                return None, None, None, False, "text and glyph disagree"
             pairs[ord(ch)] = characters[ord(ch)]
         data, _ = truetype.subset(program, set(pairs.values()), pairs)
         return data, None, len(data), True, None
