@@ -105,12 +105,14 @@ class Index:
         met = self.postings.join(once, "term").select("doc", "pos", "item", "at")
         near = met.join(c.small(probe.drop("term"), c.BROADCAST_ROWS), ["item", "at"]).select("doc", "item", "start", (F.col("pos") - F.col("offset")).alias("first"))
         near = self.keep(near.where("first >= 0").distinct(), "alignments")
+        # only documents with alignments matter from here on
+        self.close = self.keep(self.within(near), "close-postings")
         for k in range(1, RAREST):
             side = windows.select("item", "start", F.get("terms", k)["term"].alias("term"), F.get("terms", k)["offset"].alias("offset"))
             wanted = near.join(c.small(side, c.BROADCAST_ROWS), ["item", "start"])
             whole = self.keep(wanted.where("term IS NULL").select("doc", "item", "start", "first"), "alignments")
             wanted = self.keep(wanted.where("term IS NOT NULL").select("doc", (F.col("first") + F.col("offset")).alias("pos"), "term", "item", "start", "first"), "wanted")
-            found = self.keep(looked_up(self.postings, wanted, self.most_rows).select("doc", "item", "start", "first").unionByName(whole), "alignments")
+            found = self.keep(looked_up(self.close, wanted, self.most_rows).select("doc", "item", "start", "first").unionByName(whole), "alignments")
             self.keep.drop(near, whole, wanted)
             near = found
         return near.join(c.small(windows.select("item", "start", "need"), c.BROADCAST_ROWS), ["item", "start"])
@@ -122,7 +124,7 @@ class Index:
         places = near.select("doc", "item", "need", (F.col("first") - F.col("start")).alias("shift"), F.explode(F.expr("sequence(start, start + need - 1)")).alias("at")).distinct()
         side = self.terms.select("item", "at", "term")
         wanted = self.keep(places.join(c.small(side, c.BROADCAST_ROWS), ["item", "at"]).withColumn("pos", F.col("shift") + F.col("at")), "wanted")
-        found = looked_up(self.postings, wanted, self.most_rows)
+        found = looked_up(self.close, wanted, self.most_rows)
         runs = found.groupBy("doc", "item", "need", "shift").agg(F.array_sort(F.collect_set("pos")).alias("p"))
         runs = runs.select("doc", "item", "need", F.explode(stretches("p")).alias("x")).where("x.n >= need")
         return runs.select("doc", "item", F.col("x.start").alias("first"), (F.col("x.start") + F.col("x.n") - 1).alias("last")).distinct()

@@ -432,3 +432,22 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = train(docs.where(~held_out(7, 2)))
     out = score(docs, model, "doc_id", held_out(7, 2).alias("held_out"))
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens if model else 0).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def lm_scoring_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op1 that SQL can express, its base score in thousandths."""
+    out = op1_lm_scoring(spark, sf_dir)
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.floor(F.col("base_score") * 1000.0 + 0.5).cast("long").alias("base_milli"))
+
+
+#: The CRC's table is made by rule; a text's CRC runs over the digits of its id.
+COUNTS_SQL = r"""
+WITH RECURSIVE step(n, k, c) AS (SELECT i, 0, CAST(i AS UBIGINT) FROM range(256) t(i) UNION ALL SELECT n, k + 1, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END FROM step WHERE k < 8),
+crc AS (SELECT n, c FROM step WHERE k = 8), ids AS (SELECT DISTINCT doc_id, CAST(doc_id AS VARCHAR) AS t FROM documents WHERE doc_id IS NOT NULL),
+run(doc_id, t, i, c) AS (SELECT doc_id, t, 0, 4294967295::UBIGINT FROM ids UNION ALL SELECT doc_id, t, i + 1, xor(crc.c, run.c >> 8) FROM run JOIN crc ON crc.n = CAST(xor(run.c & 255, ascii(t[i + 1])::UBIGINT) AS BIGINT) WHERE i < length(t)),
+h AS (SELECT doc_id, xor(c, 4294967295::UBIGINT) % 7 = 2 AS held_out FROM run WHERE i = length(t)),
+d AS (SELECT d.doc_id, coalesce(held_out, false) AS held_out, list_append(list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> ''), chr(10)) AS w FROM documents d LEFT JOIN h ON h.doc_id = d.doc_id),
+x AS (SELECT doc_id, held_out, unnest(w) AS t FROM d), v AS (SELECT t, count(*) AS c FROM x WHERE NOT held_out GROUP BY t), z AS (SELECT CAST(sum(c) AS BIGINT) AS n, count(*) AS v FROM v)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(v.c) AS n_known, any_value(n) AS train_tokens, CAST(floor(sum(log10((coalesce(v.c, 0) + 1) / (n + z.v + 1)::DOUBLE)) * 1000 + 0.5::DOUBLE) AS BIGINT) AS base_milli
+FROM x LEFT JOIN v ON v.t = x.t, z GROUP BY doc_id, held_out
+"""

@@ -173,3 +173,19 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(c.read(spark, sf_dir, "documents"))
+
+
+def pii_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op10 that SQL can express."""
+    return op10_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
+BASE_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS (SELECT doc_id, 'email' AS kind, unnest(regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+')) AS m FROM d UNION ALL SELECT doc_id, 'ip', unnest(regexp_extract_all(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)')) FROM d
+ UNION ALL SELECT doc_id, 'card', unnest(regexp_extract_all(t, '[0-9]([\x20-]?[0-9])+')) FROM d UNION ALL SELECT doc_id, 'phone', unnest(regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]')) FROM d),
+n AS (SELECT doc_id, kind, m, regexp_replace(m, '[^0-9]', '', 'g') AS g FROM m),
+k AS (SELECT doc_id, kind, CASE kind WHEN 'email' THEN true WHEN 'ip' THEN len(list_filter(string_split(m, '.'), lambda p: CAST(p AS HUGEINT) > 255)) = 0 WHEN 'phone' THEN length(g) BETWEEN 9 AND 15
+ ELSE length(g) BETWEEN 12 AND 19 AND list_sum(list_transform(range(0, length(g)), lambda i: CASE WHEN i % 2 = 0 THEN CAST(g[length(g) - i] AS INTEGER) ELSE CAST(g[length(g) - i] AS INTEGER) * 2 - CASE WHEN CAST(g[length(g) - i] AS INTEGER) > 4 THEN 9 ELSE 0 END END)) % 10 = 0 END AS ok FROM n)
+SELECT d.doc_id, count(*) FILTER (ok AND kind = 'email') AS n_email, count(*) FILTER (ok AND kind = 'ip') AS n_ip, count(*) FILTER (ok AND kind = 'card') AS n_card, count(*) FILTER (ok AND kind = 'phone') AS n_phone FROM d LEFT JOIN k USING (doc_id) GROUP BY d.doc_id
+"""

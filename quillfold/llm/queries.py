@@ -21,10 +21,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_jaccard_join": jaccard.op8_jaccard_join,
         "op9_quality_rules": rules.op9_quality_rules,
         "op10_pii": pii.op10_pii,
+        # parts of op1 and op10, for their SQL
+        "lm_scoring_counts": ngram.lm_scoring_counts,
+        "pii_base_counts": pii.pii_base_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    """The others can't be written in SQL. tests/llm compares op1, op4, op7, op8 and op10 with plain Python, and measures op5 and op6 on
+    """The others can't be written in SQL. tests/llm compares op1, op4, op7 and op10 with plain Python, and measures op5 and op6 on
     held-out rows."""
-    return {"op2_decontaminate": decontaminate.OP2_SQL, "op3_mixing": mixing.OP3_SQL, "op9_quality_rules": rules.OP9_SQL}
+    return {
+        "op2_decontaminate": decontaminate.OP2_SQL, "op3_mixing": mixing.OP3_SQL, "op8_jaccard_join": jaccard.OP8_SQL, "op9_quality_rules": rules.OP9_SQL, "lm_scoring_counts": ngram.COUNTS_SQL, "pii_base_counts": pii.BASE_SQL,
+    }
