@@ -121,12 +121,11 @@ def rewritten(raw: DataFrame) -> DataFrame:
             for x in row["fonts"] or []:
                 lettered(parsed, change, x)
             pages = sum(1 for _ in pdf.pages_of(parsed))
-            locked = parsed.get(parsed.trailer.get("Encrypt")) is not None
-            out = None if locked else sink.written(parsed, change)
+            out = sink.written(parsed, change)
         except (ValueError, TypeError, KeyError, AttributeError, RecursionError, zlib.error) as e:
             error = f"{type(e).__name__}: {e}"
         millis = (time.monotonic_ns() - began) // 1_000_000
-        return (row["path"], out, *((pages, locked) if parsed and not error else (None, None)), error, millis)
+        return (row["path"], out, *((pages, parsed.encrypted) if parsed and not error else (None, None)), error, millis)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.string(), pa.binary(), pa.int32(), pa.bool_(), pa.string(), pa.int64()]

@@ -1,6 +1,6 @@
 """PDF files written from parsed ones: all objects that the trailer reaches, with a fresh cross-reference table.
 
-Encrypted files are not written, since their strings would have to be deciphered: they keep their original bytes.
+A file whose encryption the empty password opened is written without it; others are not written and keep their bytes.
 """
 
 from __future__ import annotations
@@ -78,7 +78,7 @@ def written(pdf: Pdf, changes: Changes | None = None) -> bytes:
     """The file with the changes made. Object and cross-reference streams of the original are dissolved."""
     changes = changes or Changes()
     if pdf.get(pdf.trailer.get("Encrypt")) is not None:
-        raise ValueError("encrypted files are not written")
+        raise ValueError("files that need a password are not written")
     without(pdf, changes)
     objects = pdf.objects | changes.streams
     for n, more in changes.entries.items():

@@ -7,8 +7,8 @@ read too; of several definitions of one number the last counts. Object streams a
 `error`, of the document or of the object, and never ends the job.
 
 A batch holds its files whole: for large files lower spark.sql.execution.arrow.maxRecordsPerBatch. Decoded streams are bounded
-by `MOST_DECODED`. Encrypted files are marked; their strings and streams are not decrypted, so
-the objects inside their object streams are missing and reported by an error.
+by `MOST_DECODED`. Encrypted files are marked; those that the empty password opens are decrypted. In others strings and
+streams stay as they are, so the objects inside their object streams are missing and reported by an error.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-from ..media import filters
+from ..media import crypt, filters
 from ..media.filters import MOST_DECODED
 
 __all__ = ["MOST_DECODED", "parse", "files", "documents", "objects", "edges", "pages", "images", "image_draws", "image_references", "fonts", "glyphs", "profiles"]
@@ -132,6 +132,9 @@ class Pdf:
     gens: dict[int, int] = field(default_factory=dict)
     errors: dict[int, str] = field(default_factory=dict)
     trailer: dict = field(default_factory=dict)
+    encrypted: bool = False
+    #: Why an encrypted file can't be read, if it can't.
+    locked: str | None = None
 
     def get(self, x):
         """x, or what it refers to; a missing object is null, as is a circle of references."""
@@ -163,7 +166,8 @@ def parse(data: bytes) -> Pdf:
     """The file's objects; ValueError if it is no PDF or has no catalog."""
     if b"%PDF-" not in data[:1024]:
         raise ValueError("no PDF header")
-    pdf, at = Pdf(), 0
+    pdf, at, packed = Pdf(), 0, {}
+    places: dict[int, int] = {}
     while m := HEADER.search(data, at):
         lex = Lexer(data, m.end())
         try:
@@ -180,18 +184,55 @@ def parse(data: bytes) -> Pdf:
             at = m.end()
             continue
         number = int(m[1])
-        pdf.objects[number], pdf.gens[number] = value, int(m[2])
+        pdf.objects[number], pdf.gens[number], places[number] = value, int(m[2]), m.start()
         pdf.errors.pop(number, None)
+        packed.pop(number, None)
         if isinstance(value, Stream):
             if value.head.get("Type") == "XRef":
                 pdf.trailer |= {k: v for k, v in value.head.items() if k in ("Root", "Info", "Encrypt", "ID")}
             elif value.head.get("Type") == "ObjStm":
-                open_stream(pdf, number, value)
+                packed[number] = m.start()
+    unlock(pdf)
+    for number, place in sorted(packed.items(), key=lambda x: x[1]):
+        open_stream(pdf, number, pdf.objects[number], place, places)
     if not pdf.head(pdf.trailer.get("Root")):
         raise ValueError("no catalog")
     return pdf
 
 
+def unlock(pdf: Pdf) -> None:
+    """Decrypts an encrypted file's strings and streams, and takes its encryption away."""
+    ref = pdf.trailer.get("Encrypt")
+    entries = pdf.head(ref)
+    if not entries:
+        pdf.encrypted = pdf.get(ref) is not None
+        return
+    pdf.encrypted = True
+    ids = pdf.get(pdf.trailer.get("ID"))
+    first = plain(pdf.get(ids[0])) if isinstance(ids, list) and ids and isinstance(pdf.get(ids[0]), bytes) else b""
+    known = {str(k): plain(v) if isinstance(v, bytes) else v for k, v in ((k, pdf.get(v)) for k, v in entries.items())}
+    known["method"] = str(pdf.get(pdf.head(pdf.head(entries.get("CF")).get(str(pdf.get(entries.get("StmF", "Identity"))))).get("CFM", "Identity")))
+    try:
+        lock = crypt.Lock(known, first)
+    except (ValueError, KeyError, TypeError) as e:
+        pdf.locked = str(e) or "unknown encryption"
+        return
+
+    def opened(x, number: int, generation: int):
+        if isinstance(x, Stream):
+            kept = x.head.get("Type") == "XRef" or "Crypt" in pdf.filters(x.head)
+            return Stream(opened(x.head, number, generation), x.raw if kept else lock.opened(x.raw, number, generation))
+        if isinstance(x, dict):
+            return {k: opened(v, number, generation) for k, v in x.items()}
+        if isinstance(x, list):
+            return [opened(v, number, generation) for v in x]
+        return lock.opened(plain(x), number, generation) if isinstance(x, bytes) and not isinstance(x, Operator) else x
+
+    own = ref.number if isinstance(ref, Ref) else None
+    pdf.objects = {n: x if n == own else opened(x, n, pdf.gens[n]) for n, x in pdf.objects.items()}
+    pdf.trailer.pop("Encrypt")
+
+
 def with_stream(pdf: Pdf, data: bytes, head: dict, lex: Lexer) -> tuple[object, int]:
     """The dictionary, or the stream that follows it, and where it ends. A wrong or later defined length is replaced by the
     place of the next `endstream`."""
@@ -210,15 +251,17 @@ def with_stream(pdf: Pdf, data: bytes, head: dict, lex: Lexer) -> tuple[object,
     return Stream(head, raw[:-2] if raw.endswith(b"\r\n") else raw[:-1] if raw[-1:] in (b"\n", b"\r") else raw), end
 
 
-def open_stream(pdf: Pdf, number: int, s: Stream) -> None:
+def open_stream(pdf: Pdf, number: int, s: Stream, place: int, places: dict[int, int]) -> None:
+    """Takes in the objects of an object stream, but for those that are defined further on in the file."""
     try:
         body = pdf.decoded(s)
         lex = Lexer(body)
         pairs = [(lex.value(), lex.value()) for _ in range(int(pdf.get(s.head.get("N")) or 0))]
         first = int(pdf.get(s.head.get("First")) or 0)
         for inner, offset in pairs:
-            pdf.objects[inner], pdf.gens[inner] = Lexer(body, first + offset).value(), 0
-            pdf.errors.pop(inner, None)
+            if places.get(inner, -1) < place:
+                pdf.objects[inner], pdf.gens[inner], places[inner] = Lexer(body, first + offset).value(), 0, place
+                pdf.errors.pop(inner, None)
     except (EOFError, ValueError, TypeError, zlib.error) as e:
         pdf.errors[number] = str(e)
 
@@ -609,7 +652,7 @@ def document_row(length: int, pdf: Pdf | None, error: str | None) -> Iterator[tu
     if pdf is None:
         yield length, None, None, None, error
     else:
-        yield length, sum(1 for _ in pages_of(pdf)), len(pdf.objects), pdf.get(pdf.trailer.get("Encrypt")) is not None, None
+        yield length, sum(1 for _ in pages_of(pdf)), len(pdf.objects), pdf.encrypted, None
 
 
 def files(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataFrame:
