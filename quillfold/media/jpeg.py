@@ -1,6 +1,6 @@
-"""Baseline JPEG in NumPy: an encoder with Huffman codes made for each image, and a decoder of sequential files.
+"""JPEG in NumPy: a baseline encoder with Huffman codes made for each image, and a decoder of sequential and progressive files.
 
-Progressive and arithmetic files are refused with a ValueError. Grey and three-channel rasters are written; files of one,
+Arithmetic and lossless files are refused with a ValueError. Grey and three-channel rasters are written; files of one,
 three and four channels are read, four of them as they stand.
 """
 
@@ -238,7 +238,8 @@ def decode(data: bytes) -> np.ndarray:
             restart = int.from_bytes(body[:2], "big")
         elif mark == 0xEE and body[:5] == b"Adobe":
             adobe = body[11]
-        elif mark in (0xC0, 0xC1):
+        elif mark in (0xC0, 0xC1, 0xC2):
+            progressive = mark == 0xC2
             h, w, n = int.from_bytes(body[1:3], "big"), int.from_bytes(body[3:5], "big"), body[5]
             if body[0] != 8 or not h or not w or len(body) < 6 + 3 * n:
                 raise ValueError("unsupported frame")
@@ -248,13 +249,15 @@ def decode(data: bytes) -> np.ndarray:
             for c in frame:
                 c["own"] = (-(-(-(-h * c["sy"] // my)) // 8), -(-(-(-w * c["sx"] // mx)) // 8))
                 c["x"] = np.zeros((rows * c["sy"], cols * c["sx"], 64), np.int64)
-        elif 0xC2 <= mark <= 0xCF and mark not in (0xC4, 0xC8, 0xCC):
-            raise ValueError("only sequential JPEG is supported")
+        elif 0xC3 <= mark <= 0xCF and mark not in (0xC4, 0xC8, 0xCC):
+            raise ValueError("this kind of JPEG is not supported")
         elif mark == 0xDA:
             if not frame:
                 raise ValueError("a scan before its frame")
             chosen = [(next(c for c in frame if c["id"] == body[1 + 2 * k]), body[2 + 2 * k]) for k in range(body[0])]
-            at = scan(data, at, chosen, huff, restart, (rows, cols))
+            n = body[0]
+            band = (body[1 + 2 * n], body[2 + 2 * n], body[3 + 2 * n] >> 4, body[3 + 2 * n] & 15) if progressive else None
+            at = scan(data, at, chosen, huff, restart, (rows, cols), band)
     if not frame:
         raise ValueError("no frame")
     out = []
@@ -272,8 +275,9 @@ def decode(data: bytes) -> np.ndarray:
     return np.clip(np.rint(np.stack(out, 2)), 0, 255).astype(np.uint8)
 
 
-def scan(data: bytes, at: int, chosen: list, huff: dict, restart: int, grid: tuple[int, int]) -> int:
-    """Reads a scan's coefficients into its channels; returns where it ends."""
+def scan(data: bytes, at: int, chosen: list, huff: dict, restart: int, grid: tuple[int, int], band: tuple[int, int, int, int] | None = None) -> int:
+    """Reads a scan's coefficients into its channels; returns where it ends. band: of a progressive scan the first and last
+    place, and the bits read before and left to read."""
     end = at
     while not (data[end : end + 1] == b"\xff" and data[end + 1 : end + 2] not in (b"\0", *[bytes([0xD0 + k]) for k in range(8)])):
         end = data.find(b"\xff", end + 1)
@@ -290,40 +294,118 @@ def scan(data: bytes, at: int, chosen: list, huff: dict, restart: int, grid: tup
     units = [(r, c) for r in range(rows) for c in range(cols)]
     each = restart or len(units)
     for k, piece in enumerate(pieces):
-        bits, last = Bits(piece), [0] * len(chosen)
+        bits, last, left = Bits(piece), [0] * len(chosen), [0]
         for r, c in units[k * each : (k + 1) * each]:
             for i, (channel, tables) in enumerate(chosen):
                 sx, sy = (1, 1) if alone else (channel["sx"], channel["sy"])
-                dc, ac = huff[tables >> 4], huff[0x10 | tables & 15]
+                dc, ac = huff.get(tables >> 4), huff.get(0x10 | tables & 15)
                 for v in range(sy):
                     for u in range(sx):
-                        last[i] = block(bits, dc, ac, channel["x"][r * sy + v, c * sx + u], last[i])
+                        out = channel["x"][r * sy + v, c * sx + u]
+                        if band is None:
+                            last[i] = block(bits, dc, ac, out, last[i])
+                        elif band[0] == 0:
+                            last[i] = first_place(bits, dc, out, last[i], band)
+                        else:
+                            (refined if band[2] else begun)(bits, ac, out, left, band)
     return end
 
 
+def symbol(bits: Bits, table: list) -> int:
+    found = table[bits.peek(16)] if table else None
+    if found is None:
+        raise ValueError("no such code")
+    bits.left -= found[1]
+    return found[0]
+
+
+def value(bits: Bits, n: int) -> int:
+    v = bits.take(n)
+    return v if not n or v >> (n - 1) else v - (1 << n) + 1
+
+
 def block(bits: Bits, dc: list, ac: list, out: np.ndarray, last: int) -> int:
-    def symbol(table: list) -> int:
-        found = table[bits.peek(16)]
-        if found is None:
-            raise ValueError("no such code")
-        bits.left -= found[1]
-        return found[0]
-
-    def value(n: int) -> int:
-        v = bits.take(n)
-        return v if not n or v >> (n - 1) else v - (1 << n) + 1
-
-    last += value(symbol(dc))
+    last += value(bits, symbol(bits, dc))
     out[0] = last
     k = 1
     while k < 64:
-        s = symbol(ac)
+        s = symbol(bits, ac)
         if s == 0:
             break
         k += s >> 4
         if s & 15:
             if k > 63:
                 raise ValueError("too many coefficients")
-            out[k] = value(s & 15)
+            out[k] = value(bits, s & 15)
         k += 1
     return last
+
+
+def first_place(bits: Bits, dc: list, out: np.ndarray, last: int, band: tuple) -> int:
+    """The upper bits of a block's mean, or one bit more of it."""
+    if band[2]:
+        out[0] |= bits.take(1) << band[3]
+        return last
+    last += value(bits, symbol(bits, dc))
+    out[0] = last << band[3]
+    return last
+
+
+def begun(bits: Bits, ac: list, out: np.ndarray, left: list[int], band: tuple) -> None:
+    """The upper bits of a band; left[0] counts the blocks that follow without any."""
+    if left[0]:
+        left[0] -= 1
+        return
+    k, end, _, low = band
+    while k <= end:
+        s = symbol(bits, ac)
+        gap, n = s >> 4, s & 15
+        if n:
+            k += gap
+            if k > 63:
+                raise ValueError("too many coefficients")
+            out[k] = value(bits, n) << low
+            k += 1
+        elif gap == 15:
+            k += 16
+        else:
+            left[0] = (1 << gap) - 1 + bits.take(gap)
+            return
+
+
+def refined(bits: Bits, ac: list, out: np.ndarray, left: list[int], band: tuple) -> None:
+    """One bit more of a band: of the places that have a value, and places that get their first."""
+    k, end, _, low = band
+    one = 1 << low
+
+    def more(at: int) -> None:
+        if bits.take(1) and not abs(int(out[at])) & one:
+            out[at] += one if out[at] > 0 else -one
+
+    if not left[0]:
+        while k <= end:
+            s = symbol(bits, ac)
+            gap, n, new = s >> 4, s & 15, 0
+            if n:
+                new = one if bits.take(1) else -one
+            elif gap < 15:
+                left[0] = (1 << gap) + bits.take(gap)
+                break
+            while k <= end:
+                if out[k]:
+                    more(k)
+                elif gap == 0:
+                    break
+                else:
+                    gap -= 1
+                k += 1
+            if new:
+                if k > 63:
+                    raise ValueError("too many coefficients")
+                out[k] = new
+            k += 1
+    if left[0]:
+        for at in range(k, end + 1):
+            if out[at]:
+                more(at)
+        left[0] -= 1

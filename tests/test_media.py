@@ -1,5 +1,6 @@
 """Codecs, filters and rasters: round trips and known values."""
 
+import base64
 import os
 import zlib
 
@@ -39,6 +40,23 @@ def test_jpeg_round_trip(shape):
         jpeg.decode(b"\xff\xd8\xff\xd9")
 
 
+#: A grey progressive file of 64 by 48 pixels, written by another encoder.
+PROGRESSIVE = (
+    "/9j/4AAQSkZJRgABAgAAAQABAAD/2wBDAAYEBQYFBAYGBQYHBwYIChAKCgkJChQODwwQFxQYGBcUFhYaHSUfGhsjHBYWICwgIyYnKSopGR8tMC0oMCUoKSj/"
+    "wgALCAAwAEABAREA/8QAGgAAAgMBAQAAAAAAAAAAAAAABAUBAgMGAP/aAAgBAQAAAAHgzeg1RLJ8RSZi+kN0GXru3i8BVjN2jQVBsZYbCLDndLvzqu3v/8QA"
+    "HxAAAQQCAwEBAAAAAAAAAAAAAAECAxESEwQQMSEg/9oACAEBAAEFAiL4QyohJMlTLYveujw2KbFLsRlmlTXROxEJPemnHbY2JKnYiEsuQ/tpE/ETkfJZcjIa"
+    "ljYLF49Dm0WZKZdQ+wIlSIlT/j//xAAUEAEAAAAAAAAAAAAAAAAAAABQ/9oACAEBAAY/AkP/xAAbEAADAQEBAQEAAAAAAAAAAAAAAREQMSFBYf/aAAgBAQAB"
+    "PyEehAMC5nRTo2FMC2x/IbixMEho7ERcNQ5k9M4eie5krrEmws+Bnxjc4Jj6ciFctVXB9Es//9oACAEBAAAAEMbsEYxTMv/EABsQAQEBAQEAAwAAAAAAAAAA"
+    "AAEAESExQVFh/9oACAEBAAE/EDrGKwsUkYJEwgkOb1e6TtHlbyKw/bL4IQ3V6pE4Fwi2sbxuQSg4WKCEPYbJAzr4nAxY7ZCAHsp62wIHSEazt5KuMfcyXrfi"
+    "I6TOCCsyJQ0sk7y//9k="
+)
+
+
+def test_progressive_files_are_read():
+    x = jpeg.decode(base64.b64decode(PROGRESSIVE))
+    assert x.shape == (48, 64) and abs(x.mean() - 65.175) < 0.01 and (x[0, 0], x[20, 30], x[47, 63]) == (40, 41, 52)
+
+
 def test_lengths_of_codes_stay_in_bounds():
     times = {k: 2**k for k in range(40)}
     got = jpeg.code_lengths(times)
