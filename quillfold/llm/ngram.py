@@ -431,7 +431,7 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = c.read(spark, sf_dir, "documents")
     model = train(docs.where(~held_out(7, 2)))
     out = score(docs, model, "doc_id", held_out(7, 2).alias("held_out"))
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens if model else 0).cast("long").alias("train_tokens"), "base_score", "score")
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens if model else 0).cast("long").alias("train_tokens"), "base_score", "score", (F.col("score") / F.col("n_tokens")).alias("token_score"), ((F.col("score") - F.col("base_score")) / F.col("n_tokens")).alias("token_gain"))
 
 
 def lm_scoring_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
