@@ -121,9 +121,3 @@ def counts(spark: SparkSession, path: str) -> DataFrame:
     run = grouped.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.table(name)
-
-
-def windowed(events: DataFrame, width: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
-    """Counts by event-time window and type, late rows dropped after the watermark. An extension."""
-    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
-    return timed.groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n"))
