@@ -82,7 +82,7 @@ def paths(counts: DataFrame, levels: int) -> DataFrame:
     return met.groupBy("part").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["k"]).alias("lefts"))
 
 
-def shard(docs: DataFrame, shards: int, payload: str, seed: int = 1, rows_per_partition: int = ROWS_PER_PARTITION, bytes_per_partition: int = BYTES_PER_PARTITION, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+def shard(docs: DataFrame, shards: int, payload: str, seed: int = 1, rows_per_partition: int = ROWS_PER_PARTITION, bytes_per_partition: int = BYTES_PER_PARTITION, rows_per_block: int | None = None) -> DataFrame:
     """The struct column named by payload, with shard (int) and slot (long, from 0 without gaps in its shard). docs has
     that column and text."""
     keep = c.Scratch(docs)
@@ -106,7 +106,9 @@ def shard(docs: DataFrame, shards: int, payload: str, seed: int = 1, rows_per_pa
 
     schema = T.StructType([keyed.schema["row"], T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
     dealt = keyed.groupBy("part").cogroup(path.groupBy("part")).applyInArrow(deal, schema)
-    block = F.floor(F.col("slot") / rows_per_block)
+    # a block, too, follows rows and bytes
+    each = rows_per_block or max(64, min(ROWS_PER_BLOCK, bytes_per_partition * n // max(1, size)))
+    block = F.floor(F.col("slot") / each)
     return dealt.repartition("shard", block).sortWithinPartitions("shard", "slot").select(F.col("row").alias(payload), "shard", "slot")
 
 
