@@ -69,10 +69,13 @@ def final_images(found: DataFrame) -> DataFrame:
 
 
 WRITTEN = "path string, candidate binary, pages int, encrypted boolean, error string, millis long"
+#: Columns that go through the writer, so that the documents' bytes move once.
+PASSED = "content binary, original_bytes long, target_dpi int, jpeg_quality double"
 
 
 def rewritten(raw: DataFrame) -> DataFrame:
-    """The columns of WRITTEN for raw(path, content, images, moves, fonts, strip_metadata, strip_private_data)."""
+    """The columns of WRITTEN and PASSED for raw(path, images, moves, fonts, strip_metadata, strip_private_data, and those
+    of PASSED)."""
     from .sinks import pdf as sink
 
     def changes(row: dict) -> sink.Changes:
@@ -129,12 +132,14 @@ def rewritten(raw: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.string(), pa.binary(), pa.int32(), pa.bool_(), pa.string(), pa.int64()]
+        names = [x.split()[0] for x in WRITTEN.split(", ")]
         for batch in batches:
             for k in range(batch.num_rows):
-                found = one({x: batch.column(x)[k].as_py() for x in batch.schema.names})
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(found, kinds, strict=True)], names=[x.split()[0] for x in WRITTEN.split(", ")])
+                found = one({x: batch.column(x)[k].as_py() for x in used})
+                yield pa.RecordBatch.from_arrays([*(pa.array([v], t) for v, t in zip(found, kinds, strict=True)), *(batch.column(x).slice(k, 1) for x in passed)], names=[*names, *passed])
 
-    return raw.select("path", "content", "images", "moves", "fonts", "strip_metadata", "strip_private_data").mapInArrow(run, WRITTEN)
+    used, passed = ["path", "content", "images", "moves", "fonts", "strip_metadata", "strip_private_data"], [x.split()[0] for x in PASSED.split(", ")]
+    return raw.select(*used, *passed[1:]).mapInArrow(run, f"{WRITTEN}, {PASSED}")
 
 
 def compress(raw: DataFrame, s: Settings | None = None, options: DataFrame | None = None) -> DataFrame:
@@ -157,7 +162,7 @@ def compress(raw: DataFrame, s: Settings | None = None, options: DataFrame | Non
     whole = raw.select("path", "content", F.octet_length("content").cast("long").alias("original_bytes")).join(own, "path").join(new, "path", "left").join(moves, "path", "left")
     whole = whole.join(fonts.select("path", "fonts"), "path", "left").withColumn("strip_private_data", F.lit(s.strip_private_data))
     made = rewritten(whole)
-    stats = made.join(image_rules.counters(found), "path", "left").join(fonts.select("path", "fonts_subset"), "path", "left").join(whole.select("path", "content", "original_bytes", "target_dpi", "jpeg_quality"), "path")
+    stats = made.join(image_rules.counters(found), "path", "left").join(fonts.select("path", "fonts_subset"), "path", "left")
     return results(stats, s)
 
 
