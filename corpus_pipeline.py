@@ -56,7 +56,7 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without benchmark contamination."""
-    found = decontaminate.decontaminate(docs.select("doc_id", "text"), common.read(spark, sf_dir, "benchmark"), keep_hash=True)
+    found = decontaminate.decontaminate(docs.select("doc_id", "text"), common.read(spark, sf_dir, "benchmark"), keep_hash=True, slop=None)
     bad = common.stored(found.where("contaminated").select(F.col("doc_id").alias("_id"), F.col("rk").alias("_rk")).distinct(), "pipeline-bad")
     return common.unmatched(carried(docs), bad).select("row.*")
 
