@@ -36,7 +36,9 @@ STEMS = (4, 5, 6)
 LEAST_ODDS = 2.0
 NEAR = 5
 WORD = re.compile(r"[^\W\d_]+")
-ODD = re.compile(r"[^\W_]*[0-9@$!*._+|-]+[^\W_]+(?:[0-9@$!*._+|-]+[^\W_]+)*")
+#: A sign or digit with a letter behind it, and what is left of a token that has one once its outer marks are gone.
+ODD = re.compile(r"[0-9@$!*._+|-](?=[^\W\d_])")
+TOKEN, OUTER = re.compile(r"\S*"), ".,;:?!()[]{}<>\"'*_+|-"
 SPACED = re.compile(r"(?<!\w)(?:[^\W\d_][ .\-*_]){3,}[^\W\d_](?!\w)")
 # Characters that stand for letters, and second-person words of the corpus's languages.
 LEET = str.maketrans("013457@$!|", "oieastasil")
@@ -87,21 +89,44 @@ def features(text: str, lexicon: Lexicon) -> list[float]:
                 top = max(top, worth[w])
                 near += any(x in YOU for x in words[max(0, i - NEAR) : i + NEAR + 1])
                 stem_hits += w in stemmed
-    for m in ODD.finditer(lowered):
-        plain = m[0].translate(LEET)
-        letters = "".join(ch for ch in plain if ch.isalpha())
-        hidden += letters in lexicon.words and letters != m[0]
+    for token in disguised(lowered):
+        letters = "".join(ch for ch in token.translate(LEET) if ch.isalpha())
+        hidden += letters in lexicon.words and letters != token
     for m in SPACED.finditer(lowered):
         hidden += "".join(ch for ch in m[0] if ch.isalpha()) in lexicon.words
     k = len(text)
-    capitals = k - len(CAPITAL.sub("", text))
+    capitals, signs, digits = counted(text)
     return [
         math.log1p(len(words)), float(hits), hits / n, float(stem_hits), stem_hits / n, weight / n, top, near / n, float(hidden), capitals / k,
-        len(SHOUT.findall(text)) / n, (text.count("!") + text.count("?")) / k, (k - len(SYMBOL.sub("", text))) / k, (k - len(DIGIT.sub("", text))) / k,
+        (len(SHOUT.findall(text)) if capitals > 2 else 0) / n, (text.count("!") + text.count("?")) / k, signs / k, digits / k,
     ]
 
 
-CAPITAL, SHOUT, SYMBOL, DIGIT = re.compile("[A-ZÀ-ÖØ-Þ]+"), re.compile(r"\b[A-ZÀ-ÖØ-Þ]{3,}\b"), re.compile(r"[#*$%&|<>@~^]+"), re.compile("[0-9]+")
+def disguised(text: str) -> Iterator[str]:
+    """The tokens in which a sign or digit stands before a letter, without marks around them; each part of the text is passed
+    over once."""
+    done = 0
+    for m in ODD.finditer(text):
+        if m.start() >= done:
+            a = m.start()
+            while a > done and not text[a - 1].isspace():
+                a -= 1
+            done = TOKEN.match(text, m.start()).end()
+            yield text[a:done].strip(OUTER)
+
+
+SHOUT = re.compile(r"\b[A-ZÀ-ÖØ-Þ]{3,}\b")
+#: Class of each character below 256: 1 capital, 2 sign, 3 digit.
+KIND = np.zeros(257, np.uint8)
+for _marks, _kind in (("ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ", 1), ("#*$%&|<>@~^", 2), ("0123456789", 3)):
+    KIND[[ord(_x) for _x in _marks]] = _kind
+
+
+def counted(text: str) -> tuple[int, int, int]:
+    """How many capitals, signs and digits a text has."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    times = np.bincount(KIND[np.minimum(codes, 256)], minlength=4)
+    return int(times[1]), int(times[2]), int(times[3])
 
 
 @dataclass

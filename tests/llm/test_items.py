@@ -20,3 +20,24 @@ def test_proximity_of_equal_and_null_ids(spark):
     for key in (7, None):
         items = spark.createDataFrame([(key, "a b"), (key, "d c")], "item_id long, text string")
         assert {r.doc_id for r in decontaminate.proximity_matches(docs, items, 5).collect()} == {1, 2}
+
+
+def test_proximity_against_brute_force(spark):
+    import random
+
+    r = random.Random(4)
+    docs = [(i, " ".join(r.choice("abcdefgh") for _ in range(r.randrange(0, 40)))) for i in range(40)]
+    items = [(i, " ".join(r.choice("abcdefghx") for _ in range(r.randrange(1, 5)))) for i in range(12)] + [(99, "a b c d e f g h")]
+    slop, want = 6, set()
+    for i, text in docs:
+        words = text.split()
+        for k, item in items:
+            need = set(item.split())
+            for last in range(len(words)):
+                if len(need) <= slop and need <= set(words[max(0, last - slop + 1) : last + 1]):
+                    first = min(max(p for p in range(last + 1) if words[p] == w) for w in need)
+                    want.add((i, k, first))
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.proximity_matches(*frame, slop).collect()
+    assert {(x.doc_id, x.item_id, x.first) for x in got} == want and len(want) > 50
+    assert all(x.last - x.first < slop for x in got)
