@@ -2,7 +2,7 @@
 
     compress(raw, settings, options) -> one result for each file
 
-Files are parsed to tables; what is decided about images, profiles and fonts is decided by joins and column rules on them;
+Files are parsed to tables, once for all of them; what is decided about images, profiles and fonts is decided by joins and column rules on them;
 images are decoded and encoded a row each; the changes of a document come together by its path, and the document is written
 anew in the task that holds its bytes. A document that can't be read, or written, keeps its bytes and has an error; an image
 or font that can't be handled stays as it is. Null content is an error; an empty table gives no rows; paths are expected
@@ -22,10 +22,12 @@ from pyspark.sql import functions as F
 
 from .config import OVERRIDES, Settings, overlaid
 from .functions import decisions as d
+from .operators import dedup
 from .operators import fonts as font_rules
 from .operators import images as image_rules
 from .operators import profiles as profile_rules
 from .sources import pdf
+from .storage import Kept
 
 RESULT = (
     "request_id string, original_bytes long, compressed_bytes long, saved_bytes long, saved_percent double, page_count int, images_inspected int, images_downsampled int, "
@@ -49,28 +51,27 @@ def effective(raw: DataFrame, s: Settings, options: DataFrame | None) -> DataFra
     return given.select("path", *[overlaid(x, own[x], s).alias(x) for x in OVERRIDES])
 
 
-def image_outcomes(raw: DataFrame, s: Settings, own: DataFrame) -> DataFrame:
-    """Every image that resources name, with its plan, what was made of it, and its outcome."""
-    named = image_rules.references(pdf.image_references(raw))
-    met = pdf.images(raw).join(named, ["path", "image_id"]).join(own, "path")
-    plan = image_rules.planned(met, image_rules.extents(pdf.image_draws(raw)), s, F.col("target_dpi"), F.col("max_image_dimension")).withColumn("quality", F.col("jpeg_quality"))
-    made = image_rules.transformed(plan.where("action = 'pending'"))
-    return image_rules.outcomes(plan, made, s)
-
-
-def final_images(found: DataFrame) -> DataFrame:
-    """The images as the documents will have them."""
-    new = F.col("outcome") == "recompressed"
-    pick = lambda a, b: F.when(new, F.col(a)).otherwise(F.col(b))
-    return found.select(
-        "path", "image_id", "discovery_idx", "deduplicate_images", pick("new_w", "w").alias("w"), pick("new_h", "h").alias("h"), pick("new_bpc", "bpc").alias("bpc"),
-        pick("new_space", "color_space").alias("color_space"), pick("new_filter", "filters").alias("filters"), pick("new_data", "content").alias("content"), pick("new_mask", "mask_content").alias("mask"),
-    )
+def image_outcomes(tables: DataFrame, s: Settings, own: DataFrame) -> DataFrame:
+    """Every image that resources name, with its plan, what was made of it, its outcome, and its fingerprint as the document
+    will have it. Decisions are made on descriptions; bytes are digested where they are read, and only those of pending
+    images move, once."""
+    images = pdf.one(tables, "images")
+    shape = ["path", "image_id", "w", "h", "bpc", "color_space", "filters", "stencil", "components", "encoded_len"]
+    described = image_rules.fingerprinted(images.select(*shape, "content", F.col("mask_content").alias("mask")))
+    met = described.join(image_rules.references(pdf.one(tables, "references")), ["path", "image_id"]).join(own, "path")
+    plan = image_rules.planned(met, image_rules.extents(pdf.one(tables, "draws")), s, F.col("target_dpi"), F.col("max_image_dimension"))
+    pending = plan.where("action = 'pending'").select("path", "image_id", "target_w", "target_h", F.col("jpeg_quality").alias("quality"))
+    made = image_rules.transformed(pending.join(images.select("path", "image_id", "info", "content", "mask_content"), ["path", "image_id"]))
+    found = image_rules.outcomes(plan, made, s)
+    new = found.select("*", *[F.col(f"new_{a}").alias(f"final_{b}") for a, b in (("w", "w"), ("h", "h"), ("bpc", "bpc"), ("space", "color_space"), ("filter", "filters"))])
+    digest = dedup.image_fingerprint(*[F.col(f"final_{x}") for x in ("w", "h", "bpc", "color_space", "filters")], F.col("new_data"), F.col("new_mask"))
+    new = new.withColumn("fingerprint", F.when(F.col("outcome") == "recompressed", digest).otherwise(F.col("fingerprint")))
+    return new.drop(*[f"final_{x}" for x in ("w", "h", "bpc", "color_space", "filters")])
 
 
 WRITTEN = "path string, candidate binary, pages int, encrypted boolean, error string, millis long"
 #: Columns that go through the writer, so that the documents' bytes move once.
-PASSED = "content binary, original_bytes long, target_dpi int, jpeg_quality double"
+PASSED = "content binary, original_bytes long, target_dpi int, jpeg_quality double, fonts_subset int"
 
 
 def rewritten(raw: DataFrame) -> DataFrame:
@@ -142,28 +143,29 @@ def rewritten(raw: DataFrame) -> DataFrame:
     return raw.select(*used, *passed[1:]).mapInArrow(run, f"{WRITTEN}, {PASSED}")
 
 
-def compress(raw: DataFrame, s: Settings | None = None, options: DataFrame | None = None) -> DataFrame:
+def compress(raw: DataFrame, s: Settings | None = None, options: DataFrame | None = None, kept: Kept | None = None) -> DataFrame:
     """The columns of RESULT and error for PDF files raw(path, length, content); the path is the request's id. options(path,
-    ...) may override the request options of some files."""
-    s = s or Settings()
+    ...) may override the request options of some files. Tables of the files and of their images are kept in the shared
+    folder: the caller may hand over `kept` to discard them once the result is written."""
+    s, kept = s or Settings(), kept or Kept(raw.sparkSession, "compress")
     own = effective(raw, s, options)
-    found = image_outcomes(raw, s, own)
+    tables = kept(pdf.gathered(raw, "images", "draws", "references", "fonts", "glyphs", "profiles"), "tables")
+    found = kept(image_outcomes(tables, s, own), "images")
     shape = ["image_id", "new_w", "new_h", "new_bpc", "new_space", "new_filter", "new_parms", "new_data", "new_mask"]
     new = found.where("outcome = 'recompressed'").groupBy("path").agg(F.collect_list(F.struct(*shape)).alias("images"))
-    same = image_rules.merged(final_images(found).where("deduplicate_images")).select("path", F.col("image_id").alias("old"), F.col("canonical").alias("new"))
-    profile = profile_rules.merged(pdf.profiles(raw)).select("path", F.col("stream_id").alias("old"), F.col("canonical").alias("new"))
+    same = image_rules.merged(found.where("deduplicate_images")).select("path", F.col("image_id").alias("old"), F.col("canonical").alias("new"))
+    profile = profile_rules.merged(pdf.one(tables, "profiles")).select("path", F.col("stream_id").alias("old"), F.col("canonical").alias("new"))
     moves = same.unionByName(profile).distinct().groupBy("path").agg(F.collect_list(F.struct("old", "new")).alias("moves"))
-    cut = font_rules.plan(pdf.fonts(raw), pdf.glyphs(raw), raw) if s.subset_fonts else None
-    if cut is None:
-        fonts = raw.select("path", F.lit(None).cast("array<struct<font_id:int,type0_id:int,descriptor:int,program_id:int,subset:binary,cid_map:binary,new_name:string>>").alias("fonts"), F.lit(0).alias("fonts_subset"))
-    else:
-        kept = F.when(F.col("refusal").isNull(), F.struct("font_id", "type0_id", "descriptor", "program_id", "subset", "cid_map", "new_name"))
-        fonts = cut.groupBy("path").agg(F.collect_list(kept).alias("fonts"), F.count_if(F.col("refusal").isNull()).cast("int").alias("fonts_subset"))
     whole = raw.select("path", "content", F.octet_length("content").cast("long").alias("original_bytes")).join(own, "path").join(new, "path", "left").join(moves, "path", "left")
-    whole = whole.join(fonts.select("path", "fonts"), "path", "left").withColumn("strip_private_data", F.lit(s.strip_private_data))
-    made = rewritten(whole)
-    stats = made.join(image_rules.counters(found), "path", "left").join(fonts.select("path", "fonts_subset"), "path", "left")
-    return results(stats, s)
+    if s.subset_fonts:
+        cut = font_rules.plan(pdf.one(tables, "fonts"), pdf.one(tables, "glyphs"), raw)
+        taken = F.when(F.col("refusal").isNull(), F.struct("font_id", "type0_id", "descriptor", "program_id", "subset", "cid_map", "new_name"))
+        fonts = cut.groupBy("path").agg(F.collect_list(taken).alias("fonts"), F.count_if(F.col("refusal").isNull()).cast("int").alias("fonts_subset"))
+        whole = whole.join(fonts, "path", "left")
+    else:
+        whole = whole.withColumns({"fonts": F.lit(None).cast("array<struct<font_id:int>>"), "fonts_subset": F.lit(0)})
+    made = rewritten(whole.withColumn("strip_private_data", F.lit(s.strip_private_data)))
+    return results(made.join(image_rules.counters(found), "path", "left"), s)
 
 
 def results(stats: DataFrame, s: Settings) -> DataFrame:

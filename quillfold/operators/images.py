@@ -102,10 +102,15 @@ def counters(found: DataFrame, keys: tuple[str, ...] = ("path",)) -> DataFrame:
     return found.groupBy(*keys).agg(*[F.count_if(v).cast("int").alias(k) for k, v in flags.items()])
 
 
+def fingerprinted(images: DataFrame) -> DataFrame:
+    """images(w, h, bpc, color_space, filters, content, mask, ...) with their fingerprint instead of their bytes."""
+    own = dedup.image_fingerprint(F.col("w"), F.col("h"), F.col("bpc"), F.col("color_space"), F.col("filters"), F.col("content"), F.col("mask"))
+    return images.withColumn("fingerprint", own).drop("content", "mask")
+
+
 def merged(final: DataFrame, scope: tuple[str, ...] = ("path",)) -> DataFrame:
-    """The scope, image_id and canonical of the images final(w, h, bpc, color_space, filters, content, mask, discovery_idx)
-    whose content equals that of one discovered earlier in the same scope."""
-    keyed = final.withColumn("fingerprint", dedup.image_fingerprint(F.col("w"), F.col("h"), F.col("bpc"), F.col("color_space"), F.col("filters"), F.col("content"), F.col("mask")))
-    named = keyed.select(*scope, "image_id", "fingerprint", F.struct("discovery_idx", "image_id").alias("at"))
+    """The scope, image_id and canonical of the images final(image_id, discovery_idx, fingerprint) whose content equals that of
+    one discovered earlier in the same scope."""
+    named = final.select(*scope, "image_id", "fingerprint", F.struct("discovery_idx", "image_id").alias("at"))
     found = dedup.canonical(named, "fingerprint", "at", scope)
     return found.where(F.col("canonical.image_id") != F.col("image_id")).select(*scope, "image_id", F.col("canonical.image_id").alias("canonical"))

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import storage
+
 # The states of a job, which of them end it, and the statistics that its view shows.
 QUEUED, RUNNING, SUCCEEDED, FAILED = STATES = ("QUEUED", "RUNNING", "SUCCEEDED", "FAILED")
 ENDED = (SUCCEEDED, FAILED)
@@ -70,10 +72,8 @@ def kept_result(spark: SparkSession, path: str, job_id: str) -> DataFrame:
 
 def discard(spark: SparkSession, path: str, job_ids: list[str]) -> None:
     """Deletes the results of some jobs, or the whole folder's if none are named."""
-    jvm = spark.sparkContext._jvm
     for name in [f"{path}/job_id={x}" for x in job_ids] or [path]:
-        where = jvm.org.apache.hadoop.fs.Path(name)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        storage.discard(spark, name)
 
 
 def evicted(finished: Column, now: Column, retention_seconds: int) -> Column:

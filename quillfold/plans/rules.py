@@ -43,7 +43,7 @@ def image_dedup(spark, sf):
     """Equal images of a document: shape, colours, filters, bytes and mask."""
     t(spark, sf, "events").createOrReplaceTempView("events")
     x = spark.sql(IMAGE_ROWS).withColumn("content", F.col("content").cast("binary")).withColumn("mask", F.col("mask").cast("binary"))
-    return images.merged(x)
+    return images.merged(images.fingerprinted(x))
 
 
 @query(f"WITH x AS ({IMAGE_ROWS}) SELECT count(*) AS merged FROM (SELECT path, row_number() OVER (PARTITION BY path, w, h, color_space, filters, content, mask ORDER BY image_id) AS n FROM x) WHERE n > 1")
@@ -196,7 +196,7 @@ def stream_log_store(spark, sf):
     """A log taken in as a stream, numbered, and followed by a second stream from an id on."""
     import uuid
 
-    from ..operators.graph import shared_folder
+    from ..storage import shared_folder
 
     folder = f"{shared_folder(spark)}/log-{uuid.uuid4().hex}"
     raw_events(spark, sf).coalesce(1).write.parquet(f"{folder}/raw")

@@ -680,6 +680,42 @@ def table(raw: DataFrame, schema: str, rows: Callable[[Pdf], Iterator[tuple]] |
     return raw.select("path", "length", "content").mapInArrow(run, schema)
 
 
+#: The tables by name, with their rows.
+TABLES = {
+    "objects": (OBJECTS, object_rows), "edges": (EDGES, edge_rows), "pages": (PAGES, page_rows), "images": (IMAGES, image_rows), "draws": (DRAWS, draw_rows), "references": (REFERENCES, reference_rows),
+    "fonts": (FONTS, font_rows), "glyphs": (GLYPHS, glyph_rows), "profiles": (PROFILES, profile_rows),
+}
+
+
+def gathered(raw: DataFrame, *names: str) -> DataFrame:
+    """path and, for each name, an array of the table's rows: the files are parsed once for all of them. one() takes a table
+    out of it; a file that can't be read has nulls."""
+    inner = {x: TABLES[x][0].partition(", ")[2] for x in names}
+    schema = "path string, " + ", ".join(f"{x} array<struct<{', '.join(c.replace(' ', ': ', 1) for c in own.split(', '))}>>" for x, own in inner.items())
+    kind = to_arrow_schema(_parse_datatype_string(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                path, data = batch.column("path")[k].as_py(), batch.column("content")[k].as_py()
+                try:
+                    pdf = parse(data or b"")
+                except (ValueError, TypeError, RecursionError, zlib.error):
+                    pdf = None
+                out = [pa.array([path], pa.string())]
+                for x, f in zip(names, list(kind)[1:], strict=True):
+                    keys = [c.split()[0] for c in inner[x].split(", ")]
+                    out.append(pa.array([None if pdf is None else [dict(zip(keys, row, strict=True)) for row in TABLES[x][1](pdf)]], f.type))
+                yield pa.RecordBatch.from_arrays(out, schema=kind)
+
+    return raw.select("path", "content").mapInArrow(run, schema)
+
+
+def one(tables: DataFrame, name: str) -> DataFrame:
+    """A table of gathered()."""
+    return tables.select("path", F.inline(name))
+
+
 def documents(raw: DataFrame) -> DataFrame:
     return table(raw, DOCUMENTS, None)
 

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from .. import engine
 from ..config import Settings
 from ..operators import jobs
+from ..storage import Kept
 
 # Fixed value: the size above which an upload is refused.
 MOST_BYTES = 100 * 2**20
@@ -36,7 +37,8 @@ class Service:
         """For foreachBatch: one job for each file, named by its path's digest. Files that are too large are refused."""
         files = batch.withColumn("job_id", F.substring(F.sha2("path", 256), 1, 32))
         fits = files.where(F.col("length") <= self.most_bytes)
-        done = engine.compress(fits.select("path", "length", "content"), self.settings)
+        scratch = Kept(self.spark, "uploads")
+        done = engine.compress(fits.select("path", "length", "content"), self.settings, kept=scratch)
         done = done.join(files.select(F.col("path").alias("request_id"), "job_id"), "request_id")
         jobs.keep_results(done.withColumn("batch", F.lit(batch_id)), f"{self.folder}/results")
         kept = self.spark.read.parquet(f"{self.folder}/results").where(F.col("batch") == batch_id) if fits.take(1) else done.withColumn("batch", F.lit(batch_id))
@@ -51,6 +53,7 @@ class Service:
         events = met.select("job_id", F.element_at(F.split("path", "/"), -1).alias("filename"), F.col("length").alias("submitted_bytes"), F.explode(steps).alias("e"))
         events = events.select("job_id", F.col("e.k").cast("long").alias("seq"), "e.ts", "e.status", "filename", "submitted_bytes", "e.error")
         events.write.mode("overwrite").parquet(f"{self.folder}/events/batch={batch_id}")
+        scratch.discard()
 
     def start(self, landing: str, files_per_trigger: int = 16) -> StreamingQuery:
         """Compresses what the landing folder holds, in batches, and ends; started again it takes what has come since."""
