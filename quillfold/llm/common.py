@@ -51,6 +51,23 @@ def release() -> None:
         pass
 
 
+def larger(batches: Iterator[pa.RecordBatch], column: str, least: int = 400_000) -> Iterator[pa.RecordBatch]:
+    """Batches joined until their lists in the column have `least` entries: for work whose cost is by the batch."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += len(batch.column(column).flatten())
+        if size >= least:
+            yield joined(held)
+            held, size = [], 0
+    if held:
+        yield joined(held)
+
+
+def joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return batches[0] if len(batches) == 1 else pa.concat_batches(batches)
+
+
 def released(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """work, for mapInArrow, with release() behind each partition."""
 

@@ -189,7 +189,7 @@ def light_runs(heads: DataFrame, ranges: int) -> DataFrame:
         at = np.repeat(starts[several] - np.concatenate([[0], np.cumsum(length[several])[:-1]]), length[several]) + np.arange(length[several].sum())
         return pa.table({"run": pa.array(np.repeat(name[several], length[several]).view(np.int64)), "gid": pa.array(gid[at]), "n": pa.array(n[at].astype(np.int64)), "pos": pa.array(pos[at].astype(np.int64))})
 
-    sent = heads.where("n > 0").select("gid", "n", "light").mapInArrow(by.sender(gather), by.schema)
+    sent = heads.where("n > 0").select("gid", "n", "light").mapInArrow(by.sender(gather, column="light"), by.schema)
     met = by.apply(sent, meet, "run long, gid long, n long, pos long")
     return met.groupBy("run", "gid").agg(F.first("n").alias("n"), F.min("pos").alias("pos"))
 

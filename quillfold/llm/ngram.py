@@ -64,7 +64,7 @@ def mapped(uri: str, name: str) -> tuple[dict[str, np.ndarray], bool]:
     """A file's arrays, and whether they are mapped rather than read."""
     system, folder = place(uri)
     if isinstance(system, fs.LocalFileSystem):
-        return ef.load(np.memmap(f"{folder}/{name}", np.uint8, "r")), True
+        return ef.load(np.memmap(f"{folder}/{name}", np.uint8, "r").view(np.ndarray)), True
     with system.open_input_stream(f"{folder}/{name}") as source:
         return ef.load(np.frombuffer(source.read(), np.uint8)), False
 
@@ -164,8 +164,7 @@ class Reader:
     @staticmethod
     def pointers(f: dict, level: str, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         parts = {k: f[f"{level}.{k}"] for k in ("bits", "low", "high", "rank")}
-        both = ef.element(parts, np.concatenate([at, at + 1]))
-        return both[: len(at)], both[len(at) :]
+        return ef.neighbours(parts, at)
 
     def bigrams(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For sorted keys first * span + second: node number or -1, discounted probability, weight left by the node."""
@@ -370,48 +369,53 @@ def train(docs: DataFrame) -> Model | None:
 def score(docs: DataFrame, model: Model | None, *columns) -> DataFrame:
     """The columns with n_tokens, n_known, base_score and score."""
 
+    def after(values: np.ndarray, starts: np.ndarray, first) -> np.ndarray:
+        """What stands before each token; `first` before a row's first one."""
+        out = np.empty_like(values)
+        out[1:] = values[:-1]
+        out[starts] = first
+        return out
+
     def rows(reader: Reader, column: pa.ListArray) -> Iterator[tuple[np.ndarray, ...]]:
         m = reader.m
-        for words, at, stop, a, b in padded(column, 2, 1):
-            real = np.concatenate([at, stop])
-            distinct, back = np.unique(words[real], return_inverse=True)
+        span, start = np.uint64(m.span), np.array([m.words])
+        opening = min(1.0, DISCOUNT * int(reader.degree(start)[0]) / max(1, m.docs))
+        start_node, _, start_left = (x[0] for x in reader.bigrams(start.astype(np.uint64) * span + start.astype(np.uint64)))
+        for words, _, stop, a, b in padded(column, 0, 1):
+            starts = np.append(0, stop[:-1] + 1)
+            distinct, back = np.unique(words, return_inverse=True)
             ids, times = reader.ids(distinct)
             known = np.flatnonzero(ids >= 0)
-            # unigrams, and the weight that each known word or the start leaves to them as a context
+            # unigrams, and the weight that each known word leaves to them as a context
             p1 = np.where(ids >= 0, (times - m.discount1) / m.tokens, m.unseen())
             weight = np.ones(len(distinct))
             weight[known] = np.minimum(1.0, DISCOUNT * reader.degree(ids[known]) / np.maximum(1, times[known]))
-            first = min(1.0, DISCOUNT * int(reader.degree(np.array([m.words]))[0]) / max(1, m.docs))
-            id_, p_, w_ = np.full(len(words), m.words, np.int64), np.ones(len(words)), np.full(len(words), first)
-            id_[real], p_[real], w_[real] = ids[back], p1[back], weight[back]
-            w_[real[ids[back] < 0]] = 1.0
-            place = np.sort(real)
+            base = np.log10((times + 1) / (m.tokens + m.words + 1))
+            id_ = ids[back]
+            before = after(id_, starts, m.words)
             # bigrams: one search for each distinct pair
-            pair = np.flatnonzero((id_[1:] >= 0) & (id_[:-1] >= 0)) + 1
-            keys, back = np.unique(id_[pair - 1].astype(np.uint64) * np.uint64(m.span) + id_[pair].astype(np.uint64), return_inverse=True)
-            node, f2, l2 = reader.bigrams(keys)
-            node_, f2_, l2_ = np.full(len(words), -1, np.int64), np.zeros(len(words)), np.ones(len(words))
-            node_[pair], f2_[pair], l2_[pair] = node[back], f2[back], l2[back]
-            p = f2_[place] + w_[place - 1] * p_[place]
+            pair = np.flatnonzero((id_ >= 0) & (before >= 0))
+            keys, of = np.unique(before[pair].astype(np.uint64) * span + id_[pair].astype(np.uint64), return_inverse=True)
+            found, f2, l2 = reader.bigrams(keys)
+            node, p, left = np.full(len(id_), -1, np.int64), after(weight[back], starts, opening) * p1[back], np.ones(len(id_))
+            node[pair], left[pair] = found[of], l2[of]
+            p[pair] += f2[of]
             # trigrams below the bigrams found at the place before
-            deep = np.flatnonzero((node_[place - 1] >= 0))
-            low = l2_[place[deep] - 1] * p[deep]
-            under, word = node_[place[deep] - 1], id_[place[deep]]
-            ask = np.flatnonzero(node_[place[deep]] >= 0)
-            order = np.lexsort((word[ask], under[ask]))
+            context, rest = after(node, starts, start_node), after(left, starts, start_left)
+            deep = np.flatnonzero(context >= 0)
+            low = rest[deep] * p[deep]
+            ask = np.flatnonzero(node[deep] >= 0)
+            under, word = context[deep[ask]], id_[deep[ask]]
+            order = np.lexsort((word, under))
             got = np.zeros(len(deep))
-            got[ask[order]] = reader.trigrams(under[ask][order], word[ask][order])
+            got[ask[order]] = reader.trigrams(under[order], word[order])
             p[deep] = got + low
-            row = np.repeat(np.arange(b - a), np.diff(np.append(-1, np.searchsorted(place, stop))))
-            all_times = np.zeros(len(words), np.int64)
-            all_times[real] = times[np.searchsorted(distinct, words[real])]
-            base = np.log10((all_times[place] + 1) / (m.tokens + m.words + 1))
-            sums = [np.bincount(row, x, b - a) for x in (np.ones(len(place)), all_times[place] > 0, base, np.log10(np.maximum(p, 1e-300)))]
-            yield sums[0].astype(np.int64), sums[1].astype(np.int64), sums[2], sums[3]
+            known_ = np.add.reduceat((times > 0)[back].astype(np.int64), starts)
+            yield stop - starts + 1, known_, np.add.reduceat(base[back], starts), np.add.reduceat(np.log10(np.maximum(p, 1e-300)), starts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(model) if model else None
-        for batch in batches:
+        for batch in c.larger(batches, "w"):
             column = batch.column("w")
             if reader:
                 parts = [np.concatenate(x) for x in zip(*rows(reader, column), strict=True)] if len(column) else [np.zeros(0)] * 4

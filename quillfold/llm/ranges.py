@@ -82,9 +82,10 @@ class Exchange:
         order = np.argsort(columns[0], kind="stable")
         return [x[order] for x in columns], table
 
-    def sender(self, gather: Callable[[pa.RecordBatch], Iterator[tuple[list[np.ndarray], list[np.ndarray]]]], condense: Callable[[list[np.ndarray]], list[np.ndarray]] | None = None) -> Callable:
+    def sender(self, gather: Callable[[pa.RecordBatch], Iterator[tuple[list[np.ndarray], list[np.ndarray]]]], condense: Callable[[list[np.ndarray]], list[np.ndarray]] | None = None, column: str = "w") -> Callable:
         """For mapInArrow: gather(batch) gives columns, and their table; they go out sorted, FLUSH rows at a time.
-        condense(columns in any order) may join rows first and must return them sorted by key."""
+        condense(columns in any order) may join rows first and must return them sorted by key. Batches are joined by the
+        entries of the list column."""
 
         def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held, tables, size, entries = [], [], 0, 0
@@ -99,7 +100,7 @@ class Exchange:
                     columns = [x[order] for x in columns]
                 return self.messages(columns, table, self.step)
 
-            for batch in batches:
+            for batch in c.larger(batches, column):
                 for columns, table in gather(batch):
                     if self.table:
                         columns[1] = columns[1] + entries

@@ -44,18 +44,39 @@ def monotone(values: np.ndarray) -> dict[str, np.ndarray]:
     return {"bits": np.array([bits], U), "low": packed(v & U((1 << bits) - 1), bits) if bits else np.zeros(1, U), "high": high, "rank": rank}
 
 
-def element(parts: dict[str, np.ndarray], at: np.ndarray) -> np.ndarray:
-    """The sequence's elements at the given places: a select on the high bits, joined to the low ones."""
+def placed(parts: dict[str, np.ndarray], at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words of the high bits, and the bits in them, that stand for the given places: a select."""
     word = np.searchsorted(parts["rank"], at, side="right") - 1
-    left = (at - parts["rank"][word]).astype(np.int64)
+    left = (at - parts["rank"][word]).astype(np.uint8)
     bytes_ = parts["high"][word].view(np.uint8).reshape(-1, 8)
-    counts = POP[bytes_].cumsum(1, dtype=np.int64)
+    counts = np.bitwise_count(bytes_).cumsum(1, dtype=np.uint8)
     k = (counts <= left[:, None]).sum(1)
     rows = np.arange(len(at))
-    inside = left - np.where(k > 0, counts[rows, np.maximum(k - 1, 0)], 0)
-    place = word.astype(np.int64) * 64 + k * 8 + SELECT[inside, bytes_[rows, k]]
+    left -= np.where(k > 0, counts[rows, np.maximum(k - 1, 0)], np.uint8(0))
+    return word, k * 8 + SELECT[left, bytes_[rows, k]]
+
+
+def element(parts: dict[str, np.ndarray], at: np.ndarray) -> np.ndarray:
+    """The sequence's elements at the given places: a select on the high bits, joined to the low ones."""
+    word, bit = placed(parts, at)
     bits = int(parts["bits"][0])
-    return ((place - at) << bits) | unpacked(parts["low"], bits, at)
+    return ((word * 64 + bit - at) << bits) | unpacked(parts["low"], bits, at)
+
+
+def neighbours(parts: dict[str, np.ndarray], at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The elements at the given places and those behind them, of places before the last: after one select, the next bit."""
+    word, bit = placed(parts, at)
+    bits, high = int(parts["bits"][0]), parts["high"]
+    rest = high[word] & ~((U(2) << bit.astype(U)) - U(1))
+    behind = word.copy()
+    empty = np.flatnonzero(rest == 0)
+    while len(empty):
+        behind[empty] += 1
+        rest[empty] = high[behind[empty]]
+        empty = empty[rest[empty] == 0]
+    next_ = np.bitwise_count((rest & (~rest + U(1))) - U(1))
+    first = ((word * 64 + bit - at) << bits) | unpacked(parts["low"], bits, at)
+    return first, ((behind * 64 + next_ - at - 1) << bits) | unpacked(parts["low"], bits, at + 1)
 
 
 def save(arrays: dict[str, np.ndarray]) -> bytes:

@@ -189,6 +189,9 @@ def test_monotone_sequences():
         v = np.sort(r.integers(0, most, n))
         parts = succinct.load(np.frombuffer(succinct.save(succinct.monotone(v)), np.uint8))
         assert (succinct.element(parts, np.arange(n)) == v).all()
+        if n > 1:
+            a, b = succinct.neighbours(parts, np.arange(n - 1))
+            assert (a == v[:-1]).all() and (b == v[1:]).all()
     v = r.integers(0, 2**23, 1000)
     assert (succinct.unpacked(succinct.packed(v, 23), 23, np.arange(1000)) == v).all()
 
