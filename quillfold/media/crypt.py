@@ -1,6 +1,6 @@
 """Files that are encrypted for their permissions only: opened with the empty password, by RC4 or AES.
 
-Of the standard handler, revisions 2 to 5 are known. The tables of AES are made from its field arithmetic.
+Of the standard handler, revisions 2 to 6 are known. The tables of AES are made from its field arithmetic.
 """
 
 from __future__ import annotations
@@ -94,6 +94,39 @@ def aes(key: bytes, data: bytes, start: bytes) -> bytes:
     return (x ^ before).tobytes()
 
 
+#: A byte's substitution, spread over a column as the mixing of columns has it.
+MIXED = [(times(x, 2), x, x, times(x, 3)) for x in BOX.tolist()]
+FORWARD = [4 * ((c + r) % 4) + r for c in range(4) for r in range(4)]
+
+
+def chained(key: bytes, data: bytes, start: bytes) -> bytes:
+    """Plain blocks to chained ones, one after another."""
+    keys, box = [k.tolist() for k in round_keys(key)], BOX.tolist()
+    out, x = bytearray(), list(start)
+    for at in range(0, len(data) // 16 * 16, 16):
+        x = [a ^ b ^ k for a, b, k in zip(x, data[at : at + 16], keys[0], strict=True)]
+        for own in keys[1:-1]:
+            x = [x[k] for k in FORWARD]
+            mixed = []
+            for c in (0, 4, 8, 12):
+                a, b, d, e = MIXED[x[c]], MIXED[x[c + 1]], MIXED[x[c + 2]], MIXED[x[c + 3]]
+                mixed += [a[r] ^ b[r - 1] ^ d[r - 2] ^ e[r - 3] for r in range(4)]
+            x = [a ^ k for a, k in zip(mixed, own, strict=True)]
+        x = [box[x[k]] ^ own for k, own in zip(FORWARD, keys[-1], strict=True)]
+        out += bytes(x)
+    return bytes(out)
+
+
+def hardened(password: bytes, salt: bytes, user: bytes = b"") -> bytes:
+    """The slow digest of revision 6."""
+    k, n, last = hashlib.sha256(password + salt + user).digest(), 0, 0
+    while n < 64 or last > n - 32:
+        sent = chained(k[:16], (password + k + user) * 64, k[16:32])
+        k = (hashlib.sha256, hashlib.sha384, hashlib.sha512)[sum(sent[:16]) % 3](sent).digest()
+        n, last = n + 1, sent[-1]
+    return k[:32]
+
+
 def unpadded(data: bytes) -> bytes:
     return data[: -data[-1]] if data and 1 <= data[-1] <= 16 else data
 
@@ -103,7 +136,7 @@ class Lock:
 
     def __init__(self, entries: dict, file_id: bytes):
         version, self.revision = int(entries.get("V", 0)), int(entries.get("R", 0))
-        if entries.get("Filter") != "Standard" or not 2 <= self.revision <= 5:
+        if entries.get("Filter") != "Standard" or not 2 <= self.revision <= 6:
             raise ValueError("unknown encryption")
         method = entries.get("method", "V2")
         self.kind = {"V2": "rc4", "AESV2": "aes", "AESV3": "aes256", "Identity": "none", "None": "none"}.get(method) if version >= 4 else "rc4"
@@ -111,10 +144,11 @@ class Lock:
             raise ValueError("unknown encryption")
         size = 5 if version == 1 else int(entries.get("Length", 128 if version >= 4 else 40)) // 8
         owner, user = bytes(entries["O"]), bytes(entries["U"])
-        if self.revision == 5:
-            if hashlib.sha256(user[32:40]).digest() != user[:32]:
+        if self.revision >= 5:
+            digest = (lambda salt: hashlib.sha256(salt).digest()) if self.revision == 5 else (lambda salt: hardened(b"", salt))
+            if digest(user[32:40]) != user[:32]:
                 raise ValueError("a password is needed")
-            self.key = aes(hashlib.sha256(user[40:48]).digest(), bytes(entries["UE"])[:32], bytes(16))
+            self.key = aes(digest(user[40:48]), bytes(entries["UE"])[:32], bytes(16))
             return
         parts = PAD + owner[:32] + (int(entries["P"]) & 0xFFFFFFFF).to_bytes(4, "little") + file_id
         if self.revision >= 4 and entries.get("EncryptMetadata") is False:

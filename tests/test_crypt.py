@@ -27,6 +27,25 @@ def test_chained_blocks():
     key, start = bytes(range(16)), bytes(range(100, 116))
     sent = subprocess.run(["openssl", "enc", "-aes-128-cbc", "-K", key.hex(), "-iv", start.hex()], input=data, capture_output=True, check=True).stdout
     assert crypt.unpadded(crypt.aes(key, sent, start)) == data
+    for size, name in ((16, "128"), (32, "256")):
+        key = bytes(range(7, 7 + size))
+        want = subprocess.run(["openssl", "enc", f"-aes-{name}-cbc", "-nopad", "-K", key.hex(), "-iv", start.hex()], input=data, capture_output=True, check=True).stdout
+        assert crypt.chained(key, data, start) == want and crypt.aes(key, want, start) == data
+
+
+@pytest.mark.parametrize("revision", [5, 6])
+def test_keys_of_256_bits(revision):
+    key, salts = bytes(range(32)), (b"12345678", b"abcdefgh")
+    digest = (lambda p, s: hashlib.sha256(p + s).digest()) if revision == 5 else crypt.hardened
+
+    def entries(password):
+        return {"Filter": "Standard", "V": 5, "R": revision, "method": "AESV3", "O": bytes(48), "U": digest(password, salts[0]) + salts[0] + salts[1], "UE": crypt.chained(digest(password, salts[1]), key, bytes(16)), "P": -4}
+
+    lock = crypt.Lock(entries(b""), b"")
+    text = b"sixteen bytes..." + bytes([16]) * 16
+    assert lock.key == key and lock.opened(bytes(16) + crypt.chained(key, text, bytes(16)), 7, 0) == text[:16]
+    with pytest.raises(ValueError, match="password"):
+        crypt.Lock(entries(b"word"), b"")
 
 
 def locked(revision: int, password: bytes = b"") -> bytes:
