@@ -168,7 +168,7 @@ def clear(spark: SparkSession, path: str) -> None:
 def small(stored: DataFrame, most_rows: int) -> DataFrame:
     """A stored table marked for broadcast if it has at most most_rows rows, else as it is (Spark then shuffles). Rows are
     counted where they are; none reaches the driver."""
-    return F.broadcast(stored) if stored.limit(most_rows + 1).count() <= most_rows else stored
+    return F.broadcast(stored) if stored.count() <= most_rows else stored
 
 
 def may_be_in(keys: DataFrame, key: str, value: Column) -> Column:
