@@ -124,9 +124,10 @@ def sample(docs: DataFrame, most: int) -> DataFrame:
     rows = docs.where("lang IS NOT NULL AND doc_id IS NOT NULL AND length(text) > 0").select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
     ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("rank") <= most)
     # by rank, so every language has its first row before any has its second
-    kept = ranked.select("rank", "lang", "doc_id").orderBy("rank", "lang").limit(most).union(ranked.where("rank = 1").select("rank", "lang", "doc_id"))
-    ids = sorted({(r.doc_id,) for r in kept.collect()})
-    return docs.sparkSession.createDataFrame(ids, "doc_id long")
+    kept = ranked.select("rank", "doc_id").orderBy("rank", "lang").limit(most).collect()
+    if kept and kept[-1]["rank"] == 1:  # as many languages as rows, or more
+        kept = ranked.where("rank = 1").select("rank", "doc_id").collect()
+    return docs.sparkSession.createDataFrame(sorted({(r.doc_id,) for r in kept}), "doc_id long")
 
 
 def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, seed: int = 1) -> ByteConvNet | None:

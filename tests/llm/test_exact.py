@@ -88,6 +88,15 @@ def test_shards_of_documents(spark):
     assert all(sorted(v) == list(range(len(v))) for v in by.values())
 
 
+def test_samples_are_even_and_lose_no_language(spark):
+    rows = [(i, "some text", "common" if i % 10 else f"rare{i}") for i in range(1, 200)] + [(900, None, "never"), (None, "x", "none")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langs = {r[0]: r[2] for r in rows}
+    for most in (5, 20, 60, 1000):
+        got = Counter(langs[r.doc_id] for r in language.sample(docs, most).collect())
+        assert len(got) == 20 and sum(got.values()) == max(20, min(most, 199)) and all(v == 1 for k, v in got.items() if k != "common")
+
+
 @data
 def test_languages_of_held_out_rows(spark):
     want = {r.doc_id: r.lang for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
