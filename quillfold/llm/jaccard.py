@@ -248,6 +248,8 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int
     and go to their pairs packed, as 48 bits of each hash.
     """
     pairs = keep(close(classes, pairs, percent), "jaccard-close")
+    if not pairs.take(1):
+        return pairs
     named = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
     reps = keep(named.join(classes, "cid").select("cid", F.col("rep.doc_id").alias("_id"), F.col("rep.rk").alias("_rk"), F.col("rep.times").alias("times")), "jaccard-reps")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("rk"))
@@ -348,8 +350,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, heaviest: int = HEA
         keep.drop(joined, found)
         return out
 
+    member = unjoined(joined)
     for several in STARS:
-        member = unjoined(joined)
+        if not member.take(1):  # nothing is open
+            break
         count = member.groupBy("run", "root").agg(F.count(F.lit(1)).alias("k"))
         large = count.groupBy("run").agg(F.max(F.struct("k", "root")).alias("m"), F.sum("k").alias("all")).where(f"all > {SHORT_RUN}").selectExpr("run", "m.root AS root")
         leads = [F.min(F.struct(F.xxhash64("cid", F.lit(k)).alias("o"), "cid", "n", "pos")) for k in range(several)]
@@ -358,11 +362,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, heaviest: int = HEA
         star = member.join(centre, "run").where("root <> r AND " + may_link("n", "m.n", "pos", "m.pos", percent))
         joined = link(star.select(F.col("cid").alias("a"), F.col("m.cid").alias("b")), joined)
         keep.drop(member)
+        member = unjoined(joined)
 
     # last: every pair of a run whose ends still lie in different components
-    member = unjoined(joined)
-    again = member.alias("x").join(member.alias("y"), F.expr("x.run = y.run AND x.root < y.root AND " + may_link("x.n", "y.n", "x.pos", "y.pos", percent)))
-    joined = link(again.selectExpr("x.cid AS a", "y.cid AS b"), joined)
+    if member.take(1):
+        again = member.alias("x").join(member.alias("y"), F.expr("x.run = y.run AND x.root < y.root AND " + may_link("x.n", "y.n", "x.pos", "y.pos", percent)))
+        joined = link(again.selectExpr("x.cid AS a", "y.cid AS b"), joined)
 
     roots = classes.select("cid", "least").join(joined.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "least", F.coalesce("root", "cid").alias("root"))
     names = roots.groupBy("root").agg(F.min("least").alias("component_id"))
