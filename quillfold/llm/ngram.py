@@ -297,7 +297,9 @@ def count_trigrams(train: DataFrame, model: Model) -> list:
 
     def grouped(key: np.ndarray, third: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The order of rows by key and third word, and where in it each distinct pair begins."""
-        order = np.lexsort((third, key))
+        order = np.argsort(key)
+        number = np.cumsum(np.diff(key[order], prepend=key[order[:1]]) != 0, dtype=np.uint64)
+        order = order[np.argsort(number << np.uint64(32) | third[order].astype(np.uint64))]
         key, third = key[order], third[order]
         return order, np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (third[1:] != third[:-1])]))
 
@@ -406,7 +408,7 @@ def score(docs: DataFrame, model: Model | None, *columns) -> DataFrame:
             low = rest[deep] * p[deep]
             ask = np.flatnonzero(node[deep] >= 0)
             under, word = context[deep[ask]], id_[deep[ask]]
-            order = np.lexsort((word, under))
+            order = np.argsort(under)
             got = np.zeros(len(deep))
             got[ask[order]] = reader.trigrams(under[order], word[order])
             p[deep] = got + low
