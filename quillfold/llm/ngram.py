@@ -42,6 +42,8 @@ DISCOUNT = 0.85
 HALVINGS = np.concatenate([np.arange(192) / 8, 24 + 0.75 * np.arange(1, 63)])
 TOKENS_PER_SHARD = 4_000_000
 CHUNK = 1_000_000
+#: Rows that a shard's task sorts and counts up at a time.
+ROWS_AT_ONCE = 1 << 18
 #: Shards that a worker keeps in memory where they can't be mapped.
 HELD = 16
 
@@ -274,6 +276,48 @@ def shard_bounds(model: Model, heavy: list[tuple[int, int]], shards: int) -> np.
     return np.array(sorted(keys), np.uint64)
 
 
+def grouped(key: np.ndarray, third: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of rows by key and third word, and where in it each distinct pair begins."""
+    order = np.argsort(key)
+    number = np.cumsum(np.diff(key[order], prepend=key[order[:1]]) != 0, dtype=np.uint64)
+    order = order[np.argsort(number << np.uint64(32) | third[order].astype(np.uint64))]
+    key, third = key[order], third[order]
+    return order, np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (third[1:] != third[:-1])]))
+
+
+def build(model: Model, by: Exchange, s: int, rows: pa.Table) -> pa.Table:
+    """Writes a shard of the trie, a stretch of keys at a time; of each stretch only what the shard keeps is held."""
+    reader, span, start, parts = Reader(model), model.span, model.words, []
+    for key, third, times in by.stretches(rows, ROWS_AT_ONCE):
+        order, first = grouped(key, third)
+        key, third, times = key[order][first], third[order][first], np.add.reduceat(times[order].astype(np.int64), first)
+        at2 = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        seen = np.add.reduceat(times, at2)
+        followed = third != start + 1
+        context = np.add.reduceat(np.where(followed, times, 0), at2)
+        kinds = np.add.reduceat(followed.astype(np.int64), at2)
+        one, two = np.divmod(key[at2].astype(np.int64), span)
+        ones, back = np.unique(one, return_inverse=True)
+        f2 = np.where(two == start, 0.0, (seen - DISCOUNT) / np.maximum(1, reader.counts(ones)[back]))
+        l2 = np.where(context > 0, DISCOUNT * kinds / np.maximum(1, context), 1.0)
+        owner = np.repeat(np.arange(len(at2)), np.diff(np.append(at2, len(key))))[followed]
+        f3 = (times[followed] - DISCOUNT) / context[owner]
+        parts.append((one.astype(np.uint32), two.astype(np.uint32), quantised(f2), quantised(l2), kinds, third[followed], quantised(f3)))
+    one, two, f2, l2, kinds, third, f3 = (np.concatenate(x) for x in zip(*parts, strict=True))
+    del parts
+    ones, degree = np.unique(one, return_counts=True)
+    ones, bits = ones.astype(np.int64), int(span).bit_length()
+    every = np.zeros(int(ones[-1] - ones[0]) + 2, np.int64)
+    every[ones - ones[0] + 1] = degree
+    arrays = {"bits": np.array([bits], np.uint64), "first": ones[:1].astype(np.uint64), "firsts": np.array([len(every) - 1], np.uint64), "id2": ef.packed(two, bits), "f2": f2, "l2": l2, "id3": ef.packed(third, bits), "f3": f3}
+    for level, pointers in (("p2", np.cumsum(every)), ("p3", np.concatenate([[0], np.cumsum(kinds)]))):
+        arrays |= {f"{level}.{k}": v for k, v in ef.monotone(pointers).items()}
+    write(model.uri, f"trie-{s}", ef.save(arrays))
+    edge = sorted({0, len(ones) - 1})
+    return pa.table({"s": [s], "nodes": [len(two)], "trigrams": [len(third)], "edge": [ones[edge].tolist()], "degree": [degree[edge].tolist()]},
+                    schema=pa.schema([("s", pa.int32()), ("nodes", pa.int64()), ("trigrams", pa.int64()), ("edge", pa.list_(pa.int64())), ("degree", pa.list_(pa.int64()))]))
+
+
 def count_trigrams(train: DataFrame, model: Model) -> list:
     """Writes the trie's shards; returns for each its bigrams and the successors of its first and last words."""
     reader_of, bounds, span, start = Model(**vars(model)), model.bounds, model.span, model.words
@@ -295,47 +339,12 @@ def count_trigrams(train: DataFrame, model: Model) -> list:
             at3 = at3[at3 + 2 < len(words)]
             yield [ids[at3].astype(np.uint64) * np.uint64(span) + ids[at3 + 1].astype(np.uint64), ids[at3 + 2].astype(np.uint32)], []
 
-    def grouped(key: np.ndarray, third: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The order of rows by key and third word, and where in it each distinct pair begins."""
-        order = np.argsort(key)
-        number = np.cumsum(np.diff(key[order], prepend=key[order[:1]]) != 0, dtype=np.uint64)
-        order = order[np.argsort(number << np.uint64(32) | third[order].astype(np.uint64))]
-        key, third = key[order], third[order]
-        return order, np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (third[1:] != third[:-1])]))
-
     def count(columns: list[np.ndarray]) -> list[np.ndarray]:
         order, first = grouped(*columns)
         return [columns[0][order][first], columns[1][order][first], np.diff(np.append(first, len(order)))]
 
-    def build(s: int, columns: list[np.ndarray], _: list[np.ndarray]) -> pa.Table:
-        reader = Reader(reader_of)
-        key, third, times = columns
-        order, first = grouped(key, third)
-        key, third, times = key[order][first], third[order][first], np.add.reduceat(times[order].astype(np.int64), first)
-        at2 = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        seen = np.add.reduceat(times, at2)
-        followed = third != start + 1
-        context = np.add.reduceat(np.where(followed, times, 0), at2)
-        kinds = np.add.reduceat(followed.astype(np.int64), at2)
-        one, two = np.divmod(key[at2].astype(np.int64), span)
-        ones, back, degree = np.unique(one, return_inverse=True, return_counts=True)
-        f2 = np.where(two == start, 0.0, (seen - DISCOUNT) / np.maximum(1, reader.counts(ones)[back]))
-        l2 = np.where(context > 0, DISCOUNT * kinds / np.maximum(1, context), 1.0)
-        owner = np.repeat(np.arange(len(at2)), np.diff(np.append(at2, len(key))))[followed]
-        f3 = (times[followed] - DISCOUNT) / context[owner]
-        bits = int(span).bit_length()
-        every = np.zeros(int(ones[-1] - ones[0]) + 2, np.int64)
-        every[ones - ones[0] + 1] = degree
-        arrays = {"bits": np.array([bits], np.uint64), "first": ones[:1].astype(np.uint64), "firsts": np.array([len(every) - 1], np.uint64), "id2": ef.packed(two, bits), "f2": quantised(f2), "l2": quantised(l2), "id3": ef.packed(third[followed], bits), "f3": quantised(f3)}
-        for level, pointers in (("p2", np.cumsum(every)), ("p3", np.concatenate([[0], np.cumsum(kinds)]))):
-            arrays |= {f"{level}.{k}": v for k, v in ef.monotone(pointers).items()}
-        write(model.uri, f"trie-{s}", ef.save(arrays))
-        edge = sorted({0, len(ones) - 1})
-        return pa.table({"s": [s], "nodes": [len(two)], "trigrams": [int(followed.sum())], "edge": [ones[edge].tolist()], "degree": [degree[edge].tolist()]},
-                        schema=pa.schema([("s", pa.int32()), ("nodes", pa.int64()), ("trigrams", pa.int64()), ("edge", pa.list_(pa.int64())), ("degree", pa.list_(pa.int64()))]))
-
     sent = hashed_words(train).mapInArrow(by.sender(gather, count), by.schema)
-    return by.apply(sent, build, "s int, nodes long, trigrams long, edge array<long>, degree array<long>").collect()
+    return by.apply_messages(sent, lambda s, rows: build(reader_of, by, s, rows), "s int, nodes long, trigrams long, edge array<long>, degree array<long>").collect()
 
 
 def train(docs: DataFrame) -> Model | None:

@@ -27,7 +27,7 @@ def pack(values: np.ndarray) -> bytes:
     return pa.compress(np.ascontiguousarray(planes).tobytes(), "zstd", asbytes=True)
 
 
-def unpack(data: bytes, n: int, kind: type) -> np.ndarray:
+def unpack(data: bytes | pa.Buffer, n: int, kind: type) -> np.ndarray:
     size = np.dtype(kind).itemsize
     raw = np.frombuffer(pa.decompress(data, n * size, "zstd", asbytes=True), np.uint8)
     return np.ascontiguousarray(raw.reshape(size, n).T).view(kind).reshape(n)
@@ -82,6 +82,25 @@ class Exchange:
         order = np.argsort(columns[0], kind="stable")
         return [x[order] for x in columns], table
 
+    def stretches(self, rows: pa.Table, most: int) -> Iterator[list[np.ndarray]]:
+        """The messages' columns by rising stretches of keys, unsorted in each: about `most` rows, or one key's if it has
+        more. Besides the messages, only their unpacked columns and one stretch are held."""
+        ends = np.append(0, np.cumsum(rows.column("n").to_numpy(), dtype=np.int64))
+        columns = [np.empty(ends[-1], k) for k in self.kinds]
+        for i, (out, kind) in enumerate(zip(columns, self.kinds, strict=True)):
+            for a, b, data in zip(ends[:-1], ends[1:], rows.column(f"v{i}"), strict=True):
+                out[a:b] = unpack(data.as_buffer(), int(b - a), kind)
+                if not i:
+                    np.cumsum(out[a:b], out=out[a:b])
+        parts = [columns[0][a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        step = max(1, most >> 12)  # a stretch is off by so many rows a message at most
+        bounds = np.unique(np.sort(columns[0][::step])[most // step :: most // step])
+        at = np.array([np.concatenate([[0], np.searchsorted(p, bounds), [len(p)]]) for p in parts]) + ends[:-1, None]
+        for k in range(len(bounds) + 1):
+            mine = [(a, b) for a, b in at[:, k : k + 2] if b > a]
+            if mine:
+                yield [np.concatenate([x[a:b] for a, b in mine]) for x in columns]
+
     def sender(self, gather: Callable[[pa.RecordBatch], Iterator[tuple[list[np.ndarray], list[np.ndarray]]]], condense: Callable[[list[np.ndarray]], list[np.ndarray]] | None = None, column: str = "w") -> Callable:
         """For mapInArrow: gather(batch) gives columns, and their table; they go out sorted, FLUSH rows at a time.
         condense(columns in any order) may join rows first and must return them sorted by key. Batches are joined by the
@@ -136,9 +155,13 @@ class Exchange:
 
     def apply(self, sent: DataFrame, work: Callable[[int, list[np.ndarray], list[np.ndarray]], pa.Table], schema: str) -> DataFrame:
         """work(range, columns, table) on each range."""
+        return self.apply_messages(sent, lambda r, rows: work(r, *self.merged(rows.to_pylist())), schema)
+
+    def apply_messages(self, sent: DataFrame, work: Callable[[int, pa.Table], pa.Table], schema: str) -> DataFrame:
+        """work(range, messages) on each range."""
 
         def one(rows: pa.Table) -> pa.Table:
-            out = work(rows.column("r")[0].as_py(), *self.merged(rows.to_pylist()))
+            out = work(rows.column("r")[0].as_py(), rows)
             c.release()
             return out
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 
 U = np.uint64
+#: Values that are packed at a time. A multiple of 64: each stretch begins with a word.
+STRETCH = 1 << 16
 POP = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 #: SELECT[r, b]: the place of the set bit of rank r in byte b.
 SELECT = np.array([[next((k for k in range(8) if b >> k & 1 and bin(b & ((1 << k) - 1)).count("1") == r), 0) for b in range(256)] for r in range(8)], np.uint8)
@@ -13,11 +15,13 @@ SELECT = np.array([[next((k for k in range(8) if b >> k & 1 and bin(b & ((1 << k
 def packed(values: np.ndarray, bits: int) -> np.ndarray:
     """values, each below 2**bits, one after another in 64-bit words, with a word to spare."""
     out = np.zeros(len(values) * bits // 64 + 2, U)
-    at = np.arange(len(values), dtype=U) * U(bits)
-    word, shift, v = (at >> U(6)).astype(np.int64), at & U(63), values.astype(U)
-    np.bitwise_or.at(out, word, v << shift)
-    over = shift + U(bits) > U(64)
-    np.bitwise_or.at(out, word[over] + 1, v[over] >> (U(64) - shift[over]))
+    for a in range(0, len(values), STRETCH):
+        v = values[a : a + STRETCH].astype(U)
+        at = np.arange(a, a + len(v), dtype=U) * U(bits)
+        word, shift = (at >> U(6)).astype(np.int64), at & U(63)
+        np.bitwise_or.at(out, word, v << shift)
+        over = shift + U(bits) > U(64)
+        np.bitwise_or.at(out, word[over] + 1, v[over] >> (U(64) - shift[over]))
     return out
 
 
@@ -35,13 +39,14 @@ def monotone(values: np.ndarray) -> dict[str, np.ndarray]:
     """Elias-Fano parts of a non-decreasing sequence: low bits packed, high bits in unary, and a rank for each word."""
     n, most = len(values), int(values[-1]) if len(values) else 0
     bits = max(0, (most // max(1, n)).bit_length() - 1)
-    v = values.astype(U)
-    ones = (v >> U(bits)) + np.arange(n, dtype=U)
-    high = np.zeros(int(ones[-1]) // 64 + 1 if n else 1, U)
-    np.bitwise_or.at(high, (ones >> U(6)).astype(np.int64), U(1) << (ones & U(63)))
+    high = np.zeros(((most >> bits) + n - 1) // 64 + 1 if n else 1, U)
+    for a in range(0, n, STRETCH):
+        ones = values[a : a + STRETCH].astype(U) >> U(bits)
+        ones += np.arange(a, a + len(ones), dtype=U)
+        np.bitwise_or.at(high, (ones >> U(6)).astype(np.int64), U(1) << (ones & U(63)))
     count = POP[high.view(np.uint8)].reshape(-1, 8).sum(1, dtype=np.uint32)
     rank = np.concatenate([[0], np.cumsum(count)[:-1]]).astype(np.uint32)
-    return {"bits": np.array([bits], U), "low": packed(v & U((1 << bits) - 1), bits) if bits else np.zeros(1, U), "high": high, "rank": rank}
+    return {"bits": np.array([bits], U), "low": packed(values & ((1 << bits) - 1), bits) if bits else np.zeros(1, U), "high": high, "rank": rank}
 
 
 def placed(parts: dict[str, np.ndarray], at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

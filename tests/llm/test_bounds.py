@@ -1,7 +1,10 @@
 """Results don't depend on bounds: with every broadcast bound at 0 and small fans, ranges and blocks, rows stay the same."""
 
 import random
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from quillfold.llm import chunks, common, decontaminate, jaccard, mixing, ngram, ranges
@@ -73,6 +76,49 @@ def test_model_in_many_ranges(docs, monkeypatch):
     assert [(r.doc_id, r.n_known, round(r.base_score, 9)) for r in got] == want
 
 
+def messages_of_a_shard(folder):
+    """A model whose one shard has 600,000 rows in eight messages, and these rows with their exchange."""
+    rng, words = np.random.default_rng(5), 5000
+    ngram.write(folder, "words-0", ngram.ef.save({"hash": np.arange(words, dtype=np.uint64), "count": np.full(words, 1000)}))
+    model = ngram.Model(folder, np.array([0, words]), 600_000, 0.5, 10, np.array([0, (words + 1) * (words + 2)], np.uint64), np.zeros(0), {})
+    by = ranges.Exchange(lambda key: np.searchsorted(key, model.bounds), 1, np.uint64, (np.uint32, np.uint32))
+    sent = []
+    for _ in range(8):
+        one, two, third = (rng.zipf(1.3, 75_000) % words for _ in range(3))
+        third[::9] = words + 1  # the mark after an end
+        key = (one * model.span + two).astype(np.uint64)
+        order = np.argsort(key)
+        sent.append(by.messages([key[order], third[order].astype(np.uint32), rng.integers(1, 4, len(key))], [], 1))
+    return model, by, pa.Table.from_batches(sent)
+
+
+def test_shard_is_built_in_bounded_memory(tmp_path, monkeypatch):
+    model, by, sent = messages_of_a_shard(str(tmp_path))
+    wholes = []
+    for rows in (1 << 10, 1 << 14, 10**9):
+        monkeypatch.setattr(ngram, "ROWS_AT_ONCE", rows)
+        tracemalloc.start()
+        made = ngram.build(model, by, 0, sent).to_pylist()
+        peak = tracemalloc.get_traced_memory()[1] / 600_000
+        tracemalloc.stop()
+        assert peak < 40 or rows == 10**9, f"{peak:.0f} bytes a row"
+        wholes.append((made, (tmp_path / "trie-0").read_bytes()))
+    assert wholes[0] == wholes[1] == wholes[2]
+    columns, _ = by.merged(sent.to_pylist())
+    found = set(zip(columns[0].tolist(), columns[1].tolist(), strict=True))
+    assert made[0]["nodes"] == len({k for k, _ in found}) and made[0]["trigrams"] == sum(w != model.words + 1 for _, w in found)
+
+
+def test_stretches_are_all_rows_with_whole_keys(tmp_path):
+    _, by, sent = messages_of_a_shard(str(tmp_path))
+    parts = list(by.stretches(sent, 20_000))
+    assert all(a[0].max() < b[0].min() for a, b in zip(parts, parts[1:], strict=False)) and len(parts) > 5
+    often = max(np.unique(by.merged(sent.to_pylist())[0][0], return_counts=True)[1])
+    assert max(len(p[0]) for p in parts) <= 20_000 + often + 8 * (20_000 >> 12) + 8
+    for got, want in zip(zip(*parts, strict=True), by.merged(sent.to_pylist())[0], strict=True):
+        assert (np.sort(np.concatenate(got)) == np.sort(want)).all()
+
+
 def test_scratch_goes(spark, docs):
     keep = Scratch(docs)
     table = keep(docs, "some")
